@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe
+from . import bpe, minhash
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
@@ -14,10 +14,17 @@ def table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=80)
+
+
 def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op10_bpe_automaton": op10_bpe_automaton}
+QUERIES = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op10_bpe_automaton": op10_bpe_automaton,
+}
 
 ORACLES: dict[str, str] = {}
