@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, minhash
+from . import bpe, langid, minhash, suffix
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
@@ -18,12 +18,22 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=80)
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix.removal(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
+
+
+def op5_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_language_id": op5_language_id,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
