@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, langid, minhash, suffix
+from . import bpe, langid, minhash, mixing, rules, suffix
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,19 @@ def op5_language_id(spark, sf_dir):
     return langid.language_id(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    found = rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rules.verdicts(found, rules.POLICIES[rules.CURRENT]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures"
+    )
+
+
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
@@ -34,7 +47,9 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_language_id": op5_language_id,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": rules.ORACLE}
