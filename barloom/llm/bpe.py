@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct words kept in a task's table before it is started afresh.
+#: Distinct words in a task's table before it becomes the older one of two.
 MAX_WORDS = 150_000
 
 
@@ -54,8 +54,15 @@ class Automaton:
             self.gadget[iu, iv] = time
             self.left[iw], self.right[iw], self.made[iw] = iu, iv, time
         self.never = never
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.starts = {t[:k] for t in vocab for k in range(1, len(t) + 1)}
+        self.arcs: dict[int, bool] = {}
+        self.trie: dict = {}
+        for t, i in vocab.items():
+            last = bool(end) and t.endswith(end)
+            node = self.trie
+            for c in t[: -len(end)] if last else t:
+                node = node.setdefault(c, {})
+            for kind in ("last",) if last else ("inner",) if end else ("inner", "last"):
+                node[kind] = i
 
     def _arc(self, state: int, token: int) -> bool:
         x, x_until = state, self.never
@@ -72,38 +79,53 @@ class Automaton:
                 return True
             x_until, x = self.made[x], self.right[x]
 
-    def arc(self, state: int, token: int) -> bool:
-        key = (state, token)
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            found = self.arcs[key] = self._arc(state, token)
-        return found
-
     def encode(self, word: str) -> list[int]:
-        """Ids of one pre-split word, given as byte symbols."""
-        n = len(word)
-        last: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
-        for i in range(n):
-            state = last[i]
-            if i and state is None:
-                continue
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                if piece not in self.starts:
-                    break
-                token = self.vocab.get(piece + self.end if j == n else piece)
-                if token is not None and last[j] is None and (state is None or self.arc(state, token)):
-                    last[j], came[j] = token, i
-        out, at = [], n
-        while at:
-            if last[at] is None:
-                raise ValueError("the vocabulary lacks a base symbol of the word")
-            out.append(last[at])
-            at = came[at]
-        return out[::-1]
+        """Ids of one pre-split word, given as byte symbols.
+
+        The walk takes the longest arc first and steps back from dead ends. A position is reached by one
+        token only (each prefix has one path), so a dead position stays dead and the walk is linear.
+        """
+        n, arcs = len(word), self.arcs
+        if len(arcs) > 1_000_000:
+            arcs.clear()
+        dead: set[int] = set()
+        done: list[tuple] = []
+        at, state, out = 0, -1, self._out(word, 0)
+        while True:
+            while out:
+                token, to = out.pop()
+                if to in dead:
+                    continue
+                if state >= 0:
+                    key = state << 20 | token
+                    open_ = arcs.get(key)
+                    if open_ is None:
+                        open_ = arcs[key] = self._arc(state, token)
+                    if not open_:
+                        continue
+                done.append((at, state, out, token))
+                if to == n:
+                    return [d[3] for d in done]
+                at, state, out = to, token, self._out(word, to)
+                break
+            else:
+                dead.add(at)
+                if not done:
+                    raise ValueError("the vocabulary lacks a base symbol of the word")
+                at, state, out, _ = done.pop()
+
+    def _out(self, word: str, at: int) -> list[tuple[int, int]]:
+        """(token, end) of every token spelled from `at`, shortest first."""
+        node, found, n = self.trie, [], len(word)
+        for to in range(at, n):
+            node = node.get(word[to])
+            if node is None:
+                return found
+            if to + 1 < n and (token := node.get("inner")) is not None:
+                found.append((token, to + 1))
+        if (token := node.get("last")) is not None:
+            found.append((token, n))
+        return found
 
 
 class Tokenizer:
@@ -121,14 +143,19 @@ class Tokenizer:
         self.symbols = byte_symbols()
         self.space = regex.compile(r"\s+")
         self.table: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        for word in self.split.findall(chunk):
-            ids += self.auto.encode("".join(self.symbols[b] for b in word.encode()))
+        out = self.older.get(chunk)
+        if out is None:
+            ids: list[int] = []
+            for word in [chunk] if chunk.isascii() and chunk.isalpha() else self.split.findall(chunk):
+                ids += self.auto.encode(word if word.isascii() and word.isalpha() else "".join([self.symbols[b] for b in word.encode()]))
+            label = self.auto.label
+            out = (struct.pack(f"<{len(ids)}I", *ids), " ".join([label[i] for i in ids]))
         if len(self.table) >= MAX_WORDS:
-            self.table.clear()
-        out = self.table[chunk] = (struct.pack(f"<{len(ids)}I", *ids), " ".join(self.auto.label[i] for i in ids))
+            self.older, self.table = self.table, {}
+        self.table[chunk] = out
         return out
 
     def _plain(self, text: str, packed: list[bytes], labels: list[str]) -> None:

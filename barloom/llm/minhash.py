@@ -10,9 +10,9 @@ confirmed on the full shingle sets.
 
 Scale: copies collapse to one class first. A bucket, the texts under one key, is never expanded into
 pairs: its members are compared with one hub, which joins groups of near copies at once. Only where that
-leaves a bucket in several components are the rest compared, in square blocks of bounded size inside
-tasks, and only pairs within the signature distance and of different components leave a task. Every key
-lookup is a map-side combined aggregate and an equi-join, so a hot key is split by AQE.
+leaves a bucket in several components is the rest compared, in square blocks of bounded size inside tasks:
+first by signature, which returns the texts that are still in doubt (not pairs), then those by full sets,
+which returns a spanning forest of the links. So what leaves a task is linear in its rows. Every key lookup is a map-side combined aggregate and an equi-join, so a hot key is split by AQE.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from .scratch import staged
 ROWS, CHUNKS, ERRORS = 40, 8, 1
 #: Bits kept of each minimum.
 BITS = 16
-#: Signature differences beyond which a pair isn't confirmed: 5.5 standard deviations above the mean at 0.8.
-FAR = 22
-#: Rows of a block when the rest of a bucket is compared.
-BLOCK = 256
+#: Signature differences beyond which a pair isn't confirmed: 4.3 standard deviations above the mean at 0.8.
+FAR = 19
+#: Rows of a block when the rest of a bucket is compared by signature, and items of one when it is by sets.
+BLOCK, BLOCK_ITEMS = 256, 60_000
 
 U = np.uint64
 _SEEDS = tk.mix(np.arange(1, 2 * ROWS + 1, dtype=U) * U(0xD6E8FEB86659FD93))
@@ -139,74 +139,130 @@ def index_keys(sigs: DataFrame, chunks: int, errors: int) -> DataFrame:
     return sigs.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) within FAR of each other and of different components, from (key, id, sig, component, n).
+def _grouped(batches, keys: int, solve):
+    """Hand each run of rows with equal first `keys` columns to solve, over batches sorted by them.
 
-    The rows of a key are dealt into ceil(n / BLOCK) blocks and each pair of blocks meets once; the
-    comparison is a blocked Hamming distance inside the task.
+    Columns are numpy arrays (lists for nested ones); runs are cut at the edges of groups only.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
-    dealt = dealt.select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "sig"
-    )
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def close(keys, i, j, mine, ids, comp, sig):
-        cut = np.flatnonzero((keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, z in zip([0, *cut], [*cut, len(keys)]):
-            left = np.flatnonzero(mine[a:z] == i[a]) + a
-            right = np.flatnonzero(mine[a:z] == j[a]) + a
-            for k in range(0, len(left), 64):
-                l = left[k : k + 64]
-                hit = (sig[l][:, None, :] != sig[right][None, :, :]).sum(axis=2) <= FAR
-                hit &= comp[l][:, None] != comp[right][None, :]
-                if i[a] == j[a]:
-                    hit &= ids[l][:, None] < ids[right][None, :]
-                x, y = np.nonzero(hit)
-                if len(x):
-                    p, q = ids[l[x]], ids[right[y]]
-                    yield np.minimum(p, q), np.maximum(p, q)
-
-    def compare(batches):
-        held: list = []
-
-        def flush(rows):
-            cols = [np.concatenate(c) for c in zip(*rows)]
-            got = list(close(*cols))
-            if got:
-                a, b = (np.concatenate(x) for x in zip(*got))
-                both = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u2").reshape(-1, ROWS)
-            cols = [*c, sig]
-            new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
-            last = new[-1] if len(new) else 0
-            if held and (held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]) != (c[0][0], c[1][0], c[2][0]):
+    held: list = []
+
+    def flush(rows):
+        cols = [np.concatenate(c) for c in zip(*rows)]
+        edge = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            edge |= c[1:] != c[:-1]
+        cut = np.flatnonzero(edge) + 1
+        for a, z in zip([0, *cut], [*cut, len(cols[0])]):
+            yield from solve([c[a:z] for c in cols])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            cols = []
+            for c in part.columns:
+                if pa.types.is_integer(c.type):
+                    cols.append(c.to_numpy(zero_copy_only=False))
+                else:
+                    cols.append(np.fromiter(c.to_pylist(), dtype=object, count=len(c)))
+            edge = np.zeros(part.num_rows - 1, bool)
+            for c in cols[:keys]:
+                edge |= c[1:] != c[:-1]
+            new = np.flatnonzero(edge) + 1
+            if held and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], cols[:keys])):
                 yield from flush(held)
                 held = []
+            last = int(new[-1]) if len(new) else 0
             if last:
-                yield from flush([*held, [x[:last] for x in cols]])
+                yield from flush([*held, [c[:last] for c in cols]])
                 held = []
-            held.append([x[last:] for x in cols])
-        if held:
-            yield from flush(held)
+            held.append([c[last:] for c in cols])
+    if held:
+        yield from flush(held)
+
+
+def _dealt(rows: DataFrame, key: str, blocks, columns: list[str]) -> DataFrame:
+    """Deal the rows of a key into blocks and bring each pair of blocks together: (key, i, j, mine, *columns)."""
+    out = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    out = out.select(key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *columns)
+    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _doubtful(rows: DataFrame) -> DataFrame:
+    """(hub, id): texts with a partner within FAR in another component, from (key, hub, id, component, sig, n)."""
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    def solve(cols):
+        _, i, j, mine, hub, ids, comp, raw = cols
+        sig = np.frombuffer(b"".join(raw), dtype="<u2").reshape(-1, ROWS)
+        left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+        seen = np.zeros(len(ids), bool)
+        for k in range(0, len(left), 64):
+            l = left[k : k + 64]
+            hit = (sig[l][:, None, :] != sig[right][None, :, :]).sum(axis=2) <= FAR
+            hit &= comp[l][:, None] != comp[right][None, :]
+            seen[l] |= hit.any(axis=1)
+            seen[right] |= hit.any(axis=0)
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(hub[seen]), pa.array(ids[seen])], names=["hub", "id"])
+
+    dealt = _dealt(rows, "key", F.ceil(F.col("n") / BLOCK).cast("int"), ["hub", "id", "component", "sig"])
+    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, solve), "hub long, id long").distinct()
+
+
+def _within(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links among the texts of each hub, from (hub, id, items, total).
+
+    total is the number of items of all the hub's texts. Full sets are intersected in the task as products of
+    0/1 matrices over the items that stand in several of them, a stretch of items at a time.
+    """
+
+    def solve(cols):
+        _, i, j, mine, ids, items = cols
+        left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+        size = np.array([len(x) for x in items])
+        row = np.repeat(np.arange(len(ids)), size)
+        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in items])
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        code = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
+        often = np.bincount(code)[code] > 1
+        row = row[often]
+        code = np.unique(code[often], return_inverse=True)[1]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            s, e = np.searchsorted(code, [a, a + 4096])
+            m = np.zeros((len(ids), 4096), np.float32)
+            m[row[s:e], code[s:e] - a] = 1
+            common += m[left] @ m[right].T
+        hit = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        label = ids.copy()
+        while hit.any():  # smallest id connected within this pair of blocks
+            new = label.copy()
+            low = np.where(hit, label[right][None, :], np.iinfo(np.int64).max).min(axis=1)
+            new[left] = np.minimum(new[left], low)
+            low = np.where(hit, new[left][:, None], np.iinfo(np.int64).max).min(axis=0)
+            new[right] = np.minimum(new[right], low)
+            if (new == label).all():
+                break
+            label = new
+        far = label != ids
+        if far.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(label[far])], names=["a", "b"])
+
+    dealt = _dealt(rows, "hub", F.ceil(F.col("total") / BLOCK_ITEMS).cast("int"), ["id", "items"])
+    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, solve), "a long, b long").distinct()
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Staged (id, items) of the texts with these ids."""
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    return staged(shingle_sets(wanted, "id", "text", size).dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Those of (a, b) whose full sets satisfy 100 * |A and B| >= percent * |A or B|."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    sets = staged(shingle_sets(wanted, "id", "text", size).dropDuplicates(["id"]), "sets")
+    sets = _sets_of(ids, docs, id_col, text_col, size)
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -253,10 +309,14 @@ def near_duplicates(
     links = staged(_confirmed(staged(near.filter(apart <= FAR).select("a", "b"), "near"), df, id_col, text_col, size, percent), "links")
     first = staged(components(links, "a", "b"), "first")
 
-    held = members.select("key", "id", "n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = members.filter("n > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = staged(_rest(held.join(split, "key").join(sigs, "id").select("key", "id", "sig", "component", "n")), "rest")
-    more = staged(_confirmed(rest, df, id_col, text_col, size, percent), "more")
+    rest = held.join(split, "key").join(sigs, "id").select("key", "hub", "id", "component", "sig", "n")
+    doubt = staged(_doubtful(rest), "doubt")
+    sets = _sets_of(doubt.select("id").distinct(), df, id_col, text_col, size)
+    full = doubt.join(sets, "id")
+    totals = doubt.join(sets.select("id", F.size("items").alias("k")), "id").groupBy("hub").agg(F.sum("k").alias("total"))
+    more = staged(_within(full.join(totals, "hub"), percent), "more")
     final = components(links.unionByName(more), "a", "b")
 
     # rows that share an id hold their classes together
