@@ -195,6 +195,13 @@ def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: st
     return df.select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def recognised(df: DataFrame, fitted: Filter, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text `identify` gives a language rather than `und`."""
+    inner = df.select(F.col(text_col).alias("_t"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    got = identify(inner, fitted, "_row", "_t").filter("lang_pred <> 'und'")
+    return got.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def held_out(id_col: str):
     """Whether a row is kept from training: crc32 of its id as text is 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

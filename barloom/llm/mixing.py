@@ -8,7 +8,8 @@
    the few quotients around that are ranked, never one for each block.
 3. Selection: a source's rows are dealt to shards of bounded size by a hash of the id, so one source with a third of
    all words is many shards. Within a shard rows stand in seeded order and are cut into blocks; a quota of q blocks
-   takes every block q // blocks times and the first q % blocks in a second seeded order once more.
+   takes every block q // blocks times, and q % blocks once more: those from a seeded block on, around the end. As
+   rows already stand in random order that is a random choice of rows, and at most three of them are cut.
 
 Only per-source rows meet in one task (their number is that of sources, not of documents); everything else is
 partitioned by shard.
@@ -105,6 +106,7 @@ def mix(
     block: int = BLOCK,
     shard: int = SHARD,
     seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken, parts) for every row of df.
 
@@ -112,18 +114,19 @@ def mix(
     `repeats` times its size; parts array<struct<first, words, times>>: which words (from 0) how often.
     A null source is a source of its own, the last one. Null and empty texts, and every row of an
     empty table or of a source without words, take 0. Rows that repeat, or share an id, are taken one by one; their
-    order is by id, then text hash, so a rerun gives the same. Other columns of df are not looked at.
+    order is by a seeded hash of id and text, so a rerun gives the same. Columns named in carry follow, others of df are not looked at.
     """
     text = F.col(text_col)
     # the text's own hash, not the text, tells rows with one id apart: only numbers are shuffled
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"))
+    kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"), *kept)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = targets(sizes, weights, share, repeats).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
     table = table.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")).withColumn("all", F.lit(1))
     table = sainte_lague(table, ["all"], ["sid"], "target", "seats").withColumnRenamed("quota", "source_quota").drop("seats", "all")
     table = staged(table, "sources")
 
-    by_id = seeded(seed, F.col("id"))
+    by_id = seeded(seed, F.col("id"), F.col("mark"))
     placed = rows.withColumn("order", by_id).join(table.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
     words = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats"))
@@ -137,22 +140,32 @@ def mix(
     # equal blocks over the shard, the last one short; a quota never exceeds `repeats` rounds
     quota = F.least(F.col("quota"), repeats * blocks)
     joined = joined.withColumns({"rounds": F.when(blocks > 0, F.floor(quota / blocks)).otherwise(0), "extra": F.when(blocks > 0, quota % blocks).otherwise(0)})
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
-    cut = joined.withColumn("row", F.row_number().over(here.orderBy("order", "id", "mark"))).withColumn(
-        "block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last)))
+    words, size, start, stop = F.col("words"), F.col("size"), F.col("start"), F.col("stop")
+    begin = F.when(blocks > 0, F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), blocks)).otherwise(0)
+    end = begin + F.col("extra")
+    a, z = begin * block, F.least(F.least(end, blocks) * block, words)
+    ahead = F.greatest(F.lit(0), F.least(stop, z) - F.greatest(start, a))
+    around = F.greatest(F.lit(0), F.least(stop, F.greatest(F.lit(0), end - blocks) * block) - start)
+    part = lambda first, n, times: F.struct(first.cast("long").alias("first"), n.cast("long").alias("words"), times.cast("long").alias("times"))
+    parts = F.array(part(F.lit(0), size, F.col("rounds")), part(F.lit(0), around, F.lit(1)), part(F.greatest(F.lit(0), a - start), ahead, F.lit(1)))
+    return joined.select(
+        F.col("id").alias(id_col),
+        "source",
+        "size",
+        "source_size",
+        "target",
+        (F.col("rounds") * size + ahead + around).cast("long").alias("taken"),
+        F.filter(parts, lambda p: (p["words"] > 0) & (p["times"] > 0)).alias("parts"),
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
     )
-    cut = cut.withColumn("rank", F.dense_rank().over(here.orderBy(F.xxhash64(F.lit(seed), "sid", "shard", "block").asc_nulls_last(), "block")))
-    a = F.greatest(F.col("start"), F.col("block") * block)
-    z = F.least(F.col("stop"), (F.col("block") + 1) * block)
-    # where some row has no words its null block ranks last and takes no seat of the others
-    times = F.col("rounds") + (F.col("rank") <= F.col("extra")).cast("long")
-    part = F.when(
-        F.col("block").isNotNull(),
-        F.struct((a - F.col("start")).cast("long").alias("first"), (z - a).cast("long").alias("words"), times.cast("long").alias("times")),
-    )
-    out = cut.groupBy("sid", "shard", "row").agg(
-        *[F.first(c, ignorenulls=False).alias(c) for c in ("id", "source", "size", "source_size", "target", "mark")],
-        F.coalesce(F.sum(F.when(F.col("block").isNotNull(), (z - a) * times)), F.lit(0)).cast("long").alias("taken"),
-        F.array_sort(F.collect_list(part)).alias("parts"),  # one row's own blocks
-    )
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "parts", "mark")
+
+
+def taken_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """The mix itself: the rows of `mix(..., carry=(text_col, ...))` as often as they are taken, cut to the words taken.
+
+    A row taken whole keeps its text; of a cut one the words are joined by blanks. Rows of which nothing is taken go.
+    """
+    each = mixed.withColumn("_p", F.explode("parts")).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_p.times"))))
+    words = F.split(F.btrim(F.col(text_col), F.lit(" \t\n\x0b\x0c\r")), SPACE)
+    cut = F.array_join(F.slice(words, (F.col("_p.first") + 1).cast("int"), F.col("_p.words").cast("int")), " ")
+    return each.withColumn(text_col, F.when(F.col("_p.words") == F.col("size"), F.col(text_col)).otherwise(cut)).drop("_p", "_again")

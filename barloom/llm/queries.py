@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, langid, minhash, mixing, rules, suffix
+from pyspark.sql import functions as F
+
+from . import bpe, chat, langid, licenses, minhash, mixing, rules, semdedup, suffix, warc
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
@@ -14,6 +16,14 @@ def table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_warc_derivatives(spark, sf_dir):
+    return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages", "page_id", "url", "html")), carry=("page_id",))
+
+
+def op2_license_sentences(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=80)
 
@@ -39,17 +49,35 @@ def op7_source_mixing(spark, sf_dir):
     )
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return semdedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op9_tool_call_linking(spark, sf_dir):
+    found = chat.link(chat.as_tool_chat(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
 def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_license_sentences": op2_license_sentences,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_tool_call_linking": op9_tool_call_linking,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": warc.ORACLE,
+    "op2_license_sentences": licenses.ORACLE,
+    "op6_quality_rules": rules.ORACLE,
+    "op9_tool_call_linking": chat.ORACLE,
+}

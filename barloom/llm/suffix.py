@@ -81,10 +81,10 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     return least[start], row[start], start - off[row[start]], stop - start, text, again
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, uid, text): did stands for a null id too, uid tells rows that share an id apart."""
+def keyed(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(did, uid, text, _c0, ...): did stands for a null id too, uid tells rows that share an id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"), F.hash(text).alias("uid"), text.alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"), F.hash(text).alias("uid"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
 
 
 def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -105,7 +105,7 @@ def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     names=["m", "th", "did", "uid", "start", "n", "again"],
                 )
 
-    return docs.mapInArrow(cut, "m long, th long, did long, uid int, start int, n int, again boolean")
+    return docs.select("did", "uid", "text").mapInArrow(cut, "m long, th long, did long, uid int, start int, n int, again boolean")
 
 
 # --- shard transforms and their merge ---------------------------------------------------------------
@@ -346,20 +346,22 @@ def removal(
     symbol: int = SYMBOL,
     hot: int = HOT,
     digests: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_text) for every row; with digests, kept_sha256 in its place.
 
     Texts are UTF-8 bytes, null counting as empty; repeats never cross texts; overlapping occurrences count; all is
     judged on the input. Texts shorter than `length` lose nothing. Repeated rows are copies of each other, so
-    both lose what they share; ids may be null or repeat. An empty table gives an empty result. Other columns
-    of df are not looked at. kept_sha256 is of the exact remaining bytes; kept_text drops a character of
+    both lose what they share; ids may be null or repeat. An empty table gives an empty result. Columns named in carry
+    follow, others of df are not looked at. kept_sha256 is of the exact remaining bytes; kept_text drops a character of
     which a byte was removed, so that it is valid text.
     """
     if length % symbol or gram > length:
         raise ValueError("length must be a multiple of symbol, and gram at most length")
-    docs = keyed(df, id_col, text_col)
+    docs = keyed(df, id_col, text_col, carry)
     ranges = staged(repeated_ranges(docs, length, gram, symbol, hot), "ranges")
     last = "kept_sha256" if digests else "kept_text"
+    extra = [f"_c{i}" for i in range(len(carry))]
 
     def finish(batches):
         for batch in batches:
@@ -379,10 +381,12 @@ def removal(
                 out.append((len(data), int(size.sum()), len(first), value))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-                names=["did", "n_bytes", "n_removed", "n_spans", last],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))), *batch.columns[3:]],
+                names=["did", "n_bytes", "n_removed", "n_spans", last, *extra],
             )
 
-    joined = docs.join(ranges, ["did", "uid"], "left").select("did", "text", "ranges")
-    out = joined.mapInArrow(finish, f"did long, n_bytes long, n_removed long, n_spans long, {last} string")
-    return out.select(F.nullif(F.col("did"), F.lit(_NO_ID)).alias(id_col), "n_bytes", "n_removed", "n_spans", last)
+    joined = docs.join(ranges, ["did", "uid"], "left").select("did", "text", "ranges", *extra)
+    kinds = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in extra)
+    out = joined.mapInArrow(finish, f"did long, n_bytes long, n_removed long, n_spans long, {last} string{kinds}")
+    names = [F.col(c).alias(name) for c, name in zip(extra, carry)]
+    return out.select(F.nullif(F.col("did"), F.lit(_NO_ID)).alias(id_col), "n_bytes", "n_removed", "n_spans", last, *names)
