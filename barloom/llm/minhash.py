@@ -33,7 +33,7 @@ BITS = 16
 #: Signature differences beyond which a pair isn't confirmed: 4.3 standard deviations above the mean at 0.8.
 FAR = 19
 #: Rows of a block when the rest of a bucket is compared by signature, and items of one when it is by sets.
-BLOCK, BLOCK_ITEMS = 256, 60_000
+BLOCK, BLOCK_ITEMS = 2048, 60_000
 
 U = np.uint64
 _SEEDS = tk.mix(np.arange(1, 2 * ROWS + 1, dtype=U) * U(0xD6E8FEB86659FD93))
@@ -189,10 +189,10 @@ def _dealt(rows: DataFrame, key: str, blocks, columns: list[str]) -> DataFrame:
 
 
 def _doubtful(rows: DataFrame) -> DataFrame:
-    """(hub, id): texts with a partner within FAR in another component, from (key, hub, id, component, sig, n)."""
+    """(hub, id): texts with a partner within FAR in another component, from (hub, id, component, sig, n)."""
 
     def solve(cols):
-        _, i, j, mine, hub, ids, comp, raw = cols
+        hub, i, j, mine, ids, comp, raw = cols
         sig = np.frombuffer(b"".join(raw), dtype="<u2").reshape(-1, ROWS)
         left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
         seen = np.zeros(len(ids), bool)
@@ -205,7 +205,7 @@ def _doubtful(rows: DataFrame) -> DataFrame:
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(hub[seen]), pa.array(ids[seen])], names=["hub", "id"])
 
-    dealt = _dealt(rows, "key", F.ceil(F.col("n") / BLOCK).cast("int"), ["hub", "id", "component", "sig"])
+    dealt = _dealt(rows, "hub", F.ceil(F.col("n") / BLOCK).cast("int"), ["id", "component", "sig"])
     return dealt.mapInArrow(lambda batches: _grouped(batches, 3, solve), "hub long, id long").distinct()
 
 
@@ -259,10 +259,8 @@ def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
     return staged(shingle_sets(wanted, "id", "text", size).dropDuplicates(["id"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) whose full sets satisfy 100 * |A and B| >= percent * |A or B|."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets_of(ids, docs, id_col, text_col, size)
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -306,14 +304,17 @@ def near_duplicates(
     apart = sum(
         (F.substring("sa", 2 * k + 1, 2) != F.substring("sb", 2 * k + 1, 2)).cast("int") for k in range(ROWS)
     )
-    links = staged(_confirmed(staged(near.filter(apart <= FAR).select("a", "b"), "near"), df, id_col, text_col, size, percent), "links")
+    # texts are shuffled once: the sets of all that share a key with another one
+    sets = _sets_of(members.select("id").distinct(), df, id_col, text_col, size)
+    links = staged(_confirmed(staged(near.filter(apart <= FAR).select("a", "b"), "near"), sets, percent), "links")
     first = staged(components(links, "a", "b"), "first")
 
     held = members.filter("n > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = held.join(split, "key").join(sigs, "id").select("key", "hub", "id", "component", "sig", "n")
+    # the buckets of one hub hold much the same texts and are compared together
+    rest = staged(held.join(split, "key").select("hub", "id", "component").distinct(), "rest")
+    rest = rest.join(rest.groupBy("hub").agg(F.count("*").alias("n")), "hub").join(sigs, "id").select("hub", "id", "component", "sig", "n")
     doubt = staged(_doubtful(rest), "doubt")
-    sets = _sets_of(doubt.select("id").distinct(), df, id_col, text_col, size)
     full = doubt.join(sets, "id")
     totals = doubt.join(sets.select("id", F.size("items").alias("k")), "id").groupBy("hub").agg(F.sum("k").alias("total"))
     more = staged(_within(full.join(totals, "hub"), percent), "more")
