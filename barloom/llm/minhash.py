@@ -34,6 +34,8 @@ BITS = 16
 FAR = 19
 #: Rows of a block when the rest of a bucket is compared by signature, and items of one when it is by sets.
 BLOCK, BLOCK_ITEMS = 2048, 60_000
+#: Ids up to which a table of them is broadcast to pick their texts (8 bytes each).
+BROADCAST_IDS = 1 << 21
 
 U = np.uint64
 _SEEDS = tk.mix(np.arange(1, 2 * ROWS + 1, dtype=U) * U(0xD6E8FEB86659FD93))
@@ -255,6 +257,9 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Staged (id, items) of the texts with these ids."""
+    ids = staged(ids, "ids")
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
+        ids = F.broadcast(ids)
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     return staged(shingle_sets(wanted, "id", "text", size).dropDuplicates(["id"]), "sets")
 
