@@ -96,7 +96,8 @@ def _ordered(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """(conv_id, at, key, cyclic): events that are moved, from edges (conv_id, pred, at) of places struct<turn, seq>.
 
     key struct<turn, seq, hops> is the largest of the event's own and one hop beyond each predecessor's. It
-    is raised along edges until nothing changes; a key with more hops than its conversation has events is on, or behind, a cycle.
+    is raised along edges until nothing changes. More hops than the conversation has edges show a cycle; raising goes on
+    for as many again, so that all events on a cycle, or behind it, are seen.
     """
     own = lambda at: F.struct(F.col(f"{at}.turn").alias("turn"), F.col(f"{at}.seq").alias("seq"), F.lit(0).alias("hops"))
     step = lambda k: F.struct(F.col(f"{k}.turn").alias("turn"), F.col(f"{k}.seq").alias("seq"), (F.col(f"{k}.hops") + 1).alias("hops"))
@@ -106,12 +107,12 @@ def _ordered(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     fresh = moved
     while not fresh.isEmpty():
         onward = edges.join(fresh.select("conv_id", F.col("at").alias("pred"), F.col("key").alias("k")), ["conv_id", "pred"])
-        onward = onward.join(sizes, "conv_id").filter("k.hops <= events")
+        onward = onward.join(sizes, "conv_id").filter("k.hops <= 2 * edges")
         raised = onward.groupBy("conv_id", "at").agg(F.max(step("k")).alias("new")).filter(F.col("new") > own("at"))
         raised = raised.join(moved, ["conv_id", "at"], "left").filter(F.col("key").isNull() | (F.col("new") > F.col("key")))
         fresh = staged(raised.select("conv_id", "at", F.col("new").alias("key")), "raised")
         moved = staged(moved.unionByName(fresh).groupBy("conv_id", "at").agg(F.max("key").alias("key")), "moved")
-    return moved.join(sizes, "conv_id").select("conv_id", "at", "key", (F.col("key.hops") > F.col("events")).alias("cyclic"))
+    return moved.join(sizes, "conv_id").select("conv_id", "at", "key", (F.col("key.hops") > F.col("edges")).alias("cyclic"))
 
 
 def link(messages: DataFrame, tools: dict[str, tuple[Field, ...]] = TOOLS) -> DataFrame:
@@ -149,7 +150,7 @@ def link(messages: DataFrame, tools: dict[str, tuple[Field, ...]] = TOOLS) -> Da
     needs = events.filter(is_call & (F.size("after") > 0)).select("conv_id", at.alias("at"), F.explode("after").alias("call_id"))
     needs = needs.join(first, ["conv_id", "call_id"]).select("conv_id", F.coalesce("result_at", "call_at").alias("pred"), "at")
     edges = staged(answers.unionByName(needs).filter("pred is not null").distinct(), "edges")
-    sizes = edges.groupBy("conv_id").agg((2 * F.count("*")).alias("events"))
+    sizes = edges.groupBy("conv_id").agg(F.count("*").alias("edges"))
     moved = _ordered(edges, sizes)
     rows = rows.withColumn("at", at).join(moved, ["conv_id", "at"], "left")
     cyclic = F.coalesce("cyclic", F.lit(False))
