@@ -79,8 +79,6 @@ def _compare(rows: DataFrame, cells: int, floor: float) -> DataFrame:
         F.sequence(F.lit(0), left - 1),
         lambda o: F.struct(F.when(here, F.least(deal, o)).otherwise(o).alias("i"), F.when(here, F.greatest(deal, o)).otherwise(-1 - deal).alias("j"), here.alias("own")),
     )
-    own = F.array(F.struct(deal.alias("i"), F.lit(None).cast("int").alias("j"), here.alias("own")))
-    del own
     spread = dealt.select("label", "cell", "homes", "cells", "id", "n", "v", deal.alias("deal"), F.explode(meets).alias("m"), left.alias("left"))
     # for visitors, the home block they meet has to be there as well
     both = spread.select("label", "cell", "homes", "cells", "id", "n", "v", "deal", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
