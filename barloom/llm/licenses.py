@@ -1,7 +1,8 @@
 """Licence recognition by sentences: known sentences become identifiers, identifier sequences match ordered rules.
 
 A text is cut into sentences, each is normalised, and a normalised sentence that is known becomes its
-identifier; a run of others becomes one "?". Rules are identifier sequences in order of precedence. A rule that
+identifier; a run of others becomes one "?". Sentences end at punctuation and at line ends, but lines (without their comment
+marks) that together make a known sentence are one sentence, and a list mark before it is no sentence. Rules are identifier sequences in order of precedence. A rule that
 matches takes its identifiers, so a later, shorter rule can't claim them again.
 
 All of it is built-in functions on a row of its own: nothing is shuffled or collected, and the tables are
@@ -17,7 +18,16 @@ from pyspark.sql import functions as F
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where a sentence ends, and what separates words within one (after lower-casing A-Z).
-END, OTHER = r"[.!?;:]+(?:[ \t\r\n\f]+|$)|\n", r"[^a-z0-9.+/\n-]+"
+STOP, OTHER = r"[.!?;:]+(?:[ \t\r\n\f]+|$)", r"[^a-z0-9.+/\n-]+"
+END = rf"{STOP}|\n"
+#: Comment marks and list marks that END takes for punctuation. In a normalised text, where single line ends are line breaks, double
+#: ones end a sentence and L ends a list mark: what may stand between the words of a wrapped sentence, before it (comment
+#: mark, list mark) and after it.
+MARK = "(?:[0-9]{1,2}|[a-z]|i{2,3}|iv|vi{1,3}|ix)"
+ITEM = rf"((?:\A|\n)[^a-z0-9\n]*{MARK})\.[ \t]+(?=[^ \t\r\n\f])"
+REMARK = r"\n[ \t]*[;!]+[ \t]+"
+BREAK = r" ?\n ?(?:[/+-]+ ?)?"
+BEFORE, AFTER = rf"(?:\A|\n) ?(?:[/+-]+ ?)?(?:{MARK}[L ] ?)?", r" ?(?:(?:/|--+) ?)?(?=\n|\z)"
 
 #: Sentences of public licence notices, by identifier.
 SENTENCES = {
@@ -120,11 +130,29 @@ def sequence(names: tuple[str, ...]) -> str:
     return " " + "".join(f"{n} " for n in out)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones left out."""
+def wrapped() -> str:
+    """A pattern for a known sentence on whole lines, broken anywhere between its words; its group is the sentence."""
+    several = sorted((p for p in known() if " " in p), key=lambda p: (-len(p), p))
+    return f"{BEFORE}({'|'.join(f'(?: |{BREAK})'.join(map(re.escape, p.split(' '))) for p in several)}){AFTER}"
+
+
+def normal(text: Column) -> Column:
+    """A text in normalised words; a line end is a line break, two are the end of a sentence, L is the end of a list mark."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL)
-    flat = F.regexp_replace(F.regexp_replace(low, END, "\n"), OTHER, " ")
-    return F.filter(F.transform(F.split(flat, "\n"), lambda s: F.btrim(s)), lambda s: s != "")
+    low = F.regexp_replace(F.regexp_replace(low, REMARK, "\n"), ITEM, "$1L ")
+    return F.regexp_replace(F.regexp_replace(low, STOP, "\n\n"), OTHER.replace("^", "^L"), " ")
+
+
+def sentences(flat: Column) -> Column:
+    """Sentences of a normalised text, empty ones left out: known ones whole, what lies between them by lines."""
+    lines = lambda t: F.filter(F.transform(F.split(t, "[\nL]"), lambda s: F.btrim(s)), lambda s: s != "")
+    whole = F.lit(wrapped())
+    found = F.transform(F.regexp_extract_all(flat, whole, F.lit(1)), lambda s: F.array(F.regexp_replace(s, BREAK, " ")))
+    none = F.array().cast("array<string>")
+    # comment marks alone are no sentence between known ones
+    between = lambda t: F.when(F.regexp_like(t, F.lit("[a-z0-9]")), lines(t)).otherwise(none)
+    parts = F.zip_with(F.split(flat, wrapped()), found, lambda t, s: F.concat(between(t), F.coalesce(s, none)))
+    return F.when(F.regexp_like(flat, whole), F.flatten(parts)).otherwise(lines(flat))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,12 +161,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     sentence_ids: identifiers in order, blank-separated, "?" for a run of unknown sentences; licenses: those of the matching
     rules, each once, by precedence, joined by "|" (empty: none); n_unmatched: known sentences that no rule took. Null and
     empty texts have no sentences. Repeated rows and null ids come out as they came in; an empty table gives an empty
-    result; other columns of df are not looked at.
+    result; other columns of df are not looked at. A wrapped known sentence counts once in n_sentences, unknown text by lines.
     """
     table = known()
     pairs = [F.lit(x) for pair in table.items() for x in pair]
     names = F.create_map(*pairs)
-    at = df.select(F.col(id_col).alias("_id"), sentences(F.col(text_col)).alias("_s"))
+    at = df.select(F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_t")).select("_id", sentences(F.col("_t")).alias("_s"))
     # most texts hold no known sentence: membership is a hash lookup, and only the others are spelled out
     marks = F.transform("_s", lambda s: F.when(s.isin(list(table)), names[s]).otherwise(F.lit("?")))
     at = at.select("_id", F.size("_s").cast("long").alias("n_sentences"), marks.alias("_m"))

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import textwrap
 
 import brute
 import duckdb
@@ -85,6 +86,29 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices as they stand in files: hard-wrapped, numbered, in comments of several kinds."""
+    s = licenses.SENTENCES
+    fill = lambda text, first="", rest="": textwrap.fill(text, 72, initial_indent=first, subsequent_indent=rest, break_on_hyphens=False)
+    mit = "The MIT License\n\nCopyright (c) 2020 A B\n\n" + "\n\n".join(fill(s[k][0]) for k in ("mit-grant", "mit-notice"))
+    mit += "\n\n" + fill(s["mit-as-is"][0] + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.")
+    points = [s[k][0] for k in ("bsd-source", "bsd-binary", "bsd-endorse")]
+    bsd = lambda n, mark: "\n\n".join([fill(s["bsd-grant"][0])] + [fill(t, mark % k, "   ") for k, t in enumerate(points[:n], 1)])
+    apache = "Copyright 2020 A B\n\n" + s["apache-2"][1] + "\n" + fill(s["apache-comply"][0] + " " + s["apache-copy"][0]) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    gpl = fill(s["gpl-3-later"][0]) + "\n\n" + fill(s["gpl-warranty"][0])
+    isc = "Copyright (c) 2020 A B\n" + fill(s["isc-grant"][0])
+    end = bsd(2, "%d. ") + "\n\nTHIS SOFTWARE IS PROVIDED AS IS."
+    commented = [f"{a}" + "\n".join((m + line).rstrip() for line in t.split("\n")) + z for a, m, z, t in (("", "// ", "", mit), ("", "# ", "", gpl), ("/*\n", " * ", "\n */", bsd(3, "%d. ")), ("", ";; ", "", apache), ("", "-- ", "", isc), ("<!-- ", "", " -->", "Released under the MIT License"))]
+    cases = [(mit, "MIT"), (bsd(2, "%d. "), "BSD-2-Clause"), (end, "BSD-2-Clause"), (bsd(3, "%d. "), "BSD-3-Clause"), (bsd(3, "(%d) "), "BSD-3-Clause"), (apache, "Apache-2.0"), (gpl, "GPL-3.0-or-later"), (isc, "ISC")]
+    cases += [(mit.replace("\n", "\r\n"), "MIT"), *zip(commented, ("MIT", "GPL-3.0-or-later", "BSD-3-Clause", "Apache-2.0", "ISC", "MIT"))]
+    cases += [("Permission to use,\n\n" + s["isc-grant"][0][19:], ""), ("foo Licensed under the\nMIT License.", ""), ("Licensed under the\nMIT License foo.", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [got[i].licenses for i in range(len(cases))] == [want for _, want in cases]
+    assert got[3].sentence_ids == "bsd-grant bsd-source bsd-binary bsd-endorse" and got[3].n_sentences == 4
+    assert all(r.n_unmatched == 0 for r in got.values())
+
+
 def test_minhash(spark, odd, words):
     rng = random.Random(4)
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None and r.doc_id != 16]
