@@ -28,6 +28,10 @@ SLOTS, PROBES = 1 << 22, 2
 SAMPLE, GRAMS, LANGUAGES = 4000, 100_000, 64
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate anywhere.
 SHARE = 0.1
+#: A text is in a known language if this share of its n-grams, corrected for chance, belongs to one language. The lowest share of any
+#: document with a letter is 0.53 in the tables at hand (sf0.001 to sf0.1, check_s, check_h). A filter with fewer n-grams than
+#: LEAST for every language has seen too little to reject a text.
+FLOOR, LEAST = 0.1, 1000
 #: Code points handled at once.
 STEP = 1 << 19
 
@@ -87,6 +91,7 @@ class Filter:
         self.langs = langs
         self.slices = np.zeros((-(-len(langs) // 8), SLOTS), dtype=np.uint8)
         self.chance = np.zeros(len(langs))
+        self.grams = 0  # of the language that has the most
 
     @staticmethod
     def slots(hashes: np.ndarray) -> list[np.ndarray]:
@@ -96,6 +101,7 @@ class Filter:
     def add(self, lang: int, hashes: np.ndarray) -> None:
         for at in self.slots(hashes):
             self.slices[lang // 8][at] |= np.uint8(1 << lang % 8)
+        self.grams = max(self.grams, len(hashes))
 
     def close(self) -> Filter:
         for k in range(len(self.langs)):
@@ -157,13 +163,13 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     return out.close()
 
 
-def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row of df, whole texts, nothing shuffled.
+def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: str | None = "text", evidence: bool = False) -> DataFrame:
+    """(id, lang_pred, score) and, with evidence, (grams, hits) for every row of df, whole texts, nothing shuffled.
 
     lang_pred is `und` with score 0 if the text is null or has no letter, or if no language was learned.
     score is the winner's share of the corrected counts, 0 to 1; a text with letters whose n-grams no
     language contains gets the language with the most training rows and score 0. Ties go to that order
-    too. Repeated rows and null ids come out as they came in; other columns are not looked at.
+    too. Without text_col the id is a struct with the text as its first field. grams: the text's n-grams, hits: the winner's corrected count. Repeated rows and null ids come out as they came in; other columns are not looked at.
     """
     shared = df.sparkSession.sparkContext.broadcast(fitted)  # fixed size: SLOTS bytes for every 8 languages
     kind = df.schema[id_col].dataType.simpleString()
@@ -171,7 +177,7 @@ def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: st
     def predict(batches):
         f = shared.value
         for batch in batches:
-            text = batch.column(1).to_pylist()
+            text = (batch.column(1) if text_col else batch.column(0).field(0)).to_pylist()
             for a, z in pieces(text):
                 n = z - a
                 total, hits = np.zeros(n), np.zeros((n, len(f.langs)))
@@ -187,18 +193,27 @@ def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: st
                 top = (fair - base)[np.arange(n), best] if f.langs else np.zeros(n)
                 score = np.divide(top, rest, out=np.zeros(n), where=rest > 0)
                 names = [f.langs[b] if t and f.langs else "und" for b, t in zip(best, total)]
+                more = [pa.array(total), pa.array(fair.max(axis=1, initial=0.0))] if evidence else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(names, pa.string()), pa.array(np.where(total > 0, score, 0.0))],
-                    names=[id_col, "lang_pred", "score"],
+                    [batch.column(0).slice(a, n), pa.array(names, pa.string()), pa.array(np.where(total > 0, score, 0.0)), *more],
+                    names=[id_col, "lang_pred", "score", *(["grams", "hits"] if evidence else [])],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
+    extra = ", grams double, hits double" if evidence else ""
+    return df.select(id_col, *([text_col] if text_col else [])).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double{extra}")
+
 
+def recognised(df: DataFrame, fitted: Filter, text_col: str = "text", floor: float = FLOOR) -> DataFrame:
+    """The rows of df, with all their columns, whose text is in a learned language.
 
-def recognised(df: DataFrame, fitted: Filter, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose text `identify` gives a language rather than `und`."""
-    inner = df.select(F.col(text_col).alias("_t"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
-    got = identify(inner, fitted, "_row", "_t").filter("lang_pred <> 'und'")
+    Texts without a letter are not, nor are texts of which no language holds a `floor` of the n-grams. If no
+    language was learned, or too little of all, there is nothing to tell by, and all texts with a letter stay.
+    """
+    # the text travels once, in its row
+    order = [text_col, *[c for c in df.columns if c != text_col]]
+    inner = df.select(F.struct(*[F.col(c) for c in order]).alias("_row"))
+    held = F.col("hits") >= floor * F.col("grams") if fitted.grams >= LEAST else F.lit(True)
+    got = identify(inner, fitted, "_row", None, evidence=True).filter((F.col("grams") > 0) & held)
     return got.select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 

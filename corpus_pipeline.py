@@ -17,9 +17,10 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language: no text, or no letter in it.
+    """Drop documents without a recognisable language: no text, no letter in it, or hardly an n-gram of any language.
 
-    The filters are learned from all labelled documents of docs. Documents in a language keep their rows as they are.
+    The filters are learned from all labelled documents of docs; without labels only the letters count. Documents in a
+    language keep their rows as they are.
     """
     fitted = langid.learn(docs.filter("doc_id is not null"), "doc_id", "text", "lang")
     return langid.recognised(docs, fitted, "text")

@@ -45,3 +45,15 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_language_evidence(spark):
+    """Texts of unknown n-grams go, all others with a letter stay; without labels, or with hardly any, those with letters stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(9001, "γλώσσα που κανένα έγγραφο δεν γνωρίζει", None, "s", 9), (9002, "xqzj vkxq zzxj qkvz jxqz kqxv", None, "s", 9), (9003, "12 34", None, "s", 5), (9004, "the and that", None, "s", 9)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    stage = lambda d: {r.doc_id for r in pipeline.language_stage(spark, d, SF).collect()}
+    letters = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert stage(docs) == letters - {9001, 9002}
+    assert stage(docs.withColumn("lang", F.lit(None).cast("string"))) == letters
+    assert stage(docs.withColumn("lang", F.when(F.col("doc_id") == 9004, "en"))) == letters
