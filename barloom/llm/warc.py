@@ -14,6 +14,8 @@ record without its two closing line ends; `write_warc` adds those.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,67 @@ BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|article|section|as
 HIDDEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script[ \t\r\n\f]*>|<style[^>]*>.*?</style[ \t\r\n\f]*>"
 BREAKS = rf"(?i)</?(?:{BLOCKS})(?:[ \t\r\n\f/][^>]*)?>"
 TAGS = r"</?[a-zA-Z!?][^>]*>"
-#: Character references that are resolved; the ampersand comes last.
+#: Character references and links as the SQL knows them; the ampersand comes last. The operator resolves these and more.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 LINK = r'(?i)<a[ \t\r\n\f][^>]*?href[ \t]*=[ \t]*"([^"]*)"'
+#: Named references (with a semicolon), the frequent ones first, and numbers that stand for other characters (as HTML has it).
+NAMED = {e[1:-1]: c for e, c in ENTITIES if e[1] != "#"} | {n[:-1]: c for n, c in sorted(html5.items()) if n.endswith(";") and n != "nbsp;"}
+C1 = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+RENUMBERED = {160: " "} | {n: c for n, c in C1.items() if c != "\ufffd"}
+#: White space in a tag, an attribute other than href, and a link: its value is quoted either way or not at all. Possessive, so
+#: time and stack stay small.
+WS = r"[ \t\r\n\f]"
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\r\n\f"'>][^ \t\r\n\f>]*+)"""
+NAME = r"[^ \t\r\n\f/>][^ \t\r\n\f/>=]*+"
+HREF = rf"(?i)<a(?=[ \t\r\n\f/])(?:[ \t\r\n\f/]*+(?!href{WS}*+=){NAME}(?:{WS}*+={WS}*+{VALUE})?+)*+[ \t\r\n\f/]*+href{WS}*+={WS}*+({VALUE})"
+
+
+#: A reference beyond the frequent ones of ENTITIES.
+RARE = f"&(?!(?:{'|'.join(e[1:-1] for e, _ in ENTITIES)});)[#a-zA-Z][a-zA-Z0-9]*;"
+
+
+def once(value: Column, use) -> Column:
+    """use(value), where value is computed a single time however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def resolved(text: Column) -> Column:
+    """Text with its character references resolved once, from left to right; unknown ones stay as they are."""
+
+    def frequent(t: Column) -> Column:
+        for name, char in ENTITIES:
+            t = F.replace(t, F.lit(name), F.lit(char))
+        return t
+
+    return once(text, lambda t: F.when(F.regexp_like(t, F.lit(RARE)), all_resolved(t)).otherwise(frequent(t)))
+
+
+def all_resolved(text: Column) -> Column:
+    table = F.str_to_map(F.lit("\x02".join(f"{n}\x01{c}" for n, c in NAMED.items())), F.lit("\x02"), F.lit("\x01"))
+    renumbered = F.create_map(*[F.lit(x) for pair in RENUMBERED.items() for x in pair])
+
+    def number(digits: Column, base: int) -> Column:
+        short = F.regexp_replace(digits, "^0+", "")
+        n = F.when(F.length(short) <= 7, F.conv(F.concat(F.lit("0"), short), base, 10).cast("int")).otherwise(F.lit(0))
+        n = F.when((n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+        return F.coalesce(renumbered[n], F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        char = (
+            F.when(F.regexp_like(name, F.lit("^#[0-9]")), number(F.substring(name, F.lit(2), F.length(name)), 10))
+            .when(F.startswith(name, F.lit("#")), number(F.substring(name, F.lit(3), F.length(name)), 16))
+            .when(name != "", table[name])
+        )
+        return F.coalesce(F.concat(char, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    return once(F.split(text, "&"), lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), one), "")))
+
+
+def outlinks(html: Column) -> Column:
+    """The href of each anchor as it is written, without its quotes."""
+    bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), bare)
 
 
 def html_text(html: Column) -> Column:
@@ -34,9 +94,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(html, HIDDEN, " ")
     t = F.regexp_replace(t, BREAKS, "\n")
     t = F.regexp_replace(t, TAGS, "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
+    t = F.regexp_replace(resolved(t), r"[ \t\r\f]+", " ")
     return F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
@@ -91,7 +149,7 @@ def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         _line("source-payload-digest", F.col("_pd")),
         _line("source-block-digest", digest(F.col("_block"))),
         _line("source-payload-length", F.octet_length("_payload").cast("string")),
-        many("outlink", F.regexp_extract_all("_payload", F.lit(LINK), F.lit(1))),
+        many("outlink", outlinks(F.col("_payload"))),
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), fields.alias("content")),

@@ -74,6 +74,19 @@ def test_warc(spark, tmp_path):
     assert seen == 6 and warc.derivatives(warc.page_responses(empty(spark, "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_references_and_links(spark):
+    """Numeric and named references, and links in every form of attribute."""
+    text = "it&#8217;s &#x2014; caf&eacute; &Eacute;&hellip;&#128512;&#X1f600; &amp;lt; &lt;b&gt; a&nbsp;b a&#160;b &#150; &#0; &#xD800; &#99999999999; &bogus; &; & x &#; &amp &NotEqualTilde;&copy;&#0000065;"
+    want = "it\u2019s \u2014 caf\u00e9 \u00c9\u2026\U0001f600\U0001f600 &lt; <b> a b a b \u2013 \ufffd \ufffd \ufffd &bogus; &; & x &#; &amp \u2242\u0338\u00a9A"
+    links = "<a href='/1'>x</a><a href=/2>x</a><A\nclass=c HREF =\n\"/3\">x</A><a title=\"see href=/no > \" href= '/4' >x</a><a data-href=\"/no\" href=/5?a=b>x</a><a hidden href=\"\">x</a><abbr href=/no>x</abbr><a href>x</a><a/href=\"/7\"/>x"
+    long = "<a " + "k=v " * 50_000 + "href=/8>x</a>"
+    rows = [(1, None, text), (2, None, links), (3, None, long), (4, None, "plain")]
+    got = warc.derivatives(warc.page_responses(spark.createDataFrame(rows, "page_id long, url string, html string")), ("page_id",)).collect()
+    record = {(r.page_id, r.kind): r.record for r in got}
+    assert record[1, "conversion"].split("\r\n\r\n", 1)[1] == want
+    assert [re.findall("outlink: (.*)\r\n", record[k, "metadata"]) for k in (2, 3, 4)] == [["/1", "/2", "/3", "/4", "/5?a=b", "", "/7"], ["/8"], []]
+
+
 def test_licenses(spark, odd):
     s = licenses.SENTENCES
     mit = " ".join(s[k][0] for k in ("mit-grant", "mit-notice", "mit-as-is"))
