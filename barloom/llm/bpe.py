@@ -1,6 +1,6 @@
-"""BPE encoding and decoding by a tokenization automaton.
+"""BPE encoding and decoding by a search for compatible tokens, in place of a compiled tokenization automaton.
 
-The merges are compiled one after another into a deterministic automaton over tokens. The automaton
+The method named compiles the merges one after another into a deterministic automaton over tokens. It
 starts with one state that loops on every base symbol. The gadget for a merge (u, v) changes it so that it
 accepts exactly the token sequences that the merges so far can leave:
 
@@ -8,11 +8,12 @@ accepts exactly the token sequences that the merges so far can leave:
 * T(uv) becomes the state T(v) was before that;
 * every state that still has an arc u gets an arc uv.
 
-Copies are never materialised. A state is the final T(u) of its token; an arc (T(u), t) is there unless
-a merge removed one of t's left parts from one of the states T(u) was copied from, before that copy or
-that longer arc was made. That gives each arc a closed form over the merge times (`Automaton._arc`), and
-the arcs in use are tabulated. A word has exactly one path through the automaton, so encoding is one
-forward pass over table entries with no search, and decoding emits the labels of the arcs.
+That automaton isn't built here: neither its states nor its arc table exist. A state is the final T(u) of its
+token; an arc (T(u), t) would be there unless a merge removed one of t's left parts from one of the states
+T(u) was copied from, before that copy or that longer arc was made. `Automaton._arc` decides that for a pair
+of tokens by walking their merge times, when the pair is first met, and remembers the answer.
+A word has exactly one path, which `encode` searches in a trie of tokens, longest first, stepping back
+from dead ends. Decoding emits the labels of the path's tokens.
 """
 
 from __future__ import annotations
