@@ -1,31 +1,34 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One filter array serves all languages: each slot holds a bitmask with one bit for each language, so one
-probe of an n-gram returns every language that contains it (the bitwise and of its slots). A text's
-score for a language is the number of its n-grams whose mask has that language's bit, corrected for the
-rate at which a bit is set by chance; the highest corrected count decides.
-
-Training counts n-grams with Spark over a bounded sample of labelled rows (`sample` rows a language,
-chosen by a hash of the id); only the selected n-grams, `grams` a language at most, come to the driver
-to be set in the filter, whose size is a parameter and doesn't grow with the data. Prediction is one
-pass over the rows where they are: nothing is shuffled.
+One filter array serves all languages: each slot holds a bitmask with one bit for each language (eight to a slice), so
+one probe of an n-gram returns every language that contains it (the bitwise and of its slots). A text's score for a
+language is the number of its n-grams whose mask has that language's bit, corrected for the rate at which a bit is set
+by chance; the highest corrected count decides.
+
+Training counts n-grams with Spark over a bounded sample of labelled rows (`sample` rows a language, those of lowest id
+hash) and sets the filter's bits by a bitwise aggregate over slots, so what comes to the driver is the filter itself,
+whose size is a parameter and doesn't grow with the data. Prediction is one pass over the rows where they are: nothing is
+shuffled, and only texts go to Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .scratch import small_batches
 
 #: Lengths of n-grams; a boundary counts as one character.
 SIZES = (2, 3, 4, 5)
 #: Slots of the filter (a power of two) and probes for each n-gram.
 SLOTS, PROBES = 1 << 22, 2
-#: Labelled rows used for each language, n-grams kept for each, languages at most.
-SAMPLE, GRAMS, LANGUAGES = 4000, 100_000, 64
+#: Labelled rows used for each language, give or take those that share the last hash prefix.
+SAMPLE = 4000
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate anywhere.
 SHARE = 0.1
 #: A text is in a known language if this share of its n-grams, corrected for chance, belongs to one language. The lowest share of any
@@ -33,7 +36,7 @@ SHARE = 0.1
 #: LEAST for every language has seen too little to reject a text.
 FLOOR, LEAST = 0.1, 1000
 #: Code points handled at once.
-STEP = 1 << 19
+STEP = 1 << 18
 
 U = np.uint64
 _fold: list[np.ndarray] = []
@@ -46,16 +49,9 @@ def fold() -> np.ndarray:
     return _fold[0]
 
 
-def gram_hashes(texts: list[str | None]):
-    """Yield (n, hash, row) for all n-grams of letters and boundaries that hold a letter."""
-    parts = [("\n" + (t or "") + "\n").encode("utf-32-le", "surrogatepass") for t in texts]
-    code = fold()[np.frombuffer(b"".join(parts), dtype="<u4")].astype(U)
-    off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-    keep = np.ones(len(code), bool)  # runs of boundaries count as one
-    keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    keep[off[:-1]] = True
-    row = np.repeat(np.arange(len(texts)), np.diff(off))[keep]
-    code = code[keep]
+def _gram_part(code: np.ndarray, row: np.ndarray, stop: int):
+    """(n, hash, row) of the n-grams that start before `stop`."""
+    code = code.astype(U)
     acc = code * U(0x9E3779B97F4A7C15)
     for n in range(2, max(SIZES) + 1):
         if len(code) < n:
@@ -64,6 +60,7 @@ def gram_hashes(texts: list[str | None]):
         if n not in SIZES:
             continue
         inner = np.ones(len(acc), bool)  # boundaries only at the ends
+        inner[stop:] = False
         for k in range(1, n - 1):
             inner &= code[k : k + len(acc)] != 0
         if n == 2:
@@ -72,16 +69,41 @@ def gram_hashes(texts: list[str | None]):
         yield n, tk.mix(acc[inner] * U(0x94D049BB133111EB) + U(n)), row[: len(acc)][inner]
 
 
+def gram_hashes(texts: list[str], rows: np.ndarray):
+    """Yield (n, hash, row) for all n-grams of letters and boundaries that hold a letter."""
+    parts = [("\n" + t + "\n").encode("utf-32-le", "surrogatepass") for t in texts]
+    code = fold()[np.frombuffer(b"".join(parts), dtype="<u4")]
+    sizes = np.array([len(p) // 4 for p in parts])
+    keep = np.ones(len(code), bool)  # runs of boundaries count as one
+    keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
+    keep[np.cumsum(sizes) - sizes] = True
+    row = np.repeat(rows.astype(np.int32), sizes)[keep]
+    code = code[keep]
+    for a in range(0, len(code), STEP):  # more than one step only for a single word of that length
+        z = a + STEP + max(SIZES) - 1
+        yield from _gram_part(code[a:z], row[a:z], STEP)
+
+
 def pieces(texts: list[str | None]):
-    """Cut a batch into runs of rows of about STEP characters."""
-    start, held = 0, 0
+    """(texts, their rows) by about STEP characters; a longer text is cut before a character that is no letter, so no n-gram is lost."""
+    part, rows, held = [], [], 0
     for k, t in enumerate(texts):
-        held += len(t or "") + 2
-        if held >= STEP:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+        t, at = t or "", 0
+        while True:
+            to = at + STEP - held
+            while to < len(t) and fold()[ord(t[to])]:
+                to += 1
+            part.append(t[at:to])
+            rows.append(k)
+            held += to - at + 2 if to < len(t) else len(t) - at + 2
+            at = to
+            if held >= STEP:
+                yield part, np.array(rows)
+                part, rows, held = [], [], 0
+            if at >= len(t):
+                break
+    if part:
+        yield part, np.array(rows)
 
 
 class Filter:
@@ -91,21 +113,18 @@ class Filter:
         self.langs = langs
         self.slices = np.zeros((-(-len(langs) // 8), SLOTS), dtype=np.uint8)
         self.chance = np.zeros(len(langs))
-        self.grams = 0  # of the language that has the most
+        self.grams = 0  # of the language that has the most, by the slots set
 
     @staticmethod
     def slots(hashes: np.ndarray) -> list[np.ndarray]:
         step = hashes >> U(32) | U(1)
         return [((hashes + U(k) * step) & U(SLOTS - 1)).astype(np.int64) for k in range(PROBES)]
 
-    def add(self, lang: int, hashes: np.ndarray) -> None:
-        for at in self.slots(hashes):
-            self.slices[lang // 8][at] |= np.uint8(1 << lang % 8)
-        self.grams = max(self.grams, len(hashes))
-
     def close(self) -> Filter:
         for k in range(len(self.langs)):
-            self.chance[k] = np.mean((self.slices[k // 8] >> np.uint8(k % 8)) & 1) ** PROBES
+            share = np.mean((self.slices[k // 8] >> np.uint8(k % 8)) & 1)
+            self.chance[k] = share**PROBES
+            self.grams = max(self.grams, int(-np.log1p(-min(share, 1 - 1 / SLOTS)) * SLOTS / PROBES))
         return self
 
     def counts(self, hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -117,104 +136,155 @@ class Filter:
             mask = part[slots[0]]
             for at in slots[1:]:
                 mask &= part[at]
-            out.append(np.bincount(rows * 256 + mask, minlength=n * 256).reshape(n, 256) @ bits)
+            out.append(np.bincount(rows * np.int64(256) + mask, minlength=n * 256).reshape(n, 256) @ bits)
         return np.concatenate(out, axis=1)[:, : len(self.langs)]
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, grams: int = GRAMS) -> Filter:
-    """Fit the filter to the rows of df with a label; they must be at least one for each language.
+def slot_columns(gram: Column) -> list[Column]:
+    """The slots of `Filter.slots` for a column of hashes (as longs): low bits only, so nothing overflows."""
+    low = F.lit(SLOTS - 1).cast("long")
+    step = F.shiftrightunsigned(gram, 32).bitwiseOR(F.lit(1).cast("long")).bitwiseAND(low)
+    return [(gram.bitwiseAND(low) + k * step).bitwiseAND(low).cast("int") for k in range(PROBES)]
+
+
+def sampled_ids(ids: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
+    """((_id, _lang) of about `sample` ids of lowest hash for each _lang, all languages by falling number of rows).
 
-    The sample of each language is its `sample` rows of lowest id hash, or all it has.
+    Two counts, of the first and then the next 12 bits of the hash, find the prefix at which a language has its sample,
+    so no language is ranked in one task; ids that share that last prefix are all taken.
     """
-    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col), F.lit(11)), F.col(id_col))
-    ids = labelled.select(id_col, lang_col).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
-    rows = ids.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
-    langs = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    # bounded: `sample` ids for each of at most LANGUAGES languages
-    texts = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    texts = texts.join(F.broadcast(rows), ["_id", "_lang"], "left_semi").select("_lang", "_text")
+    spark, last = ids.sparkSession, 4095
+    h = F.xxhash64(F.col("_id"), F.lit(11))
+    ids = ids.withColumns({"_p": F.shiftrightunsigned(h, 52).cast("int"), "_q": (F.shiftrightunsigned(h, 40) % (last + 1)).cast("int")})
+
+    def reached(counted: DataFrame, place: str, have: Column) -> DataFrame:
+        """Where, among at most 4096 prefixes of a language, its running count reaches the sample, and the count before."""
+        run = Window.partitionBy("_lang").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+        told = counted.withColumn("_upto", F.sum("count").over(run) + have)
+        short = F.max(F.when(F.col("_upto") < sample, F.col("_upto")))
+        return told.groupBy("_lang").agg(F.min(F.when(F.col("_upto") >= sample, F.col(place))).alias("_cut"), F.coalesce(short, F.lit(0)).alias("_have"), F.sum("count").alias("_rows"))
+
+    # one row for each language
+    one = reached(ids.groupBy("_lang", "_p").count(), "_p", F.lit(0)).fillna(last, ["_cut"]).collect()
+    table = spark.createDataFrame([tuple(r) for r in one], "_lang string, _cut int, _have long, _rows long")
+    inside = ids.join(F.broadcast(table), "_lang").filter("_p = _cut")
+    two = reached(inside.groupBy("_lang", "_have", "_q").count(), "_q", F.col("_have")).select("_lang", F.coalesce("_cut", F.lit(last)).alias("_last"))
+    cuts = table.join(two, "_lang", "left").select("_lang", "_cut", F.coalesce("_last", F.lit(last)).alias("_last"))
+    kept = ids.join(F.broadcast(cuts), "_lang").filter("_p < _cut or (_p = _cut and _q <= _last)").select("_id", "_lang").distinct()
+    return kept, [r["_lang"] for r in sorted(one, key=lambda r: (-r["_rows"], r["_lang"]))]
+
+
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Filter:
+    """Fit the filter to a sample of the rows of df with a label and an id; they may be none.
+
+    The sample of each language is its rows of lowest id hash, about `sample` of them, or all it has; rows without text
+    among them teach nothing. Every n-gram of the sample that tells a language from others counts.
+    """
+    small_batches(df.sparkSession)
+    labelled = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter("_lang is not null and _id is not null")
+    ids, langs = sampled_ids(labelled.select("_id", "_lang"), sample)
+    out = Filter(langs)
+    if not langs:
+        return out
+    # bounded: about `sample` ids for each language
+    texts = labelled.join(F.broadcast(ids), ["_id", "_lang"], "left_semi").select("_lang", "_text")
 
+    @tk.tidy
     def count(batches):
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist(), dtype=object)
-            text = batch.column(1).to_pylist()
-            for a, z in pieces(text):
-                for n, hashes, row in gram_hashes(text[a:z]):
-                    for name in sorted(set(lang[a:z])):
-                        own, many = np.unique(hashes[lang[a:z][row] == name], return_counts=True)
+            for text, rows in pieces(batch.column(1).to_pylist()):
+                for n, hashes, row in gram_hashes(text, rows):
+                    for name in sorted(set(lang[rows])):
+                        own, many = np.unique(hashes[lang[row] == name], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([name] * len(own), pa.string()), pa.array(np.full(len(own), n), pa.int32()), pa.array(own.view(np.int64)), pa.array(many, pa.int64())],
                             names=["lang", "n", "gram", "seen"],
                         )
 
     seen = texts.mapInArrow(count, "lang string, n int, gram long, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
-    rate = seen.withColumn("rate", F.col("seen") / F.sum("seen").over(Window.partitionBy("lang", "n")))
-    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    best = rate.filter((F.col("seen") >= 2) & (F.col("rate") >= SHARE * F.col("top")))
-    best = best.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("seen"), "gram")))
-    out = Filter(langs)
-    got = best.filter(F.col("_rank") <= grams).select("lang", "gram").toArrow()  # bounded by languages x grams
-    names, hashes = np.array(got.column("lang").to_pylist(), dtype=object), got.column("gram").to_numpy().view(U)
-    for k, name in enumerate(langs):
-        out.add(k, hashes[names == name])
+    totals = seen.groupBy("lang", "n").agg(F.sum("seen").alias("all"))  # languages x sizes
+    rate = seen.join(F.broadcast(totals), ["lang", "n"]).withColumn("rate", F.col("seen") / F.col("all"))
+    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))  # a row for each language at most
+    order = df.sparkSession.createDataFrame([(name, k) for k, name in enumerate(langs)], "lang string, place int")
+    best = rate.filter((F.col("seen") >= 2) & (F.col("rate") >= SHARE * F.col("top"))).join(F.broadcast(order), "lang").select("place", "gram")
+    bit = F.expr("shiftleft(1, place % 8)")
+    masks = best.select(F.floor(F.col("place") / 8).cast("int").alias("slice"), bit.alias("bit"), F.explode(F.array(*slot_columns(F.col("gram")))).alias("slot"))
+    got = masks.groupBy("slice", "slot").agg(F.bit_or("bit").cast("short").alias("mask")).toArrow()  # bounded by the filter's slots
+    out.slices[got["slice"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.uint8)
     return out.close()
 
 
-def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: str | None = "text", evidence: bool = False) -> DataFrame:
-    """(id, lang_pred, score) and, with evidence, (grams, hits) for every row of df, whole texts, nothing shuffled.
+def identified(df: DataFrame, fitted: Filter, text_col: str = "text") -> Column:
+    """struct<lang_pred, score, grams, hits> of a text column of df; only the texts go to Python.
 
-    lang_pred is `und` with score 0 if the text is null or has no letter, or if no language was learned.
-    score is the winner's share of the corrected counts, 0 to 1; a text with letters whose n-grams no
-    language contains gets the language with the most training rows and score 0. Ties go to that order
-    too. Without text_col the id is a struct with the text as its first field. grams: the text's n-grams, hits: the winner's corrected count. Repeated rows and null ids come out as they came in; other columns are not looked at.
+    lang_pred is `und` with score 0 if the text is null or has no letter, or if no language was learned. score is the
+    winner's share of the corrected counts, 0 to 1; a text with letters whose n-grams no language contains gets the
+    language with the most labelled rows and score 0. Ties go to that order too. grams: the text's n-grams, hits: the
+    winner's corrected count.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(fitted)  # fixed size: SLOTS bytes for every 8 languages
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def predict(batches):
+    def predict(texts):
         f = shared.value
-        for batch in batches:
-            text = (batch.column(1) if text_col else batch.column(0).field(0)).to_pylist()
-            for a, z in pieces(text):
-                n = z - a
-                total, hits = np.zeros(n), np.zeros((n, len(f.langs)))
-                for _, hashes, row in gram_hashes(text[a:z]):
-                    total += np.bincount(row, minlength=n)
-                    if f.langs:
-                        hits += f.counts(hashes, row, n)
-                fair = np.maximum((hits - f.chance * total[:, None]) / (1 - f.chance), 0)
-                # within a text, what all languages hold alike says nothing
-                base = fair.min(axis=1, keepdims=True) if len(f.langs) > 1 else np.zeros((n, 1))
-                best = fair.argmax(axis=1) if f.langs else np.zeros(n, int)
-                rest = (fair - base).sum(axis=1) if f.langs else np.zeros(n)
-                top = (fair - base)[np.arange(n), best] if f.langs else np.zeros(n)
-                score = np.divide(top, rest, out=np.zeros(n), where=rest > 0)
-                names = [f.langs[b] if t and f.langs else "und" for b, t in zip(best, total)]
-                more = [pa.array(total), pa.array(fair.max(axis=1, initial=0.0))] if evidence else []
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(names, pa.string()), pa.array(np.where(total > 0, score, 0.0)), *more],
-                    names=[id_col, "lang_pred", "score", *(["grams", "hits"] if evidence else [])],
-                )
-
-    extra = ", grams double, hits double" if evidence else ""
-    return df.select(id_col, *([text_col] if text_col else [])).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double{extra}")
-
-
-def recognised(df: DataFrame, fitted: Filter, text_col: str = "text", floor: float = FLOOR) -> DataFrame:
-    """The rows of df, with all their columns, whose text is in a learned language.
+        n = len(texts)
+        total, hits = np.zeros(n), np.zeros((n, len(f.langs)))
+        for part, rows in pieces(texts.to_pylist()):
+            for _, hashes, row in gram_hashes(part, rows):
+                first, last = rows[0], rows[-1] + 1
+                total[first:last] += np.bincount(row - first, minlength=last - first)
+                if f.langs:
+                    hits[first:last] += f.counts(hashes, row - first, last - first)
+        fair = np.maximum((hits - f.chance * total[:, None]) / (1 - f.chance), 0)
+        # within a text, what all languages hold alike says nothing
+        base = fair.min(axis=1, keepdims=True) if len(f.langs) > 1 else np.zeros((n, 1))
+        best = fair.argmax(axis=1) if f.langs else np.zeros(n, int)
+        rest = (fair - base).sum(axis=1) if f.langs else np.zeros(n)
+        top = (fair - base)[np.arange(n), best] if f.langs else np.zeros(n)
+        score = np.divide(top, rest, out=np.zeros(n), where=rest > 0)
+        names = [f.langs[b] if t and f.langs else "und" for b, t in zip(best, total)]
+        return pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()), pa.array(np.where(total > 0, score, 0.0)), pa.array(total), pa.array(fair.max(axis=1, initial=0.0))],
+            names=["lang_pred", "score", "grams", "hits"],
+        )
+
+    @F.arrow_udf("lang_pred string, score double, grams double, hits double")
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield predict(texts)
+        finally:
+            tk.give_back()
+
+    # nondeterministic in name only: else a filter on the result would be pushed below it and run it twice
+    return over.asNondeterministic()(F.col(text_col))
+
+
+def identify(df: DataFrame, fitted: Filter, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(id, lang_pred, score, ...) for every row of df, whole texts, nothing shuffled; see `identified`.
+
+    Repeated rows and null ids come out as they came in; other columns are not looked at.
+    """
+    told = df.select(F.col(id_col), *more, identified(df, fitted, text_col).alias("_told"))
+    return told.select(*[c for c in told.columns if c != "_told"], "_told.lang_pred", "_told.score")
+
+
+def recognised(df: DataFrame, fitted: Filter, text_col: str = "text", lang_col: str | None = None, floor: float = FLOOR) -> DataFrame:
+    """The rows of df, with all their columns, whose text is in a learned language; a null lang_col becomes the language found.
 
     Texts without a letter are not, nor are texts of which no language holds a `floor` of the n-grams. If no
     language was learned, or too little of all, there is nothing to tell by, and all texts with a letter stay.
     """
-    # the text travels once, in its row
-    order = [text_col, *[c for c in df.columns if c != text_col]]
-    inner = df.select(F.struct(*[F.col(c) for c in order]).alias("_row"))
-    held = F.col("hits") >= floor * F.col("grams") if fitted.grams >= LEAST else F.lit(True)
-    got = identify(inner, fitted, "_row", None, evidence=True).filter((F.col("grams") > 0) & held)
-    return got.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    name = "_told"
+    while name in df.columns:
+        name += "_"
+    got = df.withColumn(name, identified(df, fitted, text_col))
+    told = F.col(name)
+    held = told["hits"] >= floor * told["grams"] if fitted.grams >= LEAST else F.lit(True)
+    got = got.filter((told["grams"] > 0) & held)
+    found = {lang_col: F.coalesce(F.col(lang_col), F.when(told["lang_pred"] != "und", told["lang_pred"]))} if lang_col and fitted.langs else {}
+    return got.withColumns(found).select(*df.columns)
 
 
 def held_out(id_col: str):
@@ -225,9 +295,8 @@ def held_out(id_col: str):
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score): learn from the rows that aren't held out, predict all.
 
-    Rows with a null label or text teach nothing; a null id is not held out. Without any labelled row every
-    prediction is `und`. See `identify` for the other cases.
+    Rows with a null label, id or text teach nothing; a null id is not held out. Any number of languages is learned. Without any labelled row every
+    prediction is `und`. See `identified` for the other cases.
     """
-    fitted = learn(df.filter(~held_out(id_col) & F.col(id_col).isNotNull()), id_col, text_col, lang_col)
-    got = identify(df, fitted, id_col, text_col)
-    return got.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    fitted = learn(df.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    return identify(df, fitted, id_col, text_col, held_out(id_col).alias("held_out"))

@@ -38,3 +38,14 @@ def release(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of the Arrow batches that go to Python, and the setting that holds them.
+BATCH_BYTES, _SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES unless the session has a smaller limit: rows are texts of any length, so that a number of rows bounds nothing."""
+    now = spark.sql(f"SET {_SETTING}").first()[1]
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))

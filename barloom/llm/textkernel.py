@@ -5,6 +5,9 @@ All functions take plain numpy arrays; nothing here touches Spark or the driver.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,11 +16,34 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Text bytes handled at once; bounds a task's memory whatever the batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _pow: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is kept for later stages should not keep what it no longer uses."""
+    _pow.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A function over Arrow batches that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _pow.get(base)
