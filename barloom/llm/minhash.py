@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .scratch import staged
+from .scratch import small_batches, staged
 
 #: Signature places, pieces they are cut into, and differences enumerated within a piece.
 ROWS, CHUNKS, ERRORS = 40, 8, 1
@@ -32,8 +32,8 @@ ROWS, CHUNKS, ERRORS = 40, 8, 1
 BITS = 16
 #: Signature differences beyond which a pair isn't confirmed: 4.3 standard deviations above the mean at 0.8.
 FAR = 19
-#: Rows of a block when the rest of a bucket is compared by signature, and items of one when it is by sets.
-BLOCK, BLOCK_ITEMS = 2048, 60_000
+#: Rows of a block when the rest of a bucket is compared, items of one when it is by sets, and items multiplied at once.
+BLOCK, BLOCK_ITEMS, STRETCH = 2048, 60_000, 1024
 #: Ids up to which a table of them is broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 1 << 21
 
@@ -111,7 +111,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 )
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        sketch, "id long, n_shingles long, print binary, sig binary"
+        tk.tidy(sketch), "id long, n_shingles long, print binary, sig binary"
     )
 
 
@@ -126,7 +126,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 items = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), items], names=["id", "items"])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(build, "id long, items array<long>")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(tk.tidy(build), "id long, items array<long>")
 
 
 def index_keys(sigs: DataFrame, chunks: int, errors: int) -> DataFrame:
@@ -208,13 +208,13 @@ def _doubtful(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hub[seen]), pa.array(ids[seen])], names=["hub", "id"])
 
     dealt = _dealt(rows, "hub", F.ceil(F.col("n") / BLOCK).cast("int"), ["id", "component", "sig"])
-    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, solve), "hub long, id long").distinct()
+    return dealt.mapInArrow(tk.tidy(lambda batches: _grouped(batches, 3, solve)), "hub long, id long").distinct()
 
 
 def _within(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links among the texts of each hub, from (hub, id, items, total).
+    """(a, b): a spanning forest of the links among the texts of each hub, from (hub, id, items, total, n).
 
-    total is the number of items of all the hub's texts. Full sets are intersected in the task as products of
+    total is the number of items of all the hub's n texts; a block is bounded in both. Full sets are intersected in the task as products of
     0/1 matrices over the items that stand in several of them, a stretch of items at a time.
     """
 
@@ -231,9 +231,9 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
         row = row[often]
         code = np.unique(code[often], return_inverse=True)[1]
         common = np.zeros((len(left), len(right)), np.float32)
-        for a in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-            s, e = np.searchsorted(code, [a, a + 4096])
-            m = np.zeros((len(ids), 4096), np.float32)
+        for a in range(0, int(code[-1]) + 1 if len(code) else 0, STRETCH):
+            s, e = np.searchsorted(code, [a, a + STRETCH])
+            m = np.zeros((len(ids), STRETCH), np.float32)
             m[row[s:e], code[s:e] - a] = 1
             common += m[left] @ m[right].T
         hit = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
@@ -251,8 +251,9 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
         if far.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(label[far])], names=["a", "b"])
 
-    dealt = _dealt(rows, "hub", F.ceil(F.col("total") / BLOCK_ITEMS).cast("int"), ["id", "items"])
-    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, solve), "a long, b long").distinct()
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_ITEMS), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = _dealt(rows, "hub", blocks, ["id", "items"])
+    return dealt.mapInArrow(tk.tidy(lambda batches: _grouped(batches, 3, solve)), "a long, b long").distinct()
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -293,6 +294,7 @@ def near_duplicates(
     Ties cannot arise: every choice is by smallest id. An empty table gives an empty result. Other
     columns of df are not looked at, whatever their names.
     """
+    small_batches(df.sparkSession)
     base = staged(sketches(df, id_col, text_col, size), "sketches")
     linkable = base.filter("id is not null and print is not null")
     classes = linkable.groupBy("print").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
@@ -321,7 +323,7 @@ def near_duplicates(
     rest = rest.join(rest.groupBy("hub").agg(F.count("*").alias("n")), "hub").join(sigs, "id").select("hub", "id", "component", "sig", "n")
     doubt = staged(_doubtful(rest), "doubt")
     full = doubt.join(sets, "id")
-    totals = doubt.join(sets.select("id", F.size("items").alias("k")), "id").groupBy("hub").agg(F.sum("k").alias("total"))
+    totals = doubt.join(sets.select("id", F.size("items").alias("k")), "id").groupBy("hub").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
     more = staged(_within(full.join(totals, "hub"), percent), "more")
     final = components(links.unionByName(more), "a", "b")
 
