@@ -16,9 +16,9 @@ from is refined once per symbol of depth by passing it through the shards' trans
 the texts again and never re-sorts suffixes. The refinement also yields the common prefix of neighbouring
 rows; rows that still share a block at full depth form the repeated intervals.
 
-Hot groups: a minimizer with more than `hot` distinct runs is not gathered. Its windows are hashed and counted
+Hot groups: a minimizer with more than `hot` bytes of distinct runs is not gathered. Its windows are hashed and counted
 one by one with map-side combining, so a passage that a third of all documents holds in ever new surroundings
-stays distributed.
+stays distributed. A text longer than a slice is read in stretches of windows, so what a task holds is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import release, staged
+from .scratch import release, small_batches, staged
 
 #: Length of a repeat in bytes; of the substrings whose least hash deals it; of a symbol.
 LENGTH, GRAM, SYMBOL = 200, 64, 25
 #: Bytes of a shard, and of the shards merged at once (a group is never cut).
-SHARD, MERGE = 1 << 18, 3 << 19
-#: Distinct runs of one minimizer beyond which its windows are counted one by one.
-HOT = 20_000
+SHARD, MERGE = 1 << 17, 1 << 19
+#: Bytes of the distinct runs of one minimizer beyond which they are too many for one task and their windows are counted one by one.
+HOT = 1 << 20
 
 U = np.uint64
 _NO_ID = -(1 << 63)
@@ -84,13 +84,24 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
 def keyed(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(did, uid, text, _c0, ...): did stands for a null id too, uid tells rows that share an id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"), F.hash(text).alias("uid"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("uid"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+
+
+def _stretches_of(column: pa.Array, length: int):
+    """(first row, row after the last, byte offset, bytes, offsets): slices of rows; a longer text comes in stretches of its windows."""
+    for a, z, data, off in tk.slices(column):
+        if len(data) <= 2 * tk.SLICE_BYTES:
+            yield a, z, 0, data, off
+            continue
+        for at in range(0, len(data), tk.SLICE_BYTES):  # one text alone; a run ends with its stretch
+            part = data[at : at + tk.SLICE_BYTES + length - 1]
+            yield a, z, at, part, np.array([0, len(part)])
 
 
 def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
-            for a, z, data, off in tk.slices(batch.column(2)):
+            for a, z, first, data, off in _stretches_of(batch.column(2), length):
                 got = runs(data, off, length, gram)
                 if got is None:
                     continue
@@ -100,12 +111,12 @@ def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     [
                         pa.array(least.view(np.int64)), pa.array(text.view(np.int64)),
                         batch.column(0).slice(a, z - a).take(take), batch.column(1).slice(a, z - a).take(take),
-                        pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(again),
+                        pa.array(start + first, pa.int32()), pa.array(n, pa.int32()), pa.array(again),
                     ],
                     names=["m", "th", "did", "uid", "start", "n", "again"],
                 )
 
-    return docs.select("did", "uid", "text").mapInArrow(cut, "m long, th long, did long, uid int, start int, n int, again boolean")
+    return docs.select("did", "uid", "text").mapInArrow(tk.tidy(cut), "m long, th long, did long, uid long, start int, n int, again boolean")
 
 
 # --- shard transforms and their merge ---------------------------------------------------------------
@@ -246,7 +257,7 @@ def _merged(texts: DataFrame, length: int, symbol: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "m long, th long, first int, count int")
+    return dealt.mapInArrow(tk.tidy(run), "m long, th long, first int, count int")
 
 
 def _counted(texts: DataFrame, length: int) -> DataFrame:
@@ -269,9 +280,12 @@ def _counted(texts: DataFrame, length: int) -> DataFrame:
                     names=["m", "th", "first", "w"],
                 )
 
-    each = texts.dropDuplicates(["m", "th"]).mapInArrow(windows, "m long, th long, first int, w long")
+    each = texts.dropDuplicates(["m", "th"]).mapInArrow(tk.tidy(windows), "m long, th long, first int, w long")
     often = each.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    return each.join(often, "w", "left_semi").select("m", "th", "first", F.lit(1).alias("count"))
+    hit = each.join(often, "w", "left_semi")
+    # neighbouring windows of a run become one stretch
+    island = F.col("first") - F.row_number().over(Window.partitionBy("m", "th").orderBy("first"))
+    return hit.select("m", "th", "first", island.alias("k")).groupBy("m", "th", "k").agg(F.min("first").alias("first"), F.count("*").cast("int").alias("count")).drop("k")
 
 
 # --- the operator -----------------------------------------------------------------------------------
@@ -289,8 +303,8 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, symbol: int, hot: i
     mixed = found.filter("mixed")
     distinct = mixed.groupBy("m", "th").agg(F.count("*").alias("c"), F.min(F.struct("did", "uid", "start", "n")).alias("one"))
     distinct = staged(distinct, "distinct")
-    sizes = distinct.groupBy("m").agg(F.count("*").alias("k"))
-    wanted = distinct.join(sizes, "m").select("m", "th", (F.col("k") > hot).alias("hot"), "one.*")
+    sizes = distinct.groupBy("m").agg(F.sum(F.col("one.n") + F.lit(length - 1).cast("long")).alias("bytes"))
+    wanted = distinct.join(sizes, "m").select("m", "th", (F.col("bytes") > hot).alias("hot"), "one.*")
     lists = wanted.groupBy("did", "uid").agg(F.collect_list(F.struct("m", "th", "hot", "start", "n")).alias("cuts"))
 
     def fetch(batches):
@@ -305,7 +319,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, symbol: int, hot: i
                     names=["m", "th", "hot", "bytes"],
                 )
 
-    texts = docs.join(lists, ["did", "uid"]).select("text", "cuts").mapInArrow(fetch, "m long, th long, hot boolean, bytes binary")
+    texts = docs.join(lists, ["did", "uid"]).select("text", "cuts").mapInArrow(tk.tidy(fetch), "m long, th long, hot boolean, bytes binary")
     texts = staged(texts, "texts")
     part = ["m", "th", "bytes"]
     inner = _merged(texts.filter("not hot").select(*part), length, symbol)
@@ -315,14 +329,18 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, symbol: int, hot: i
     release(texts)
 
     often = distinct.filter("c > 1").select("m", "th")
-    place = lambda a, n: F.struct(F.expr(a).cast("int").alias("a"), F.expr(n).cast("int").alias("n")).alias("r")
+    place = lambda a, n: F.struct(a.cast("int").alias("a"), n.cast("int").alias("n"))
+    itself = F.array(place(F.col("start"), F.col("n"))).alias("r")
+    # a distinct run's stretches in one list, bounded by its length: the join gives a row for each run, not for each stretch
+    within = inner.groupBy("m", "th").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    parts = F.transform("parts", lambda p: place(F.col("start") + p["first"], p["count"])).alias("r")
     ranges = (
-        whole.select("did", "uid", place("start", "n"))
-        .unionByName(mixed.join(often, ["m", "th"], "left_semi").select("did", "uid", place("start", "n")))
-        .unionByName(mixed.join(inner, ["m", "th"]).select("did", "uid", place("start + first", "count")))
+        whole.select("did", "uid", itself)
+        .unionByName(mixed.join(often, ["m", "th"], "left_semi").select("did", "uid", itself))
+        .unionByName(mixed.join(within, ["m", "th"]).select("did", "uid", parts))
     )
     # one list for each document, bounded by its own length
-    return ranges.groupBy("did", "uid").agg(F.collect_list("r").alias("ranges"))
+    return ranges.groupBy("did", "uid").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 
 def _spans(size: int, ranges, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,6 +376,7 @@ def removal(
     """
     if length % symbol or gram > length:
         raise ValueError("length must be a multiple of symbol, and gram at most length")
+    small_batches(df.sparkSession)
     docs = keyed(df, id_col, text_col, carry)
     ranges = staged(repeated_ranges(docs, length, gram, symbol, hot), "ranges")
     last = "kept_sha256" if digests else "kept_text"
@@ -387,6 +406,6 @@ def removal(
 
     joined = docs.join(ranges, ["did", "uid"], "left").select("did", "text", "ranges", *extra)
     kinds = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in extra)
-    out = joined.mapInArrow(finish, f"did long, n_bytes long, n_removed long, n_spans long, {last} string{kinds}")
+    out = joined.mapInArrow(tk.tidy(finish), f"did long, n_bytes long, n_removed long, n_spans long, {last} string{kinds}")
     names = [F.col(c).alias(name) for c, name in zip(extra, carry)]
     return out.select(F.nullif(F.col("did"), F.lit(_NO_ID)).alias(id_col), "n_bytes", "n_removed", "n_spans", last, *names)
