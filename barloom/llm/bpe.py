@@ -1,19 +1,21 @@
-"""BPE encoding and decoding by a search for compatible tokens, in place of a compiled tokenization automaton.
+"""BPE encoding and decoding by a tokenization automaton compiled from the merges.
 
-The method named compiles the merges one after another into a deterministic automaton over tokens. It
-starts with one state that loops on every base symbol. The gadget for a merge (u, v) changes it so that it
-accepts exactly the token sequences that the merges so far can leave:
+Compiling. The automaton reads tokens and accepts exactly the sequences that BPE leaves. It starts with one state that
+loops on every base symbol; each merge (u, v), in order, is a gadget on it (`gadgets`):
 
 * T(u), the state that token u leads to, is replaced by a copy without the arc v;
 * T(uv) becomes the state T(v) was before that;
 * every state that still has an arc u gets an arc uv.
 
-That automaton isn't built here: neither its states nor its arc table exist. A state is the final T(u) of its
-token; an arc (T(u), t) would be there unless a merge removed one of t's left parts from one of the states
-T(u) was copied from, before that copy or that longer arc was made. `Automaton._arc` decides that for a pair
-of tokens by walking their merge times, when the pair is first met, and remembers the answer.
-A word has exactly one path, which `encode` searches in a trie of tokens, longest first, stepping back
-from dead ends. Decoding emits the labels of the path's tokens.
+As the last rule is the same for all states, a state is held by the arcs it lost, each with the time of the loss; a token's
+arc is there unless it, or the start it was built on at that time, was lost. That is under a million entries for 50,000 merges, built in
+one pass, and equal states are one.
+
+Encoding. Composed with the spelling of tokens, the automaton reads symbols (bytes, the last one of a word marked where the
+vocabulary marks word ends). A composed state is the set of token states of the places from which a token may still be
+being spelled, each with the place in the spelling reached; each prefix of a word has one accepted token sequence, so a transition emits just one token, that
+sequence's last. Transitions are put into a table when first met (`Automaton._compose`); from then on a symbol costs one lookup. At a word's end the
+emitted tokens are followed back by their lengths: no place is searched or visited twice. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -22,13 +24,23 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct words in a task's table before it becomes the older one of two.
-MAX_WORDS = 150_000
+from . import textkernel as tk
+from .scratch import small_batches
+
+#: Distinct words in a task's table before it becomes the older one of two; transitions in its table before it is begun anew.
+MAX_WORDS, MAX_MOVES = 150_000, 400_000
+#: The splitter that byte-level vocabularies use when their file names none.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Splitters whose matches hold no blank and look at nothing around them: a text may be cut at blanks first.
+LOCAL_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
 def byte_symbols() -> list[str]:
@@ -39,180 +51,303 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def gadgets(merges: list[tuple[int, int, int]], tokens) -> tuple[dict[int, int], list[dict[int, int]]]:
+    """(T, lost): the state each token leads to, and each state's lost arcs with the time of the loss.
+
+    merges: (u, v, uv) in order. States that lost the same arcs are one.
+    """
+    leads: dict[int, dict[int, int]] = {t: {} for t in tokens}
+    for time, (u, v, w) in enumerate(merges):
+        leads[w] = dict(leads[v])  # T(v) before the gadget
+        leads[u][v] = time
+    number: dict[tuple, int] = {}
+    lost: list[dict[int, int]] = []
+    to = {}
+    for t, arcs in leads.items():
+        key = tuple(arcs.items())
+        if key not in number:
+            number[key] = len(lost)
+            lost.append(arcs)
+        to[t] = number[key]
+    return to, lost
+
+
 class Automaton:
-    """The compiled merges of one vocabulary file."""
+    """The compiled merges of one vocabulary as flat tables (token states, arcs, spellings), and the symbol table grown from them.
+
+    Compiled once on the driver; the tables are all that is sent to tasks.
+    """
 
     def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], end: str):
-        self.vocab, self.end = vocab, end
-        self.label = {i: t for t, i in vocab.items()}
-        never = len(merges)
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.made: dict[int, int] = {}
-        self.gadget: dict[tuple[int, int], int] = {}
-        for time, (u, v) in enumerate(merges):
-            iu, iv, iw = vocab[u], vocab[v], vocab[u + v]
-            self.gadget[iu, iv] = time
-            self.left[iw], self.right[iw], self.made[iw] = iu, iv, time
-        self.never = never
-        self.arcs: dict[int, bool] = {}
-        self.trie: dict = {}
-        for t, i in vocab.items():
-            last = bool(end) and t.endswith(end)
-            node = self.trie
-            for c in t[: -len(end)] if last else t:
-                node = node.setdefault(c, {})
-            for kind in ("last",) if last else ("inner",) if end else ("inner", "last"):
-                node[kind] = i
-
-    def _arc(self, state: int, token: int) -> bool:
-        x, x_until = state, self.never
-        while True:
-            y, y_until = token, self.never
-            while True:
-                time = self.gadget.get((x, y))
-                if time is not None and time < x_until and time <= y_until:
-                    return False
-                if y not in self.left:
-                    break
-                y_until, y = self.made[y], self.left[y]
-            if x not in self.right:
-                return True
-            x_until, x = self.made[x], self.right[x]
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of one pre-split word, given as byte symbols.
-
-        The walk takes the longest arc first and steps back from dead ends. A position is reached by one
-        token only (each prefix has one path), so a dead position stays dead and the walk is linear.
-        """
-        n, arcs = len(word), self.arcs
-        if len(arcs) > 1_000_000:
-            arcs.clear()
-        dead: set[int] = set()
-        done: list[tuple] = []
-        at, state, out = 0, -1, self._out(word, 0)
-        while True:
-            while out:
-                token, to = out.pop()
-                if to in dead:
-                    continue
-                if state >= 0:
-                    key = state << 20 | token
-                    open_ = arcs.get(key)
-                    if open_ is None:
-                        open_ = arcs[key] = self._arc(state, token)
-                    if not open_:
-                        continue
-                done.append((at, state, out, token))
-                if to == n:
-                    return [d[3] for d in done]
-                at, state, out = to, token, self._out(word, to)
-                break
-            else:
-                dead.add(at)
-                if not done:
-                    raise ValueError("the vocabulary lacks a base symbol of the word")
-                at, state, out, _ = done.pop()
-
-    def _out(self, word: str, at: int) -> list[tuple[int, int]]:
-        """(token, end) of every token spelled from `at`, shortest first."""
-        node, found, n = self.trie, [], len(word)
-        for to in range(at, n):
-            node = node.get(word[to])
-            if node is None:
-                return found
-            if to + 1 < n and (token := node.get("inner")) is not None:
-                found.append((token, to + 1))
-        if (token := node.get("last")) is not None:
-            found.append((token, n))
-        return found
+        numbers = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        made = {w for _, _, w in numbers}
+        spelling: dict[int, list[int]] = {}
+        for text, i in vocab.items():
+            last = bool(end) and text.endswith(end)
+            stem = text[: -len(end)] if last else text
+            if (i in made or len(stem) == 1) and stem and all(c in byte for c in stem):
+                codes = [byte[c] for c in stem]
+                spelling[i] = [*codes[:-1], codes[-1] + 256 * last]
+        self.width = max(vocab.values()) + 1
+        to, lost = gadgets(numbers, spelling)
+        self.start = len(lost)  # before a word: a state that lost nothing
+        per_token = lambda values, none: array("i", [values.get(t, none) for t in range(self.width)])
+        self.to, self.length = per_token(to, -1), per_token({i: len(s) for i, s in spelling.items()}, 0)
+        self.left, self.made = per_token({w: u for u, _, w in numbers}, -1), per_token({n[2]: time for time, n in enumerate(numbers)}, 0)
+        # the lost arcs: sorted (state, token), and the time of each
+        key = np.repeat(np.arange(len(lost)) * self.width, [len(arcs) for arcs in lost]) + np.array([t for arcs in lost for t in arcs], dtype=np.int64)
+        order = np.argsort(key)
+        self.arcs = array("q", key[order].astype("<i8").tobytes())
+        self.times = array("i", np.array([time for arcs in lost for time in arcs.values()], dtype="<i4")[order].tobytes())
+        # spellings as a tree: sorted (node, symbol), the node each leads to, and the token that ends at a node
+        child: dict[int, int] = {}
+        ends, inner = [-1], [False]
+        for i, codes in spelling.items():
+            node = 0
+            for c in codes:
+                inner[node] = True
+                step = child.get(node << 9 | c)
+                if step is None:
+                    step = child[node << 9 | c] = len(ends)
+                    ends.append(-1)
+                    inner.append(False)
+                node = step
+            ends[node] = i
+        edges = sorted(child)
+        self.edges, self.under = array("q", edges), array("i", [child[e] for e in edges])
+        self.ends, self.inner = array("i", ends), bytearray(inner)
+        self.bits = self.width.bit_length()
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget the symbol table; it is grown anew from the compiled tables."""
+        self.moves: dict[int, int] = {}
+        self.sets: list[tuple] = [(self.start, 0)]
+        self.known = {self.sets[0]: 0}
+
+    def has_arc(self, state: int, token: int) -> bool:
+        """Whether the token automaton has an arc `token` from `state`."""
+        until, low, arcs = 1 << 30, state * self.width, self.arcs
+        while token >= 0:
+            at = bisect_left(arcs, low + token)
+            if at < len(arcs) and arcs[at] == low + token and self.times[at] <= until:
+                return False
+            until, token = self.made[token], self.left[token]
+        return True
+
+    def _compose(self, state: int, symbol: int) -> int:
+        """The transition of a composed state on a symbol: the state it leads to and the token emitted, in one number."""
+        going: list[int] = []
+        emitted, members, edges = -1, self.sets[state], self.edges
+        for k in range(0, len(members), 2):
+            edge = members[k + 1] << 9 | symbol
+            at = bisect_left(edges, edge)
+            if at == len(edges) or edges[at] != edge:
+                continue
+            node = self.under[at]
+            token = self.ends[node]
+            if emitted < 0 <= token and self.has_arc(members[k], token):
+                emitted = token
+            if self.inner[node]:
+                going += (members[k], node)
+        if emitted < 0:
+            raise ValueError("the vocabulary lacks a base symbol of the word")
+        found = (*going, self.to[emitted], 0)
+        to = self.known.get(found)
+        if to is None:
+            to = self.known[found] = len(self.sets)
+            self.sets.append(found)
+        move = self.moves[state << 9 | symbol] = to << self.bits | emitted
+        return move
+
+    def encode(self, symbols) -> list[int]:
+        """Ids of one pre-split word, given as symbols: one table lookup for each."""
+        if len(self.moves) > MAX_MOVES:
+            self.reset()
+        moves, state, out = self.moves, 0, []
+        bits, low = self.bits, (1 << self.bits) - 1
+        for symbol in symbols:
+            move = moves.get(state << 9 | symbol)
+            if move is None:
+                move = self._compose(state, symbol)
+            state = move >> bits
+            out.append(move & low)
+        ids, at, length = [], len(out), self.length
+        while at:
+            token = out[at - 1]
+            ids.append(token)
+            at -= length[token]
+        ids.reverse()
+        return ids
+
+
+def _steps(node, key: str) -> list[dict]:
+    return [] if node is None else [s for n in node[key] for s in _steps(n, key)] if node["type"] == "Sequence" else [node]
+
+
+def _pattern(node: dict) -> str:
+    return node["Regex"] if "Regex" in node else regex.escape(node["String"])
 
 
 class Tokenizer:
-    """A vocabulary file's normaliser, splitter and automaton, for use inside a task."""
+    """A vocabulary file's normaliser, splitter, automaton and decoder, for use inside a task; what it can't do as the file says is an error."""
 
     def __init__(self, spec: bytes):
         d = json.loads(spec)
         model = d["model"]
+        if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("byte_fallback"):
+            raise ValueError("not a plain BPE model")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.auto = Automaton(merges, dict(model["vocab"]), model.get("end_of_word_suffix") or "")
-        steps = d["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        self.end = model.get("end_of_word_suffix") or ""
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in d["added_tokens"]):
+            raise ValueError("added tokens must stand for themselves")
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
+        self.auto = Automaton(merges, {t: i for t, i in model["vocab"].items() if t not in self.added}, self.end)
+        label = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        self.symbols = byte_symbols()
+        self.steps = _steps(d["normalizer"], "normalizers")
+        self.normal = [self._normal(s) for s in self.steps]
+        self.kinds = [s["type"] for s in _steps(d["normalizer"], "normalizers")]
+        self.split, self.prefix, self.kept_only = None, False, False
+        byte_level = False
+        for s in _steps(d["pre_tokenizer"], "pretokenizers"):
+            if s["type"] == "Split" and self.split is None and (s["behavior"], s["invert"]) in (("Removed", True), ("Isolated", False), ("Isolated", True)):
+                self.split, self.kept_only = _pattern(s["pattern"]), s["behavior"] == "Removed"
+            elif s["type"] == "ByteLevel" and not byte_level and not (s["use_regex"] and self.split):
+                byte_level, self.prefix = True, s["add_prefix_space"]
+                self.split = BYTE_LEVEL_PATTERN if s["use_regex"] else self.split
+            else:
+                raise ValueError(f"no pre-tokenizer {s['type']}")
+        if not byte_level:
+            raise ValueError("not a byte-level vocabulary")
+        kind = (d["decoder"] or {"type": None})["type"]
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"no decoder {kind}")
+        self.join = b"" if kind else b" "
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        as_bytes = lambda t: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
+        self.labels = [b""] * (max(label) + 1)
+        for i, t in label.items():
+            self.labels[i] = as_bytes(t) if kind else t.encode()
+        # words of a text cut at blanks are met again and again, so whole pieces are remembered
+        self.local = self.split in LOCAL_PATTERNS and self.kept_only and not self.prefix and self.kinds == ["NFC", "Replace", "Lowercase"]
+        self.split = regex.compile(self.split) if self.split else None
         self.space = regex.compile(r"\s+")
-        self.table: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of the texts seen."""
+        self.table: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.auto.reset()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "normal"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.normal = [self._normal(s) for s in self.steps]
+
+    @staticmethod
+    def _normal(s: dict):
+        if s["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
+            return lambda t: t if t.isascii() else unicodedata.normalize(s["type"], t)
+        if s["type"] == "Lowercase":
+            # lower() would look at what follows a capital sigma
+            return lambda t: t.lower() if t.isascii() else t.replace("Σ", "σ").lower()
+        if s["type"] == "Replace":
+            found, put = regex.compile(_pattern(s["pattern"])), s["content"]
+            return lambda t: found.sub(lambda _: put, t)
+        raise ValueError(f"no normaliser {s['type']}")
+
+    def _words(self, text: str) -> list[str]:
+        if self.split is None:
+            return [text] if text else []
+        if self.kept_only:
+            return self.split.findall(text)
+        words, at = [], 0
+        for m in self.split.finditer(text):
+            words += [text[at : m.start()], m[0]]
+            at = m.end()
+        return [w for w in (*words, text[at:]) if w]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        out = self.older.get(chunk)
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        out = self.older.get(piece)
         if out is None:
             ids: list[int] = []
-            for word in [chunk] if chunk.isascii() and chunk.isalpha() else self.split.findall(chunk):
-                ids += self.auto.encode(word if word.isascii() and word.isalpha() else "".join([self.symbols[b] for b in word.encode()]))
-            label = self.auto.label
-            out = (struct.pack(f"<{len(ids)}I", *ids), " ".join([label[i] for i in ids]))
+            for word in self._words(piece) if self.local else [piece]:
+                codes = word.encode()
+                ids += self.auto.encode([*codes[:-1], codes[-1] + 256] if self.end else codes)
+            out = (struct.pack(f"<{len(ids)}I", *ids), self.join.join([self.labels[i] for i in ids]))
         if len(self.table) >= MAX_WORDS:
             self.older, self.table = self.table, {}
-        self.table[chunk] = out
+        self.table[piece] = out
         return out
 
-    def _plain(self, text: str, packed: list[bytes], labels: list[str]) -> None:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")  # lower() would look at what follows
-        text = text.lower()
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def _plain(self, text: str, packed: list[bytes], labels: list[bytes]) -> None:
+        if self.local:  # the same as the steps below, for whole pieces
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.lower()
+            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+            pieces = self.space.split(text) if odd else text.split()
+        else:
+            for step in self.normal:
+                text = step(text)
+            pieces = self._words(" " + text if self.prefix and text and not text[0].isspace() else text)
         table = self.table
-        for chunk in self.space.split(text) if odd else text.split():
-            if chunk:
-                got = table.get(chunk) or self._chunk(chunk)
-                packed.append(got[0])
-                labels.append(got[1])
+        for piece in pieces:
+            if piece:
+                got = table.get(piece) or self._piece(piece)
+                if got[0]:
+                    packed.append(got[0])
+                    labels.append(got[1])
 
     def run(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
         packed: list[bytes] = []
-        labels: list[str] = []
+        labels: list[bytes] = []
         text, at = text or "", 0
         for m in self.cut.finditer(text):
             self._plain(text[at : m.start()], packed, labels)
             packed.append(struct.pack("<I", self.added[m[0]]))
-            labels.append(m[0])
+            labels.append(m[0].encode())
             at = m.end()
         self._plain(text[at:] if at else text, packed, labels)
-        return b"".join(packed), " ".join(labels)
+        return b"".join(packed), self.join.join(labels).decode("utf-8", "replace")
+
+
+def _compiled(df: DataFrame, vocab_path: str):
+    """The vocabulary compiled on the driver and broadcast: tables of fixed size, about 20 MB for 50,000 merges."""
+    small_batches(df.sparkSession)
+    with open(vocab_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(Tokenizer(f.read()))
 
 
-_compiled: dict[str, Tokenizer] = {}
+def _forgetting(run, shared):
+    """run(tokenizer, batches) as a function over Arrow batches that leaves nothing remembered in its worker."""
 
+    def wrapped(batches):
+        tok = shared.value
+        try:
+            yield from run(tok, batches)
+        finally:
+            tok.forget()
 
-def compiled(spec: bytes) -> Tokenizer:
-    """One compilation for each Python worker and vocabulary."""
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _compiled:
-        _compiled[key] = Tokenizer(spec)
-    return _compiled[key]
+    return tk.tidy(wrapped)
 
 
 def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) for every row; rows keep their partitions, nothing is shuffled.
 
-    vocab_path: a byte-level BPE file, read once on the driver; only the file's own bytes (fixed, about
-    2 MB) are broadcast. A null or empty text gives no ids and an empty string. Special tokens written
+    vocab_path: a byte-level BPE file, read and compiled once on the driver; its tables (fixed, about 20 MB) are broadcast. A file that asks for a step not known here is an error. A null or empty text gives no ids and an empty string. Special tokens written
     in a text become their ids, as that file's library does. Very long texts are handled whole, one at a
     time. Repeated rows and null ids come out as often as they came in; other columns are not looked at.
     """
-    with open(vocab_path, "rb") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = _compiled(df, vocab_path)
 
-    def encode(batches):
-        import numpy as np
-
-        tok = compiled(spec.value)
+    def encode(tok, batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -225,7 +360,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, text_col).mapInArrow(_forgetting(encode, shared), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def bpe_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,11 +368,9 @@ def bpe_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
 
     The cases are those of `bpe_encode`; an empty text has 0 tokens and the digests of nothing.
     """
-    with open(vocab_path, "rb") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = _compiled(df, vocab_path)
 
-    def digest(batches):
-        tok = compiled(spec.value)
+    def digest(tok, batches):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             n, ids, text = [], [], []
@@ -253,5 +386,5 @@ def bpe_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(
-        digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        _forgetting(digest, shared), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
