@@ -16,21 +16,26 @@ from barloom.llm.scratch import staged
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _held(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but `own` renamed to names no operator uses, and the way back."""
+    back = {f"_held{k}": c for k, c in enumerate(c for c in docs.columns if c not in own)}
+    return docs.select(*own, *[F.col(c).alias(h) for h, c in back.items()]), back
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: no text, no letter in it, or hardly an n-gram of any language.
 
-    The filters are learned from all labelled documents of docs; without labels only the letters count. Documents in a
-    language keep their rows as they are.
+    The filters are learned from labelled documents of docs; without labels only the letters count. Documents in a
+    language keep their rows, and where lang is null the language found is written there.
     """
-    fitted = langid.learn(docs.filter("doc_id is not null"), "doc_id", "text", "lang")
-    return langid.recognised(docs, fitted, "text")
+    fitted = langid.learn(docs, "doc_id", "text", "lang")
+    return langid.recognised(docs, fitted, "text", "lang")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest doc_id.
 
-    Documents without an id stay. Rows that share an id are one document and stay or go together; of equal
-    rows one stays.
+    Documents without an id stay. Rows that share an id are one document and stay or go together.
     """
     found = minhash.near_duplicates(docs, "doc_id", "text", size=5, percent=80)
     gone = found.filter("not kept").select("doc_id").distinct()
@@ -39,17 +44,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every passage of 200 bytes or more that also stands elsewhere; n_chars follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix.removal(docs, "doc_id", "text", carry=others)
-    found = found.withColumnsRenamed({"kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    held, back = _held(docs, "doc_id", "text")
+    found = suffix.removal(held, "doc_id", "text", carry=tuple(back)).select("doc_id", F.col("kept_text").alias("text"), *back)
+    found = found.withColumnsRenamed(back)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights: rows as often as they are taken, cut to the words taken."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, "doc_id", "text", "source", carry=carry)
-    return mixing.taken_texts(mixed).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    held, back = _held(docs, "doc_id", "source")
+    words = next(h for h, c in back.items() if c == "text")
+    mixed = mixing.mix(held, "doc_id", words, "source", carry=tuple(back))
+    taken = mixing.taken_texts(mixed, words).select("doc_id", "source", *back).withColumnsRenamed(back)
+    return taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
