@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Accepted spellings.
-TRUE_WORDS = ("1", "true", "t", "yes", "y")
-SELL_WORDS = ("sell", "s", "ask")
+TRUE_WORDS = ("true", "1", "yes", "y", "t")
+SELL_WORDS = ("sell", "ask", "offer", "short", "s", "-1", "sellshort", "sell-side", "sell_side")
 #: Fixed values: (limit, divisor of what lies at or above it) by rule, largest first; below all limits values are seconds.
 EPOCH_RULES = {
     "ticks": ((1e18, 1e6), (1e15, 1e3), (1e12, 1.0)),
@@ -92,3 +92,35 @@ def calendar(us: Column) -> list[Column]:
 
 def hour(us: Column) -> Column:
     return F.hour(F.timestamp_micros(us))
+
+
+def confidence(probs: Column) -> dict[str, Column]:
+    """p_pos, p_neg and conf of an array of class probabilities: its last, its first and its largest."""
+    return {"p_pos": F.element_at(probs, -1), "p_neg": F.element_at(probs, 1), "conf": F.array_max(probs)}
+
+
+def class_probabilities(columns: list[str]) -> Column:
+    """The array of probabilities of a table of predictions: its prob_* columns, else the softmax of its logits_* columns."""
+    found = [c for c in columns if c.startswith("prob_")]
+    if found:
+        return F.array(*[F.col(c).cast("double") for c in found])
+    found = [c for c in columns if c.startswith("logits_")]
+    if not found:
+        raise ValueError(f"no prob_ or logits_ columns among {columns}")
+    return softmax(F.array(*[F.col(c).cast("double") for c in found]))
+
+
+def end_us(columns: list[str], horizon_us: int, time: str = "us") -> Column:
+    """When an event ends: the first of the known end columns, else its time and what it took to hit, else its time and the horizon."""
+    ends = [F.col(c) for c in ("end_us", "end_ts", "t1", "vertical_time", "t_vert", "t_end") if c in columns]
+    took = [F.col(time) + (F.col("time_to_hit_sec") * 1_000_000).cast("long")] if "time_to_hit_sec" in columns else []
+    return (ends or [F.coalesce(*took, F.col(time) + horizon_us)])[0]
+
+
+def event_reason(reason: Column) -> Column:
+    """End reasons with the horizon written as `vertical`."""
+    return F.when(reason == "t1", "vertical").otherwise(reason)
+
+
+def seconds_between(first_us: Column, last_us: Column) -> Column:
+    return (last_us - first_us) / 1e6

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import DAY_US, running_sum
+from .scan import DAY_US, position, running_sum
 
 
 def _ohlc(at):
@@ -54,9 +54,15 @@ def numbered(bars: DataFrame, order: str = "us") -> DataFrame:
     return bars.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy(order, "bar_id")) - 1)
 
 
-def bump(df: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
-    """df with `bumped`: ts made strictly rising, each at least one above the one before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    rows = df.withColumn("_n", n)
-    return rows.withColumn("bumped", F.max(F.col(ts) - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")).drop("_n")
+def bump(df: DataFrame, keys: list[str], order: list[str], ts: str, bucket: Column | None = None) -> DataFrame:
+    """df with `bumped`: ts made strictly rising, each at least one above the one before.
+
+    With a bucket, which must rise with the order, a key's rows are windowed within buckets, and what earlier buckets bring on is one row each.
+    """
+    rows = position(df, keys, order, F.lit(0) if bucket is None else bucket, "_n").withColumn("_bk", F.lit(0) if bucket is None else bucket)
+    slack = F.col(ts) - F.col("_n")
+    ends = rows.groupBy(*keys, "_bk").agg(F.max(slack).alias("_m"))
+    before = F.max("_m").over(Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(ends.select(*keys, "_bk", before.alias("_before")), [*keys, "_bk"])
+    upto = F.max(slack).over(Window.partitionBy(*keys, "_bk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("bumped", F.greatest(upto, "_before") + F.col("_n")).drop("_n", "_bk", "_before")

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_sums
+
 
 def ev_sweep(df: DataFrame, keys: list[str], steps: int, win: float, loss: float, least: int) -> DataFrame:
-    """(keys, threshold, n, precision, ev): the threshold of i/steps with the highest expected value for each group, the lowest of equals.
+    """(keys, threshold, n, precision, ev): the threshold of i * (1/steps) with the highest expected value for each group, the lowest of equals.
 
     Rows are counted by grid cell first; a threshold's counts are suffix sums over at most steps + 1 cells, so rows are
     not multiplied by thresholds. Groups in which no threshold has `least` rows get nulls and their number of rows.
     """
-    cell = F.least(F.floor(F.col("p") * steps), F.lit(steps)).cast("int")
+    step = 1.0 / steps
+    guess = F.floor(F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0)) * steps).cast("int")
+    p = F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0))
+    # the product may fall on the wrong side of a threshold
+    cell = F.when(p >= (guess + 1) * step, guess + 1).when(p < guess * step, guess - 1).otherwise(guess)
     cells = df.groupBy(*keys, cell.alias("i")).agg(F.count("*").alias("c"), F.sum("y").alias("s"))
     grid = df.select(*keys).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     w = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
@@ -21,15 +27,17 @@ def ev_sweep(df: DataFrame, keys: list[str], steps: int, win: float, loss: float
     full = full.withColumn("precision", prec).withColumn("ev", F.col("precision") * win - (1 - F.col("precision")) * loss)
     good = F.when((F.col("n") >= least) & F.col("ev").isNotNull(), F.struct(F.col("ev"), (-F.col("i")).alias("m"), F.col("n"), F.col("precision")))
     best = full.groupBy(*keys).agg(F.max(good).alias("b"), F.max("n").alias("all"))
-    return best.select(*keys, (-F.col("b.m") / steps).alias("threshold"), F.coalesce("b.n", "all").alias("n"), F.col("b.precision").alias("precision"), F.col("b.ev").alias("ev"))
+    return best.select(*keys, (-F.col("b.m") * step).alias("threshold"), F.coalesce("b.n", "all").alias("n"), F.col("b.precision").alias("precision"), F.col("b.ev").alias("ev"))
 
 
 def precision_recall(df: DataFrame, win: float, loss: float) -> DataFrame:
     """(n, base, average_precision, lift, breakeven) in one row; equal probabilities are one step of the curve."""
     steps = df.groupBy("p").agg(F.count("*").alias("c"), F.sum("y").alias("s"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)  # distinct probabilities
     total = steps.agg(F.sum("s").alias("pos"), F.sum("c").alias("n"))
-    curve = steps.select(F.col("s"), (F.sum("s").over(w) / F.sum("c").over(w)).alias("prec"))
+    # from the highest probability down, cut into buckets of probabilities
+    falling = steps.withColumns({"one": F.lit(1), "down": -F.col("p")})
+    curve = running_sums(falling, ["one"], ["down"], {"_s": F.col("s"), "_c": F.col("c")}, F.floor(F.col("down") * 1024))
+    curve = curve.select("s", (F.col("_s") / F.col("_c")).alias("prec"))
     ap = curve.agg(F.sum(F.col("s") * F.col("prec")).alias("a")).join(F.broadcast(total))
     base = F.col("pos") / F.col("n")
     return ap.select("n", base.alias("base"), (F.col("a") / F.col("pos")).alias("average_precision"), (F.col("a") / F.col("pos") / base).alias("lift"), F.lit(loss / (win + loss)).alias("breakeven"))
@@ -43,19 +51,32 @@ def ev_by(df: DataFrame, key: str, threshold: float, win: float, loss: float) ->
     return out.select(key, "n", prec.alias("precision"), F.when(F.col("n") > 0, prec * win - (1 - prec) * loss).otherwise(0.0).alias("ev"))
 
 
-def pnl_grid(df: DataFrame, thresholds: list[float], confidences: list[float], fee_bp: float) -> DataFrame:
-    """(threshold, confidence, trades, mean, sd): result of acting on p_pos or p_neg at or above a threshold where the largest probability is
-    at or above the confidence; y is the outcome in 1, 0, -1. Grid points ride along in an array and meet in a combined aggregate."""
-    grid = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(c).alias("confidence")) for t in thresholds for c in confidences]))
-    rows = df.select("p_pos", "p_neg", "conf", "y", grid.alias("g"))
-    act = (F.col("p_pos") >= F.col("g.threshold")).cast("int") - (F.col("p_neg") >= F.col("g.threshold")).cast("int")
-    act = F.when(F.col("conf") >= F.col("g.confidence"), act).otherwise(0)
-    rows = rows.select("g.*", act.alias("a"), F.when(act != 0, act * F.col("y") - fee_bp / 1e4).alias("r"))
-    return rows.groupBy("threshold", "confidence").agg(F.count("r").alias("trades"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("mean"), F.when(F.count("r") > 1, F.stddev_samp("r")).otherwise(0.0).alias("sd"))
-
+def pnl_grid(df: DataFrame, thresholds: list[float], confidences: list[float], fee_bp: float, periods_per_year: int = 252 * 24 * 60) -> DataFrame:
+    """(threshold, confidence, n, mean, sd, sharpe) over rows (p_pos, p_neg, conf, label) for every grid point.
 
-def sharpe(grid: DataFrame, periods_per_year: int = 252 * 24 * 60) -> DataFrame:
-    return grid.withColumn("sharpe", F.col("mean") / (F.col("sd") + 1e-9) * (periods_per_year**0.5))
+    Rows with conf below the confidence are left out; all others earn 1 if the action (p_pos at or above the threshold, less p_neg at or
+    above it) is the label and -1 if it isn't, less the fee. Rows are counted by what they have reached of both grids first, so a row is
+    never multiplied by the grid; mean and sample deviation follow from the counts. Points without rows have null figures.
+    """
+    reached = lambda x, grid: F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= x))
+    rows = df.select(reached(F.col("p_pos"), thresholds).alias("a"), reached(F.col("p_neg"), thresholds).alias("z"), reached(F.col("conf"), confidences).alias("c"), "label")
+    cells = rows.groupBy("a", "z", "c", "label").agg(F.count("*").alias("k"))
+    points = [(i, float(t), j, float(c)) for i, t in enumerate(sorted(thresholds)) for j, c in enumerate(sorted(confidences))]
+    grid = df.sparkSession.createDataFrame(points, "i int, threshold double, j int, confidence double")
+    act = (F.col("a") > F.col("i")).cast("int") - (F.col("z") > F.col("i")).cast("int")
+    met = cells.join(F.broadcast(grid), F.col("c") > F.col("j"), "right")  # the grid is a parameter
+    right = F.sum(F.when(act == F.col("label"), F.col("k")).otherwise(0))
+    out = met.groupBy("i", "j", "threshold", "confidence").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), right.alias("_r"))
+    gross = F.try_divide(2 * F.col("_r") - F.col("n"), F.col("n"))
+    out = out.withColumns({"mean": gross - fee_bp / 1e4, "sd": F.when(F.col("n") > 1, F.sqrt(F.col("n") * (1 - gross * gross) / (F.col("n") - 1)))})
+    return out.withColumn("sharpe", F.col("mean") / (F.col("sd") + 1e-9) * periods_per_year**0.5).drop("_r")
+
+
+def best_point(grid: DataFrame) -> DataFrame:
+    """The grid point of the highest sharpe in one row, the first of equals by threshold and then confidence."""
+    named = ("threshold", "confidence", "sharpe", "mean", "n")
+    top = F.max_by(F.struct(*named), F.struct(F.col("sharpe"), -F.col("i"), -F.col("j")))
+    return grid.filter("sharpe is not null").agg(top.alias("b")).select("b.*")
 
 
 def positions(p_pos: Column, p_flat: Column, p_neg: Column, threshold: float) -> Column:
@@ -71,7 +92,12 @@ def equity(df: DataFrame, keys: list[str], order: list[str], fee_bp: float, slip
     ret = F.coalesce((F.col("price") - F.lag("price").over(w)) / F.col("price"), F.lit(0.0))
     turn = F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0)))
     rows = df.withColumn("pnl", F.col("position") * ret - (fee_bp + slip_bp) * 1e-4 * turn)
-    rows = rows.withColumn("equity", F.exp(F.sum(F.ln(F.greatest(1 + F.col("pnl"), F.lit(1e-12)))).over(upto)))
+    # a product: logarithms of the sizes, the number of negative factors, and whether any was zero
+    factor = 1 + F.col("pnl")
+    size = F.exp(F.sum(F.ln(F.nullif(F.abs(factor), F.lit(0.0)))).over(upto))
+    sign = F.when(F.sum((factor < 0).cast("int")).over(upto) % 2 == 1, -1.0).otherwise(1.0)
+    lost = F.max((factor == 0).cast("int")).over(upto) == 1
+    rows = rows.withColumn("equity", F.when(lost, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign))
     return rows.withColumn("drawdown", 1 - F.col("equity") / F.max("equity").over(upto))
 
 
@@ -101,3 +127,40 @@ def temperatures(df: DataFrame, grid: list[float]) -> DataFrame:
     rows = df.select("z", "y", t).withColumn("_z", F.col("z") / F.col("temperature") * (1 - 2 * F.col("y")))
     softplus = F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z")))
     return rows.groupBy("temperature").agg(F.avg(softplus).alias("nll"))
+
+
+def fitted_temperature(df: DataFrame, low: float = 1e-3, high: float = 100.0, points: int = 25, rounds: int = 5) -> DataFrame:
+    """(temperature, nll) in one row: the temperature of least mean loss, by grids that close in on it.
+
+    Each round counts `points` candidates in one aggregate over the rows; the next one spans the neighbours of the best.
+    """
+    import math
+
+    for _ in range(rounds):
+        grid = [math.exp(math.log(low) + (math.log(high) - math.log(low)) * k / (points - 1)) for k in range(points)]
+        found = temperatures(df, grid).agg(F.min_by(F.struct("temperature", "nll"), F.struct("nll", "temperature")).alias("b")).select("b.*")
+        best = found.first()
+        if best is None or best["temperature"] is None:
+            return found
+        at = min(range(points), key=lambda k: abs(grid[k] - best["temperature"]))
+        low, high = grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
+    return found
+
+
+def report(equity_rows: DataFrame, order: list[str]) -> DataFrame:
+    """(coverage_pct, final_equity, max_drawdown_pct) in one row, from rows of `equity`."""
+    last = F.max_by("equity", F.struct(*order))
+    return equity_rows.agg((100 * F.avg((F.col("position") != 0).cast("double"))).alias("coverage_pct"), last.alias("final_equity"), (100 * F.max("drawdown")).alias("max_drawdown_pct"))
+
+
+def fold_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, loss, accuracy) from rows (label, probs array): mean cross entropy and the share of rows whose likeliest class, the first of equals, is the label."""
+    top = F.array_position("probs", F.array_max("probs")) - 1
+    loss = -F.ln(F.greatest(F.element_at("probs", (F.col("label") + 1).cast("int")), F.lit(1e-12)))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(loss).alias("loss"), F.avg((top == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def described(df: DataFrame, column: str) -> DataFrame:
+    """(n, mean, sd, least, q25, q50, q75, most) of a column of few rows, such as the folds' metrics."""
+    q = lambda x: F.percentile(column, F.lit(x))
+    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).alias("most"))

@@ -11,15 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 SHARD = 2048
 
 
 def windows(bars: DataFrame, width: int, stride: int) -> DataFrame:
-    """(symbol, start, values, t0_us, t1_us): the closes of each full window that starts at a multiple of stride."""
-    w = Window.partitionBy("symbol").orderBy("pos").rowsBetween(0, width - 1)
-    # a frame only where a window starts
-    out = bars.select("symbol", F.col("pos").alias("start"), F.collect_list("close").over(w).alias("values"), F.col("us").alias("t0_us"), F.last("us").over(w).alias("t1_us"))
-    return out.filter((F.size("values") == width) & (F.col("start") % stride == 0))
+    """(symbol, start, values, qtys, t0_us, t1_us): closes and quantities of each full window that starts at a multiple of stride.
+
+    A bar goes to the windows it is in, width / stride of them at most, so nothing is gathered where no window starts.
+    """
+    first = F.ceil(F.greatest(F.col("pos") - (width - 1), F.lit(0)) / stride)
+    starts = F.sequence(first, F.floor(F.col("pos") / stride))
+    inside = bars.select("symbol", "pos", "us", "close", "qty", F.explode(F.when(first <= F.floor(F.col("pos") / stride), starts)).alias("k"))
+    rows = inside.groupBy("symbol", (F.col("k") * stride).cast("long").alias("start")).agg(F.array_sort(F.collect_list(F.struct("pos", "close", "qty", "us"))).alias("w")).filter(F.size("w") == width)
+    return rows.select("symbol", "start", F.col("w.close").alias("values"), F.col("w.qty").alias("qtys"), F.get("w.us", 0).alias("t0_us"), F.element_at("w.us", -1).alias("t1_us"))
 
 
 def scaled(values):
@@ -62,7 +68,7 @@ def bins(x: np.ndarray, n: int) -> np.ndarray:
 def mtf(x: np.ndarray, n: int, size: int) -> np.ndarray:
     """Transition probability between the bins of each two points."""
     z = bins(x, n)
-    k = int(z.max()) + 1
+    k = max(2, n, int(z.max()) + 1)  # empty bins make empty rows, which nothing points at
     m = np.zeros((k, k))
     np.add.at(m, (z[:-1], z[1:]), 1)
     m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-12)
@@ -70,54 +76,72 @@ def mtf(x: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def recurrence(x: np.ndarray, size: int, part: float = 0.2) -> np.ndarray:
-    """1 where two points are among the closest `part` of all pairs."""
+    """1 where two points are no further apart than `part` of the largest distance."""
     d = np.abs(x[:, None] - x[None, :])
-    return (d <= np.quantile(d, part)).astype(float)[:size, :size]
+    return (d <= part * d.max()).astype(float)[:size, :size]
 
 
 def scalogram(x: np.ndarray, size: int, scales: int = 32) -> np.ndarray:
-    """Morlet wavelet magnitudes over geometric widths, scaled to 0 .. 1."""
+    """Real Morlet wavelet values over geometric widths from 1 to the size, scaled to 0 .. 1."""
     z = (x - x.mean()) / (x.std() + 1e-12)
     out = []
-    for width in np.geomspace(1, max(2, len(x) / 4), min(scales, len(x))):
-        t = np.arange(-int(4 * width), int(4 * width) + 1) / width
-        out.append(np.abs(np.convolve(z, np.cos(5 * t) * np.exp(-t * t / 2) / np.sqrt(width), "same")[: len(x)]))
+    for width in np.geomspace(1, max(2, size), min(32, max(4, min(scales, size)))):
+        reach = int(8 * width)
+        t = np.arange(-reach, reach + 1) / width
+        full = np.convolve(z, np.cos(5 * t) * np.exp(-t * t / 2) / np.sqrt(width))
+        out.append(full[reach : reach + len(x)])
     m = np.array(out)
     return resize((m - m.min()) / (m.max() - m.min() + 1e-12), size)
 
 
 def resize(m: np.ndarray, size: int) -> np.ndarray:
     """size x size: rows by the nearest one below, columns linearly."""
-    rows = m[np.minimum((np.arange(size) * m.shape[0] / size).astype(int), m.shape[0] - 1)]
-    at = np.linspace(0, m.shape[1] - 1, size)
+    rows = m[np.clip(np.linspace(0, max(1, m.shape[0] - 1), size).astype(int), 0, m.shape[0] - 1)]
+    at = np.linspace(0, max(1, m.shape[1] - 1), size)
     return np.array([np.interp(at, np.arange(m.shape[1]), r) for r in rows])
 
 
-CHANNELS = ("gasf", "gadf", "mtf", "rp", "cwt")
+def channels(rp: bool = False, cwt: bool = False, calendar: bool = True) -> tuple[str, ...]:
+    """The names of an image's channels, in order; their number is what a model is built for."""
+    return ("gasf", "gadf", "mtf", *(["rp"] if rp else []), *(["cwt"] if cwt else []), "q_gasf", *(["tod_sin", "tod_cos", "dow_sin", "dow_cos"] if calendar else []))
+
+
+def _robust(v) -> np.ndarray:
+    x = np.asarray(v, float)
+    q = np.quantile(x, [0.25, 0.5, 0.75])
+    return (x - q[1]) / (q[2] - q[0] or 1.0)
+
 
+def images(wins: DataFrame, size: int, n_bins: int = 8, rp: bool = False, cwt: bool = False, calendar: bool = True) -> DataFrame:
+    """(symbol, start, <channel> array<float> of side x side, row by row) for each window; windows with non-finite prices go.
 
-def images(wins: DataFrame, size: int, n_bins: int = 8) -> DataFrame:
-    """(symbol, start, <channel> array<float> of size x size, row by row) for each window; windows with non-finite values go."""
+    side is `size`, or the window's length if that is less. Prices and quantities are scaled by median and interquartile range; the calendar
+    channels hold one value each, of the window's last time.
+    """
+    names = channels(rp, cwt, calendar)
 
     def draw(frames):
         for f in frames:
             rows = []
-            for s, a, v in zip(f["symbol"], f["start"], f["values"]):
+            for s, a, v, n, *marks in zip(f["symbol"], f["start"], f["values"], f["qtys"], *(f[c] for c in ("tod_sin", "tod_cos", "dow_sin", "dow_cos"))):
                 x = np.asarray(v, float)
                 if not len(x) or not np.isfinite(x).all():
                     continue
                 k = max(1, min(size, len(x)))
-                q = np.quantile(x, [0.25, 0.5, 0.75])
-                x = (x - q[1]) / (q[2] - q[0] or 1.0)
-                m = (*gaf(x, k), mtf(x, n_bins, k), recurrence(x, k), scalogram(x, k))
+                x = _robust(x)
+                m = [*gaf(x, k), mtf(x, n_bins, k)]
+                m += [recurrence(x, k)] if rp else []
+                m += [scalogram(x, k)] if cwt else []
+                m += [gaf(_robust(n), k)[0]]
+                m += [np.full((k, k), c) for c in marks] if calendar else []
                 rows.append((s, a, *[c.astype(np.float32).ravel() for c in m]))
-            yield pd.DataFrame(rows, columns=["symbol", "start", *CHANNELS])
+            yield pd.DataFrame(rows, columns=["symbol", "start", *names])
 
-    schema = "symbol string, start long, " + ", ".join(f"{c} array<float>" for c in CHANNELS)
-    return wins.select("symbol", F.col("start").cast("long").alias("start"), "values").mapInPandas(draw, schema)
+    schema = "symbol string, start long, " + ", ".join(f"{c} array<float>" for c in names)
+    return wins.select("symbol", F.col("start").cast("long").alias("start"), "values", "qtys", *S.calendar(F.col("t1_us"))).mapInPandas(draw, schema)
 
 
-def manifest(wins: DataFrame, shard: int = SHARD) -> DataFrame:
-    """wins with `shard` and `idx_in_shard`, counted within each symbol, and bar_pos, the last bar of the window."""
+def manifest(wins: DataFrame, shard: int = SHARD, first: int = 0) -> DataFrame:
+    """wins with `shard` (from `first` on) and `idx_in_shard`, counted within each symbol, and bar_pos, the last bar of the window."""
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("start")) - 1
-    return wins.withColumn("_n", n).withColumns({"shard": F.floor(F.col("_n") / shard), "idx_in_shard": F.col("_n") % shard, "bar_pos": F.col("start") + F.size("values") - 1}).drop("_n")
+    return wins.withColumn("_n", n).withColumns({"shard": F.floor(F.col("_n") / shard) + first, "idx_in_shard": F.col("_n") % shard, "bar_pos": F.col("start") + F.size("values") - 1}).drop("_n")

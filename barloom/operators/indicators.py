@@ -54,10 +54,11 @@ def ewma_vol(bars: DataFrame, span: int = 32) -> DataFrame:
 
 
 def rolling_vol(bars: DataFrame, width: int, least: int = 5) -> DataFrame:
-    """bars with `vol_m`: the sample standard deviation of the last `width` returns, null below `least` of them."""
+    """bars with `vol_m`: the sample standard deviation of the last `width` returns, the first counting as 0; below `least` of them the next known one."""
     w = _along().rowsBetween(1 - width, 0)
-    rows = returns(bars)
-    return rows.withColumn("vol_m", F.when(F.count("ret").over(w) >= least, F.stddev_samp("ret").over(w)))
+    rows = returns(bars).withColumn("_r", F.coalesce("ret", F.lit(0.0)))
+    rows = rows.withColumn("vol_m", F.when(F.count("_r").over(w) >= least, F.stddev_samp("_r").over(w))).drop("_r")
+    return rows.withColumn("vol_m", F.first("vol_m", ignorenulls=True).over(_along().rowsBetween(0, Window.unboundedFollowing)))
 
 
 def window_vol(bars: DataFrame, width_us: int) -> DataFrame:
@@ -71,3 +72,10 @@ def forward_return(bars: DataFrame, horizon_us: int) -> DataFrame:
     """bars with `ret_f`: the return to the last close within horizon_us from now. It looks ahead: a target, not a feature."""
     span = Window.partitionBy("symbol").orderBy("us").rangeBetween(0, horizon_us)
     return bars.withColumn("ret_f", F.last("close").over(span) / F.col("close") - 1)
+
+
+def at_samples(samples: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
+    """samples (symbol, bar_pos) with the features of that bar, of the second one for entries at the first, of the last one for entries beyond it."""
+    last = features.groupBy("symbol").agg(F.max("pos").alias("_last"))
+    rows = samples.join(F.broadcast(last), "symbol").withColumn("_at", F.least(F.greatest("bar_pos", F.lit(1)), "_last").cast("long"))
+    return rows.join(features.select("symbol", F.col("pos").cast("long").alias("_at"), *columns), ["symbol", "_at"], "left").drop("_at", "_last")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_sum
+
 
 def excursions(bars: DataFrame, horizon_bars: int) -> DataFrame:
     """bars with `mfe`, `mae`: best high above and worst low below the close over the next bars, in average true ranges.
@@ -16,6 +18,18 @@ def excursions(bars: DataFrame, horizon_bars: int) -> DataFrame:
     return bars.withColumns({"mfe": (F.max("high").over(ahead) - F.col("close")) / unit, "mae": (F.col("close") - F.min("low").over(ahead)) / unit})
 
 
+def timed_excursions(bars: DataFrame, horizon_us: int, floored: bool = False) -> DataFrame:
+    """The same over the bars within horizon_us after this one, and over the next bar at least; floored holds both at 0 or more."""
+    ahead = Window.partitionBy("symbol").orderBy("us").rangeBetween(1, horizon_us)
+    along = Window.partitionBy("symbol").orderBy("pos")
+    unit = F.nullif(F.col("atr"), F.lit(0.0))
+    best = (F.greatest(F.max("high").over(ahead), F.lead("high").over(along)) - F.col("close")) / unit
+    worst = (F.col("close") - F.least(F.min("low").over(ahead), F.lead("low").over(along))) / unit
+    if floored:
+        best, worst = (F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))) for c in (best, worst))
+    return bars.withColumns({"mfe": best, "mae": worst})
+
+
 def winsorised(df: DataFrame, column: str, part: float) -> DataFrame:
     """df with column held between its quantiles part and 1 - part."""
     q = df.agg(F.percentile(column, F.lit(part)).alias("_lo"), F.percentile(column, F.lit(1 - part)).alias("_hi"))
@@ -29,17 +43,14 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     Equal values are summed first, so what is sorted are distinct values. A group without positive weight has the plain quantile.
     """
     rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    rows = rows.withColumn("_c", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"_all": F.sum("_w").over(Window.partitionBy(*keys)), "_pv": F.lag(value).over(w), "_pc": F.lag("_c").over(w)})
-    want = F.col("_all") * q
-    slope = F.when(F.col("_pc").isNull() | (F.col("_c") == F.col("_pc")), F.col(value)).otherwise(
-        F.col("_pv") + (F.col(value) - F.col("_pv")) * (want - F.col("_pc")) / (F.col("_c") - F.col("_pc"))
-    )
-    first = F.min_by(F.when(F.col("_c") >= want, slope), F.when(F.col("_c") >= want, F.col(value)))
-    plain = F.percentile(value, F.lit(q), F.col("_n"))
-    got = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), first.alias("_f"), F.max(value).alias("_m"), plain.alias("_p"))
-    return got.select(*keys, F.when(F.col("_all") > 0, F.coalesce("_f", "_m")).otherwise(F.col("_p")).alias(out))
+    totals = rows.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    rows = running_sum(rows, keys, [value], F.col("_w"), F.floor(F.col(value) * 16), "_c").join(totals, keys)
+    want, at = F.col("_all") * q, F.struct(F.col(value).alias("v"), F.col("_c").alias("c"))
+    plain = F.percentile(F.when(~(F.col("_all") > 0), F.col(value)), F.lit(q), F.col("_n"))  # holds values only where it is needed
+    got = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), F.min(F.when(F.col("_c") >= want, at)).alias("_b"), F.max(F.when(F.col("_c") < want, at)).alias("_a"), F.max(value).alias("_m"), plain.alias("_p"))
+    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_all") * q - F.col("_a.c")) / (F.col("_b.c") - F.col("_a.c"))
+    found = F.when(F.col("_b").isNull(), F.col("_m")).when(F.col("_a").isNull(), F.col("_b.v")).otherwise(between)
+    return got.select(*keys, F.when(F.col("_all") > 0, found).otherwise(F.col("_p")).alias(out))
 
 
 def levels(df: DataFrame, group: str, q_tp: float, q_sl: float, least: int, bounds: tuple[float, float]) -> DataFrame:
@@ -54,18 +65,55 @@ def levels(df: DataFrame, group: str, q_tp: float, q_sl: float, least: int, boun
     return counts.select(group, "n", held("tp").alias("tp_mult"), held("sl").alias("sl_mult"))
 
 
-def level_for(rows: DataFrame, policy: DataFrame, group: str, default_tp: float, default_sl: float) -> DataFrame:
-    """rows with the tp_mult and sl_mult of their group, or the defaults."""
-    out = rows.join(policy.select(group, F.col("tp_mult").alias("_t"), F.col("sl_mult").alias("_s")), group, "left")
-    return out.withColumns({"tp_mult": F.coalesce("_t", F.lit(default_tp)), "sl_mult": F.coalesce("_s", F.lit(default_sl))}).drop("_t", "_s")
+def level_for(rows: DataFrame, policy: DataFrame | None, regimes: DataFrame | None, default_tp: float, default_sl: float) -> DataFrame:
+    """rows (month) with `tp_mult` and `sl_mult`: the policy's for the month or, with regimes (month, regime), for the month's regime; else the defaults.
+
+    policy (key, tp_mult, sl_mult) may lack either multiple. Both tables are a row for each month or regime. A key `global` is never looked up.
+    """
+    out = rows.withColumn("_key", F.col("month"))
+    if regimes is not None:
+        out = out.drop("_key").join(F.broadcast(regimes.select("month", F.col("regime").alias("_key"))), "month", "left")
+    if policy is None:
+        return out.drop("_key").withColumns({"tp_mult": F.lit(float(default_tp)), "sl_mult": F.lit(float(default_sl))})
+    table = policy.select(F.col("key").alias("_key"), F.col("tp_mult").alias("_t"), F.col("sl_mult").alias("_s"))
+    out = out.join(F.broadcast(table), "_key", "left")
+    return out.withColumns({"tp_mult": F.coalesce("_t", F.lit(float(default_tp))), "sl_mult": F.coalesce("_s", F.lit(float(default_sl)))}).drop("_key", "_t", "_s")
+
+
+def with_regime(rows: DataFrame, regimes: DataFrame) -> DataFrame:
+    """rows (month) with their month's `regime`, or `unknown`."""
+    return rows.join(F.broadcast(regimes), "month", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
+
+
+def drawn(seed: int, key: Column) -> Column:
+    """A number in 0 .. 1 that follows from seed and key, with 52 random bits: the same in every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), key.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
     """n rows without replacement, by a hash of the key: the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key).limit(n)
 
 
 def weighted_sample(df: DataFrame, n: int, key: str, weight: str, seed: int = 7) -> DataFrame:
     """n rows without replacement with chances by weight, by exponential keys."""
-    u: Column = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    u = F.greatest(drawn(seed, F.col(key)), F.lit(2.0**-53))
     return df.filter(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), key).limit(n)
+
+
+def weighted_draws(df: DataFrame, n: int, order: list[str], weight: str, bucket: Column, seed: int = 7) -> DataFrame:
+    """n draws with replacement, as (draw, columns of df), with chances by whole-number weights.
+
+    Draws are even in 0 .. total; the row whose stretch of the running weight holds one is found by an equi-join on shares of the total as
+    wide as a mean draw, so rows and draws meet once. bucket must rise with the order.
+    """
+    rows = running_sum(df.filter(F.col(weight) > 0).withColumn("_one", F.lit(1)), ["_one"], order, F.col(weight), bucket, "_z").drop("_one")
+    rows = rows.withColumn("_a", F.col("_z") - F.col(weight)).join(F.broadcast(df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight))).alias("_all"))))
+    width = F.greatest(F.floor(F.col("_all") / n), F.lit(1))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_z") - 1) / width)))).drop("_all")
+    total = df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight))).alias("_all"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total))
+    at = F.floor(drawn(seed, F.col("draw")) * F.col("_all"))
+    draws = draws.select("draw", at.alias("_u"), F.floor(at / width).alias("_k"))
+    met = draws.join(rows, "_k").filter((F.col("_u") >= F.col("_a")) & (F.col("_u") < F.col("_z")))
+    return met.drop("_k", "_u", "_a", "_z")

@@ -10,14 +10,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 
-def first_touch(events: DataFrame, path: DataFrame, keys: list[str], width: int) -> DataFrame:
+
+def _narrowed(parts: DataFrame, path: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """parts (keys, eid, lo, hi, up, dn) cut down to the stretches of `width` in which an event's first touch can lie.
+
+    A stretch wholly inside a range and touched by its extremes holds a touch, so only the first such one counts, and those at the ends
+    of a range that come before it.
+    """
+    extremes = path.groupBy(*keys, F.floor(F.col("x") / width).alias("_b")).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
+    spread = parts.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    met = spread.join(extremes, [*keys, "_b"]).filter((F.col("_h") >= F.col("up")) | (F.col("_l") <= F.col("dn")))
+    a, z = F.col("_b") * int(width), (F.col("_b") + 1) * int(width) - 1
+    inner = (a >= F.col("lo")) & (z <= F.col("hi"))
+    here = F.struct(F.greatest(a, "lo").alias("lo"), F.least(z, "hi").alias("hi"))
+    found = met.groupBy(*keys, "eid").agg(
+        F.min(F.when(inner, here)).alias("_s"), F.collect_set(F.when(~inner, here)).alias("_e"), F.first("up").alias("up"), F.first("dn").alias("dn")
+    )
+    before = F.filter("_e", lambda e: F.col("_s").isNull() | (e["lo"] < F.col("_s.lo")))
+    return found.select(*keys, "eid", "up", "dn", F.explode(F.array_compact(F.concat(F.array("_s"), before))).alias("_r")).select(*keys, "eid", "_r.lo", "_r.hi", "up", "dn")
+
+
+def first_touch(events: DataFrame, path: DataFrame, keys: list[str], width: int, levels: int = 0, fan: int = 16) -> DataFrame:
     """events with `at`, `hit_up`, `hit_dn`, `high_at`, `low_at` of the first path row that touches a barrier; null where none does.
 
-    events: keys, eid (unique within keys), lo, hi (closed range), up, dn; path: keys, x, high, low. width: about the longest hi - lo.
+    events: keys, eid (unique within keys), lo, hi (closed range of whole numbers), up, dn; path: keys, x, high, low. width: about the longest
+    hi - lo. With levels, ranges are narrowed first by the extremes of stretches `fan` times shorter each, so an event meets about
+    2 * fan stretches a level and a few path rows, however many rows its range holds.
     """
-    near = events.select(*keys, "eid", "lo", "hi", "up", "dn", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_b"))
-    steps = path.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "x", "high", "low", F.floor(F.col("x") / width).alias("_pb"))
+    parts, unit = events.select(*keys, "eid", "lo", "hi", "up", "dn"), width
+    for _ in range(levels):
+        unit = max(1, unit // fan)
+        parts = _narrowed(parts, path, keys, unit)
+    near = parts.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / unit), F.floor(F.col("hi") / unit))))
+    steps = path.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "x", "high", "low", F.floor(F.col("x") / unit).alias("_pb"))
     on = (F.col("_b") == F.col("_pb")) & F.col("x").between(F.col("lo"), F.col("hi")) & ((F.col("high") >= F.col("up")) | (F.col("low") <= F.col("dn")))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
@@ -52,7 +79,8 @@ def atr_barriers(bars: DataFrame, pt: float, sl: float) -> DataFrame:
     """bars with `up`, `dn` at pt and sl average true ranges (as known before the bar) from the close; bars without an ATR go."""
     from pyspark.sql import Window
 
-    known = F.lag("atr").over(Window.partitionBy("symbol").orderBy("pos"))
+    along = Window.partitionBy("symbol").orderBy("pos")
+    known = F.last(F.when(~F.isnan("atr"), F.col("atr")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     held = F.when(known.isNotNull(), F.greatest(known, F.abs("close") * 1e-12))
     out = bars.withColumn("_a", held).withColumns({"up": F.col("close") + pt * F.col("_a"), "dn": F.col("close") - sl * F.col("_a")})
     return out.filter((F.col("up") > F.col("close")) & (F.col("dn") < F.col("close"))).drop("_a")
@@ -83,18 +111,111 @@ def label_bars(bars: DataFrame, path: DataFrame, width: int, start: int = 1, rul
     return out.withColumn("reason", reason).drop("at", "hit_up", "hit_dn", "high_at", "low_at", "_d")
 
 
-def label_ticks(events: DataFrame, ticks: DataFrame, horizon_us: int) -> DataFrame:
+def label_ticks(events: DataFrame, path: DataFrame, horizon_us: int) -> DataFrame:
     """events (symbol, eid, us, up, dn) with `label` (1 profit, 0 loss, 2 neither) and `event_end_us`.
 
-    Looked at are ticks after us, up to and with us + horizon_us; a tick that touches both counts as profit. Events without ticks get 2.
+    path: ticks (symbol, us, price) or extremes (symbol, us, high, low). Looked at are rows after us, up to and with us + horizon_us; one that
+    touches both counts as profit. Events without rows, or without barriers, get 2.
     """
     ranged = events.withColumns({"lo": F.col("us") + 1, "hi": F.col("us") + horizon_us})
-    path = ticks.groupBy("symbol", F.col("us").alias("x")).agg(F.max("price").alias("high"), F.min("price").alias("low"))
-    met = first_touch(ranged, path, ["symbol"], horizon_us)
+    high, low = ("price", "price") if "price" in path.columns else ("high", "low")
+    steps = path.groupBy("symbol", F.col("us").alias("x")).agg(F.max(high).alias("high"), F.min(low).alias("low"))
+    met = first_touch(ranged, steps, ["symbol"], horizon_us, levels=2)
     label = F.when(F.col("at").isNull(), 2).when(F.col("hit_up"), 1).otherwise(0)
     return met.withColumns({"label": label, "event_end_us": F.coalesce("at", "hi")}).drop("lo", "hi", "at", "hit_up", "hit_dn", "high_at", "low_at")
 
 
+def label_snapshot(snapshot: DataFrame, bars: DataFrame, path: DataFrame, horizon_us: int, tp_mult: float, sl_mult: float, policy: DataFrame | None = None, regimes: DataFrame | None = None, month_of=S.month) -> DataFrame:
+    """snapshot rows (symbol, start, window, idx, month ...) with `label`, `event_end_us`, `us`, and month as of the entry.
+
+    The entry is the bar at start + window - 1; barriers lie tp_mult and sl_mult average true ranges (column atr of bars) from its close, by
+    month or regime where a policy says so (see `policy.level_for`). An entry at the last bar or beyond, or without a positive range, gets 2
+    (without an end where there is no entry). Rows whose month (month_of the entry's time) is none of the snapshot's are left out.
+    """
+    from .policy import level_for
+
+    last = bars.groupBy("symbol").agg(F.max("pos").alias("_last"))  # a row for each symbol
+    rows = snapshot.withColumn("_at", (F.col("start") + F.col("window") - 1).cast("long"))
+    at = bars.select("symbol", F.col("pos").cast("long").alias("_at"), "us", "close", "atr")
+    rows = rows.join(at, ["symbol", "_at"], "left").join(F.broadcast(last), "symbol", "left")
+    rows = level_for(rows, policy, regimes, tp_mult, sl_mult)
+    entered = F.coalesce(F.col("_at") < F.col("_last"), F.lit(False))
+    good = entered & (F.col("atr") > 0) & ~F.isnan("atr")
+    rows = rows.withColumns({"_in": entered, "up": F.when(good, F.col("close") + F.col("tp_mult") * F.col("atr")), "dn": F.when(good, F.col("close") - F.col("sl_mult") * F.col("atr"))})
+    rows = rows.withColumn("eid", F.col("start"))
+    touched = label_ticks(rows.filter("up is not null").select("symbol", "eid", "us", "up", "dn"), path, horizon_us).select("symbol", "eid", F.col("label").alias("_label"), F.col("event_end_us").alias("_end"))
+    out = rows.join(touched, ["symbol", "eid"], "left")
+    end = F.when(F.col("_in"), F.col("us") + horizon_us)  # the horizon's end, whether touched or not
+    out = out.withColumns({"label": F.coalesce("_label", F.lit(2)), "event_end_us": end, "touched_us": F.when(F.col("_label") < 2, F.col("_end"))})
+    months = snapshot.select("month").distinct()
+    out = out.withColumn("month", F.coalesce(F.when(F.col("_in"), month_of(F.col("us"))), F.col("month")))
+    return out.join(F.broadcast(months), "month", "left_semi").drop("_at", "_last", "_in", "_label", "_end", "eid", "atr", "close")
+
+
+def label_at(rows: DataFrame, bars: DataFrame, tp_mult: float, sl_mult: float, horizon_bars: int | None = None, horizon_us: int | None = None) -> DataFrame:
+    """rows (symbol, rid, t1) with `label` (1, 0, 2), `event_end_us`, `tp_price`, `sl_price`, looked up on bars (symbol, pos, us, close, high, low, atr).
+
+    The entry is the last bar at or before t1, or the symbol's first. The bars after it are scanned, horizon_bars of them or up to
+    horizon_us later (then one at least); the high is compared first. Just one horizon must be given. Without a range the label is 2 at the entry.
+    """
+    from .asof import asof
+
+    if (horizon_bars is None) == (horizon_us is None):
+        raise ValueError("give either horizon_bars or horizon_us")
+    ends = bars.groupBy("symbol").agg(F.max("pos").alias("_last"))
+    placed = asof(rows.withColumn("us", F.col("t1")), bars.select("symbol", "us", "pos"), ["symbol"], "us", "pos").drop("us", "us_right")
+    placed = placed.withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long")).join(F.broadcast(ends), "symbol")
+    entry = bars.select("symbol", F.col("pos").cast("long").alias("pos"), "us", "close", "atr")
+    placed = placed.join(entry, ["symbol", "pos"]).withColumns({"tp_price": F.col("close") + tp_mult * F.col("atr"), "sl_price": F.col("close") - sl_mult * F.col("atr")})
+    if horizon_bars is not None:
+        placed = placed.withColumn("_hi", F.least(F.col("pos") + horizon_bars, F.col("_last")))
+        width = horizon_bars
+    else:
+        stop = asof(placed.select("symbol", "rid", (F.col("us") + horizon_us).alias("us")), bars.select("symbol", "us", "pos"), ["symbol"], "us", "pos").select("symbol", "rid", F.col("pos").alias("_stop"))
+        placed = placed.join(stop, ["symbol", "rid"]).withColumn("_hi", F.least(F.greatest("_stop", F.col("pos") + 1), F.col("_last")))
+        width = 64
+    events = placed.filter("tp_price is not null and _hi > pos").select("symbol", F.col("rid").alias("eid"), (F.col("pos") + 1).alias("lo"), F.col("_hi").cast("long").alias("hi"), F.col("tp_price").alias("up"), F.col("sl_price").alias("dn"))
+    steps = bars.select("symbol", F.col("pos").cast("long").alias("x"), "high", "low")
+    hit = first_touch(events, steps, ["symbol"], width).select("symbol", F.col("eid").alias("rid"), "at", "hit_up")
+    out = placed.join(hit, ["symbol", "rid"], "left")
+    out = out.withColumn("label", F.when(F.col("at").isNull(), 2).when(F.col("hit_up"), 1).otherwise(0)).withColumn("_e", F.when(F.col("tp_price").isNull(), F.col("pos")).otherwise(F.coalesce("at", "_hi")))
+    last = bars.select("symbol", F.col("pos").cast("long").alias("_e"), F.col("us").alias("event_end_us"))
+    return out.join(last, ["symbol", "_e"]).select(*rows.columns, "label", "event_end_us", "tp_price", "sl_price")
+
+
+def relabelled(rows: DataFrame, previous: DataFrame, bars: DataFrame, least: float = 0.95, tolerance_us: int = 0, **rule) -> DataFrame:
+    """rows with labels: the previous ones (symbol, t1, label) nearest in time, if at least a share `least` of the rows of symbols that have any finds one, else by `label_at`.
+
+    previous labels of other symbols say nothing, and rows of symbols without any go before coverage is measured.
+    """
+    from .asof import asof, coverage
+
+    known = previous.select("symbol").distinct()
+    joined = asof(rows.join(known, "symbol", "left_semi"), previous.select("symbol", "t1", "label"), ["symbol"], "t1", "label", tolerance_us, "nearest").drop("t1_right")
+    if coverage(joined, "label") >= least:
+        return joined
+    return label_at(rows, bars, **rule).select(*rows.columns, "label")
+
+
+def with_ends(labels: DataFrame, bars: DataFrame) -> DataFrame:
+    """labels (symbol, pos, t_end, reason) with `end_us`, `time_to_hit_sec` and `event_end_reason`, by two equi-joins with the bars' times."""
+    at = lambda p, t: bars.select("symbol", F.col("pos").cast("long").alias(p), F.col("us").alias(t))
+    out = labels.withColumns({"pos": F.col("pos").cast("long"), "t_end": F.col("t_end").cast("long")})
+    out = out.join(at("pos", "_a"), ["symbol", "pos"], "left").join(at("t_end", "end_us"), ["symbol", "t_end"], "left")
+    return out.withColumns({"time_to_hit_sec": S.seconds_between(F.col("_a"), F.col("end_us")), "event_end_reason": S.event_reason(F.col("reason"))}).drop("_a")
+
+
+def diagnosed(bars: DataFrame, path: DataFrame, labels: DataFrame, width: int, start: int = 0) -> DataFrame:
+    """labels with `entry_px`, `pt_px`, `sl_px` and the bars at which either barrier alone is first touched, `pt_idx` and `sl_idx` (null where it isn't)."""
+    events = bars.select("symbol", F.col("pos").alias("eid"), (F.col("pos") + start).alias("lo"), F.col("t1").alias("hi"), "up", "dn").filter("lo <= hi")
+    steps = path.select("symbol", F.col("pos").alias("x"), "high", "low")
+    far = float("inf")
+    ups = first_touch(events.withColumn("dn", F.lit(-far)), steps, ["symbol"], width).select("symbol", F.col("eid").alias("pos"), F.col("at").alias("pt_idx"))
+    downs = first_touch(events.withColumn("up", F.lit(far)), steps, ["symbol"], width).select("symbol", F.col("eid").alias("pos"), F.col("at").alias("sl_idx"))
+    prices = bars.select("symbol", "pos", F.col("close").alias("entry_px"), F.col("up").alias("pt_px"), F.col("dn").alias("sl_px"))
+    return labels.join(prices, ["symbol", "pos"], "left").join(ups, ["symbol", "pos"], "left").join(downs, ["symbol", "pos"], "left")
+
+
 def exclusive(labels: DataFrame, gap: int = 0) -> DataFrame:
     """The labels that don't overlap: from each symbol's first on, the next one starts after the end and `gap` bars.
 

@@ -5,6 +5,7 @@ The table events is read as ticks: its type is the symbol, its value the price,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -112,7 +113,7 @@ def monotonic_bump(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     day = F.floor(F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86_400_000)
     rows = line.select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("d"), day.alias("day"))
-    return bars.bump(rows, ["flag"], ["day", "a", "b", "c", "d"], "day").drop("day")
+    return bars.bump(rows, ["flag"], ["day", "a", "b", "c", "d"], "day", F.col("day")).drop("day")
 
 
 @query(f"WITH {TR} SELECT symbol, pos, {R6('tr', 'atr')} FROM atr")
@@ -138,10 +139,10 @@ def ewma_volatility(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS ret FROM b),
-y AS (SELECT *, CASE WHEN count(ret) OVER r >= 5 THEN stddev_samp(ret) OVER r END AS vol_m, CASE WHEN count(ret) OVER g >= 2 THEN stddev_samp(ret) OVER g END AS v,
+y AS (SELECT *, CASE WHEN pos >= 4 THEN stddev_samp(coalesce(ret, 0)) OVER r END AS vol_r, CASE WHEN count(ret) OVER g >= 2 THEN stddev_samp(ret) OVER g END AS v,
   last_value(close) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN CURRENT ROW AND {6 * HOUR} FOLLOWING) / close - 1 AS ret_f
   FROM x WINDOW r AS (PARTITION BY symbol ORDER BY pos ROWS 19 PRECEDING), g AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW))
-SELECT symbol, pos, {R6('vol_m')}, round(lag(v) OVER (PARTITION BY symbol ORDER BY pos), 6) AS vol_t, {R6('ret_f')}, CAST(hour(make_timestamp(us)) AS INT) AS hour FROM y""")
+SELECT symbol, pos, round(first_value(vol_r IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS vol_m, round(lag(v) OVER (PARTITION BY symbol ORDER BY pos), 6) AS vol_t, {R6('ret_f')}, CAST(hour(make_timestamp(us)) AS INT) AS hour FROM y""")
 def regime_features(spark, sf_dir):
     rows = indicators.window_vol(indicators.rolling_vol(_bars(spark, sf_dir), 20), DAY)
     rows = indicators.forward_return(rows, 6 * HOUR)
@@ -149,25 +150,27 @@ def regime_features(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    t = _ticks(spark, sf_dir)
-    left = t.filter(F.col("seq") % 10 == 3).select("symbol", "us", F.col("seq").alias("eid"))
-    return left, t.filter(F.col("seq") % 10 != 3).select("symbol", "us", F.col("price").alias("seen"))
+    """Purchases, and the prices of the same user's other events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("user"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("eid"), "event_type", "value")
+    return e.filter("event_type = 'purchase'").select("user", "us", "eid"), e.filter("event_type <> 'purchase'").select("user", "us", F.col("value").alias("seen"))
+
+
+SIDES = """e AS (SELECT user_id AS user, epoch_us(ts) AS us, event_id AS eid, event_type, value FROM events), l AS (SELECT user, us, eid FROM e WHERE event_type = 'purchase'),
+r AS (SELECT user, us, max(value) AS seen FROM e WHERE event_type <> 'purchase' GROUP BY ALL)"""
 
 
-@query(f"""WITH {TICKS}, l AS (SELECT symbol, us, seq AS eid FROM t WHERE seq % 10 = 3), r AS (SELECT symbol, us, max(price) AS seen FROM t WHERE seq % 10 <> 3 GROUP BY ALL)
-SELECT l.symbol, l.us, l.eid, CASE WHEN l.us - r.us <= {HOUR} THEN r.us END AS us_right, CASE WHEN l.us - r.us <= {HOUR} THEN seen END AS seen FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.us >= r.us""")
+@query(f"""WITH {SIDES} SELECT l.user, l.us, l.eid, CASE WHEN l.us - r.us <= {DAY} THEN r.us END AS us_right, CASE WHEN l.us - r.us <= {DAY} THEN seen END AS seen FROM l ASOF LEFT JOIN r ON l.user = r.user AND l.us >= r.us""")
 def asof_backward(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return asof.asof(left, right, ["symbol"], "us", "seen", HOUR)
+    return asof.asof(left, right, ["user"], "us", "seen", DAY)
 
 
-@query(f"""WITH {TICKS}, l AS (SELECT symbol, us, seq AS eid FROM t WHERE seq % 10 = 3), r AS (SELECT symbol, us, max(price) AS seen FROM t WHERE seq % 10 <> 3 GROUP BY ALL),
-x AS (SELECT l.*, r.us AS ub, r.seen AS sb FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.us >= r.us),
-y AS (SELECT x.*, r.us AS uf, r.seen AS sf FROM x ASOF LEFT JOIN r ON x.symbol = r.symbol AND x.us <= r.us)
-SELECT symbol, us, eid, CASE WHEN ub IS NULL OR uf - us < us - ub THEN uf ELSE ub END AS us_right, CASE WHEN ub IS NULL OR uf - us < us - ub THEN sf ELSE sb END AS seen FROM y""")
+@query(f"""WITH {SIDES}, x AS (SELECT l.*, r.us AS ub, r.seen AS sb FROM l ASOF LEFT JOIN r ON l.user = r.user AND l.us >= r.us),
+y AS (SELECT x.*, r.us AS uf, r.seen AS sf FROM x ASOF LEFT JOIN r ON x.user = r.user AND x.us <= r.us)
+SELECT user, us, eid, CASE WHEN ub IS NULL OR uf - us < us - ub THEN uf ELSE ub END AS us_right, CASE WHEN ub IS NULL OR uf - us < us - ub THEN sf ELSE sb END AS seen FROM y""")
 def asof_nearest(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return asof.asof(left, right, ["symbol"], "us", "seen", how="nearest")
+    return asof.asof(left, right, ["user"], "us", "seen", how="nearest")
 
 
 @query(f"""WITH {BARS} SELECT symbol, pos, least(count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY - 1} FOLLOWING), count(*) OVER (PARTITION BY symbol) - 1) AS t1 FROM b""")
@@ -230,7 +233,10 @@ def triple_barrier_clock(spark, sf_dir):
     return _clock_labels(spark, sf_dir).select(*LABELS)
 
 
-@query()
+@query("WITH RECURSIVE" + CLOCK[4:] + _touch_sql("s", "0", "high", "low", "0").replace("SELECT symbol, pos, t_end", ", lab AS (SELECT symbol, pos, t_end").replace("AS reason FROM o", "AS reason FROM o)") + """,
+free AS (SELECT l.symbol, l.pos, l.t_end, (SELECT min(n.pos) FROM lab n WHERE n.symbol = l.symbol AND n.pos > l.t_end) AS next FROM lab l),
+walk AS (SELECT symbol, min(pos) AS pos FROM free GROUP BY symbol UNION ALL SELECT w.symbol, f.next FROM walk w JOIN free f ON f.symbol = w.symbol AND f.pos = w.pos WHERE f.next IS NOT NULL)
+SELECT lab.* FROM lab JOIN walk USING (symbol, pos)""")
 def exclusive_events(spark, sf_dir):
     return touch.exclusive(_clock_labels(spark, sf_dir)).select(*LABELS)
 
@@ -251,12 +257,13 @@ p AS (SELECT symbol, edge, n, coalesce(sum(1.0::DOUBLE / greatest(c, 1)) OVER w,
 u AS (SELECT e.*, (b.inv - a.inv) / (b.n - a.n) AS mi, (b.tot - a.tot) / (b.n - a.n) AS mc FROM e LEFT JOIN p a ON a.symbol = e.symbol AND a.edge = e.us AND e.end_us > e.us LEFT JOIN p b ON b.symbol = e.symbol AND b.edge = e.end_us AND e.end_us > e.us)"""
 
 
-@query(_CONC + ", w AS (SELECT symbol, eid, coalesce(mi, 1) AS w FROM u) SELECT symbol, eid, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS weight FROM w")
+@query(_CONC + ", w AS (SELECT symbol, eid, coalesce(mi, 1) AS w FROM u) SELECT symbol, eid, round(w / avg(w) OVER (), 6) AS weight FROM w")
 def uniqueness_weights(spark, sf_dir):
     return weights.uniqueness(_events(spark, sf_dir)).select("symbol", "eid", *r6("weight"))
 
 
-@query(_CONC + " SELECT symbol, eid, round(1 / greatest(coalesce(mc, 1), 1), 6) AS weight FROM u")
+@query(_CONC.replace("end_us > us UNION", "end_us >= us UNION").replace("-1 FROM e WHERE end_us > us)", "-1 FROM e WHERE end_us >= us)") + """, z AS (SELECT symbol, edge, c FROM c)
+SELECT u.symbol, eid, round(1 / greatest(coalesce(mc, z.c, 1), 1), 6) AS weight FROM u LEFT JOIN z ON z.symbol = u.symbol AND z.edge = u.us""")
 def concurrency_weights(spark, sf_dir):
     return weights.mean_concurrency_weight(_events(spark, sf_dir)).select("symbol", "eid", *r6("weight"))
 
@@ -304,9 +311,12 @@ def excursions(spark, sf_dir):
     return _moves(spark, sf_dir).select("symbol", "pos", *r6("mfe", "mae"))
 
 
-@query(_MOVES + " SELECT symbol, " + ", ".join(f"round(quantile_cont(mfe, {q}), 6) AS q{str(q)[2:]}" for q in (0.6, 0.9, 0.95, 0.98, 0.99)) + " FROM v GROUP BY symbol")
+LEVELS = (0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
+
+
+@query(_MOVES + " SELECT symbol, " + ", ".join(f"round(quantile_cont(mfe, {q}), 6) AS q{str(q)[2:]}" for q in LEVELS) + " FROM v GROUP BY symbol")
 def excursion_quantiles(spark, sf_dir):
-    return _moves(spark, sf_dir).groupBy("symbol").agg(*[F.round(F.percentile("mfe", F.lit(q)), 6).alias(f"q{str(q)[2:]}") for q in (0.6, 0.9, 0.95, 0.98, 0.99)])
+    return _moves(spark, sf_dir).groupBy("symbol").agg(*[F.round(F.percentile("mfe", F.lit(q)), 6).alias(f"q{str(q)[2:]}") for q in LEVELS])
 
 
 @query(_MOVES + """, q AS (SELECT quantile_cont(mfe, 0.05) AS lo, quantile_cont(mfe, 0.95) AS hi FROM v) SELECT symbol, pos, round(greatest(least(mfe, hi), lo), 6) AS mfe FROM v, q WHERE mfe IS NOT NULL""")
@@ -320,18 +330,22 @@ def _wq(value: str, q: float, group: str) -> str:
   (SELECT {group}, {value} AS x, sum(1.0::DOUBLE + pos % 3) AS wt FROM v WHERE {value} IS NOT NULL GROUP BY ALL)) WINDOW w AS (PARTITION BY {group} ORDER BY x)) WHERE c >= {q} * a GROUP BY ALL)"""
 
 
-@query(_MOVES + f""", n AS (SELECT symbol, count(*) AS n FROM v GROUP BY symbol)
-SELECT symbol, n, round(greatest(least(t.r, 50.0), 0.1), 6) AS tp_mult, round(greatest(least(s.r, 50.0), 0.1), 6) AS sl_mult FROM n JOIN {_wq('mfe', 0.7, 'symbol')} t ON t.g = symbol JOIN {_wq('mae', 0.4, 'symbol')} s ON s.g = symbol""")
+LEAST = 100  # groups below it take the levels of all
+
+
+@query(_MOVES + f""", n AS (SELECT symbol, count(*) AS n FROM v GROUP BY symbol), every AS (SELECT * REPLACE ('all' AS symbol) FROM v), gt AS {_wq('mfe', 0.7, 'symbol').replace('FROM v ', 'FROM every ')}, gs AS {_wq('mae', 0.4, 'symbol').replace('FROM v ', 'FROM every ')}
+SELECT symbol, n, round(greatest(least(CASE WHEN n >= {LEAST} THEN t.r ELSE gt.r END, 50.0), 0.1), 6) AS tp_mult, round(greatest(least(CASE WHEN n >= {LEAST} THEN s.r ELSE gs.r END, 50.0), 0.1), 6) AS sl_mult
+FROM n JOIN {_wq('mfe', 0.7, 'symbol')} t ON t.g = symbol JOIN {_wq('mae', 0.4, 'symbol')} s ON s.g = symbol, gt, gs""")
 def barrier_policy(spark, sf_dir):
     rows = _moves(spark, sf_dir).withColumn("weight", 1.0 + F.col("pos") % 3)
-    return policy.levels(rows, "symbol", 0.7, 0.4, 1, (0.1, 50.0)).select("symbol", "n", *r6("tp_mult", "sl_mult"))
+    return policy.levels(rows, "symbol", 0.7, 0.4, LEAST, (0.1, 50.0)).select("symbol", "n", *r6("tp_mult", "sl_mult"))
 
 
-@query(f"""WITH {PRED}, g AS (SELECT i / 200.0::DOUBLE AS th, i FROM range(201) r(i)), a AS (SELECT symbol, i, th, count(*) AS n, avg(y) AS precision FROM p JOIN g ON p.p >= th - 1e-12 GROUP BY ALL),
+@query(f"""WITH {PRED}, g AS (SELECT i * (1 / 200.0::DOUBLE) AS th, i FROM range(201) r(i)), a AS (SELECT symbol, i, th, count(*) AS n, avg(y) AS precision FROM p JOIN g ON p.p >= th GROUP BY ALL),
 v AS (SELECT *, precision * {WIN} - (1 - precision) * {LOSS} AS ev FROM a WHERE n >= 50)
-SELECT symbol, th AS threshold, n, round(precision, 6) AS precision, round(ev, 6) AS ev FROM v QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ev DESC, i) = 1""")
+SELECT symbol, round(th, 3) AS threshold, n, round(precision, 6) AS precision, round(ev, 6) AS ev FROM v QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ev DESC, i) = 1""")
 def ev_threshold_sweep(spark, sf_dir):
-    return decisions.ev_sweep(_predictions(spark, sf_dir), ["symbol"], 200, WIN, LOSS, 50).select("symbol", "threshold", "n", *r6("precision", "ev"))
+    return decisions.ev_sweep(_predictions(spark, sf_dir), ["symbol"], 200, WIN, LOSS, 50).select("symbol", F.round("threshold", 3).alias("threshold"), "n", *r6("precision", "ev"))
 
 
 @query(f"""WITH {PRED}, s AS (SELECT p, count(*) AS c, sum(y) AS s FROM p GROUP BY p), k AS (SELECT s, sum(s) OVER w / (sum(c) OVER w)::DOUBLE AS pr FROM s WINDOW w AS (ORDER BY p DESC)), z AS (SELECT sum(y)::DOUBLE AS pos, count(*) AS n FROM p)
@@ -340,23 +354,36 @@ def precision_recall(spark, sf_dir):
     return decisions.precision_recall(_predictions(spark, sf_dir), WIN, LOSS).select("n", *r6("base", "average_precision", "lift", "breakeven"))
 
 
-@query(f"""WITH {PRED}, d AS (SELECT strftime(make_timestamp(us), '%Y-%m') || '-' || symbol AS month, p, y FROM p), a AS (SELECT month, count(*) FILTER (p >= 0.7) AS n, coalesce(avg(y) FILTER (p >= 0.7), 0) AS pr FROM d GROUP BY month)
+@query(f"""WITH d AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, (o_orderkey * 7919) % 1000 / 1000.0::DOUBLE AS p, CAST(o_custkey % 3 = 0 AS INT) AS y FROM orders),
+a AS (SELECT month, count(*) FILTER (p >= 0.97) AS n, coalesce(avg(y) FILTER (p >= 0.97), 0) AS pr FROM d GROUP BY month)
 SELECT month, n, round(pr, 6) AS precision, round(CASE WHEN n > 0 THEN pr * {WIN} - (1 - pr) * {LOSS} ELSE 0 END, 6) AS ev FROM a""")
 def monthly_ev(spark, sf_dir):
-    rows = _predictions(spark, sf_dir).withColumn("month", F.concat_ws("-", S.month(F.col("us")), "symbol"))
-    return decisions.ev_by(rows, "month", 0.7, WIN, LOSS).select("month", "n", *r6("precision", "ev"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("p"), (F.col("o_custkey") % 3 == 0).cast("int").alias("y"))
+    return decisions.ev_by(rows, "month", 0.97, WIN, LOSS).select("month", "n", *r6("precision", "ev"))
+
 
+THRESHOLDS, CONFIDENCES = np.linspace(0.5, 0.9, 17).tolist(), np.linspace(0.0, 0.9, 19).tolist()
+PNL_GRID = f"""WITH {PRED}, g AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold), h AS (SELECT unnest({CONFIDENCES})::DOUBLE AS confidence),
+a AS (SELECT threshold, confidence, out, CAST(p >= threshold AS INT) - CAST(q >= threshold AS INT) AS a FROM p, g, h WHERE greatest(p, q) >= confidence),
+r AS (SELECT threshold, confidence, CASE WHEN a = out THEN 1 ELSE -1 END - 0.0001::DOUBLE AS r FROM a),
+z AS (SELECT threshold, confidence, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM r GROUP BY ALL), s AS (SELECT *, mean / (sd + 1e-9) * sqrt(252 * 24 * 60) AS sharpe FROM z)"""
 
-THRESHOLDS, CONFIDENCES = [0.5, 0.6, 0.7, 0.8, 0.9], [0.5, 0.75, 0.95]
 
+def _pnl_grid(spark, sf_dir):
+    rows = _predictions(spark, sf_dir).select(F.col("p").alias("p_pos"), F.col("q").alias("p_neg"), F.greatest("p", "q").alias("conf"), F.col("out").alias("label"))
+    return decisions.pnl_grid(rows, THRESHOLDS, CONFIDENCES, 1.0)
 
-@query(f"""WITH {PRED}, g AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold), h AS (SELECT unnest({CONFIDENCES})::DOUBLE AS confidence),
-a AS (SELECT threshold, confidence, CASE WHEN greatest(p, q) >= confidence THEN CAST(p >= threshold AS INT) - CAST(q >= threshold AS INT) ELSE 0 END AS a, out FROM p, g, h),
-r AS (SELECT threshold, confidence, CASE WHEN a <> 0 THEN a * out - 0.00035::DOUBLE END AS r FROM a)
-SELECT threshold, confidence, count(r) AS trades, round(coalesce(avg(r), 0), 6) AS mean, round(CASE WHEN count(r) > 1 THEN stddev_samp(r) ELSE 0 END, 6) AS sd FROM r GROUP BY ALL""")
+
+@query(PNL_GRID + " SELECT round(threshold, 6) AS threshold, round(confidence, 6) AS confidence, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sharpe, 3) AS sharpe FROM s")
 def pnl_threshold_grid(spark, sf_dir):
-    rows = _predictions(spark, sf_dir).select(F.col("p").alias("p_pos"), F.col("q").alias("p_neg"), F.greatest("p", "q").alias("conf"), F.col("out").alias("y"))
-    return decisions.pnl_grid(rows, THRESHOLDS, CONFIDENCES, 3.5).select("threshold", "confidence", "trades", *r6("mean", "sd"))
+    return _pnl_grid(spark, sf_dir).select(*r6("threshold", "confidence"), "n", *r6("mean", "sd"), F.round("sharpe", 3).alias("sharpe"))
+
+
+@query(PNL_GRID + " SELECT round(threshold, 6) AS threshold, round(confidence, 6) AS confidence, round(sharpe, 3) AS sharpe, round(mean, 6) AS mean, n FROM s ORDER BY round(s.sharpe, 9) DESC, s.threshold, s.confidence LIMIT 1")
+def pnl_best_threshold(spark, sf_dir):
+    grid = _pnl_grid(spark, sf_dir).withColumn("sharpe", F.round("sharpe", 9))  # equal counts are equal figures
+    return decisions.best_point(grid).select(*r6("threshold", "confidence"), F.round("sharpe", 3).alias("sharpe"), *r6("mean"), "n")
 
 
 @query(f"""WITH {BARS}, x AS (SELECT symbol, pos, (close * 0.01 + 100)::DOUBLE AS price, (pos * 7 % 10) / 10.0::DOUBLE AS a, (pos * 3 % 10) / 10.0::DOUBLE AS z FROM b),
@@ -417,7 +444,7 @@ def window_manifest(spark, sf_dir):
 
 @query()
 def window_images(spark, sf_dir):
-    return imaging.images(imaging.windows(_bars(spark, sf_dir), 16, 4), 8)
+    return imaging.images(imaging.windows(_bars(spark, sf_dir), 16, 4), 8, rp=True, cwt=True)
 
 
 @query(f"""WITH {TICKS} SELECT symbol, us // {HOUR} * {HOUR} // 1000 AS open_time, arg_min(price, (us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close,
@@ -440,11 +467,19 @@ def materialised_folds(spark, sf_dir):
     return folds.materialise(val, labels, e.filter("eid % 2 = 0").select("eid", F.lit(0.5).alias("weight")))
 
 
-@query()
+@query(f"WITH {TICKS} SELECT symbol, seq FROM t ORDER BY md5('7/' || seq), seq LIMIT 500")
 def seeded_sample(spark, sf_dir):
     return policy.seeded_sample(_ticks(spark, sf_dir), 500, "seq").select("symbol", "seq")
 
 
-@query()
+@query(f"WITH {TICKS} SELECT symbol, seq FROM t ORDER BY -ln(greatest(('0x' || substr(md5('7/' || seq), 1, 13))::BIGINT / {float(1 << 52)}, {2.0**-53})) / price, seq LIMIT 500")
 def weighted_sample(spark, sf_dir):
     return policy.weighted_sample(_ticks(spark, sf_dir), 500, "seq", "price").select("symbol", "seq")
+
+
+@query(f"""WITH {TICKS}, c AS (SELECT symbol, seq, cents, sum(cents) OVER (ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS z, sum(cents) OVER () AS total FROM t),
+d AS (SELECT draw, CAST(floor(('0x' || substr(md5('7/' || draw), 1, 13))::BIGINT / {float(1 << 52)} * (SELECT any_value(total) FROM c)::DOUBLE) AS BIGINT) AS u FROM range(2000) r(draw))
+SELECT draw, symbol, seq FROM d JOIN c ON u >= z - cents AND u < z""")
+def weighted_draws(spark, sf_dir):
+    t = _ticks(spark, sf_dir)
+    return policy.weighted_draws(t, 2000, ["us", "seq"], "cents", F.floor(F.col("us") / DAY)).select("draw", "symbol", "seq")

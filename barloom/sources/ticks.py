@@ -6,6 +6,7 @@ Spark's readers, so a split of a file is a partition, and column and time filter
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,15 @@ from ..functions import scalars as S
 
 #: Accepted column names, in order of preference.
 ALIASES = {
-    "timestamp": ("timestamp", "ts", "time", "trade_time", "datetime", "date"),
-    "price": ("price", "p", "last", "close"),
-    "qty": ("qty", "quantity", "q", "size", "amount", "volume"),
-    "quote_qty": ("quote_qty", "quoteqty", "quote_quantity", "quote"),
-    "is_buyer_maker": ("is_buyer_maker", "isbuyermaker", "isbuyer", "buyer_maker"),
-    "side": ("side", "taker_side"),
+    "timestamp": ("timestamp", "ts", "time", "t"),
+    "price": ("price", "p"),
+    "qty": ("qty", "quantity", "size", "q", "base_qty", "amount_base", "volume"),
+    "quote_qty": ("quote_qty", "qv", "amount", "amount_quote", "quote_volume", "quotevolume"),
+    "is_buyer_maker": ("is_buyer_maker", "isbuyer_maker", "isbuyer", "buyer_maker", "isbm", "maker_is_buyer", "isbuyermaker"),
+    "side": ("side", "taker_side", "trade_side"),
 }
+#: Names of time and price in a table that labels are looked up in.
+PATH_ALIASES = {"timestamp": ("timestamp", "ts", "time"), "price": ("price", "last", "close", "mid")}
 KLINE = (
     "open_time", "open", "high", "low", "close", "volume", "close_time", "quote_asset_volume", "number_of_trades", "taker_buy_volume",
     "taker_buy_quote_asset_volume", "ignore",
@@ -72,8 +75,13 @@ def read_ticks(spark: SparkSession, path, overrides: dict[str, str] | None = Non
 
 
 def read_any(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """A CSV, Parquet, JSON or ORC table by its ending; `rows` takes only the first."""
+    """A CSV, Parquet, JSON, ORC or (local) Feather table by its ending; `rows` takes only the first."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "feather":  # one local file, as large as the driver can hold
+        from pyarrow import feather
+
+        df = spark.createDataFrame(feather.read_table(path))
+        return df if rows is None else df.limit(rows)
     if kind not in ("csv", "parquet", "json", "orc"):
         raise ValueError(f"no reader for {path}")
     df = spark.read.csv(path, header=True, inferSchema=True) if kind == "csv" else getattr(spark.read, kind)(path)
@@ -100,8 +108,8 @@ def schema_audit(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]
         try:
             resolve(spark.read.csv(p, header=True).columns)
             out.append((p, "ok"))
-        except ValueError as e:
-            out.append((p, str(e)))
+        except (ValueError, AnalysisException) as e:  # a missing or unreadable file is a finding too
+            out.append((p, str(e).splitlines()[0]))
     return out
 
 
@@ -118,3 +126,29 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), us.alias("us"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("qty"),
         F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
+
+
+def label_path(raw: DataFrame, mode: str = "auto", rule: str = "ticks") -> DataFrame:
+    """(us, high, low) to look labels up in: prices, or with mode="hilo" bars' extremes; "auto" takes prices where there are any.
+
+    Raises where the table has no time column or not what the mode asks for. Prices are compared as 32-bit floats, as they are stored.
+    """
+    by_name = {c.strip().lower(): c for c in raw.columns}
+    at = {k: next((by_name[n] for n in names if n in by_name), None) for k, names in PATH_ALIASES.items()}
+    if at["timestamp"] is None:
+        raise ValueError(f"no time column among {raw.columns}")
+    extremes = "high" in by_name and "low" in by_name
+    if mode not in ("auto", "ticks", "hilo") or (mode == "hilo" and not extremes) or (mode == "ticks" and at["price"] is None) or (at["price"] is None and not extremes):
+        raise ValueError(f"mode {mode} with columns {raw.columns}")
+    us = S.epoch_ms(F.col(at["timestamp"]), rule) * 1000
+    if mode == "hilo" or at["price"] is None:
+        high, low = S.number(F.col(by_name["high"])), S.number(F.col(by_name["low"]))
+    else:
+        high = low = S.number(F.col(at["price"])).cast("float").cast("double")
+    return raw.select(us.alias("us"), high.alias("high"), low.alias("low")).filter("us is not null")
+
+
+def label_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Label files of one or several schemas as one table, with `month` from the file name where they have none."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    return df if "month" in df.columns else df.withColumn("month", S.month_in(F.input_file_name()))

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from barloom.plans import chain  # noqa: F401
 from barloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
