@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof, decisions, folds, imaging, indicators, policy, touch, training, weights
 from ..sources import files
-from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _bars, _clock_labels, _events, _predictions, _ticks, _touch_sql, query, r6
+from ..sources.staging import staged
+from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _atr_bars, _bars, _clock_labels, _events, _predictions, _ticks, _touch_sql, query, r6
 
 WINDOW, STRIDE = 16, 4
 #: Months (here tenths of January) and their regimes and levels.
@@ -21,7 +22,7 @@ m AS (SELECT symbol, start, row_number() OVER (PARTITION BY symbol ORDER BY star
 
 def _manifest(spark, sf_dir):
     """Windows with the file their image is in."""
-    rows = imaging.manifest(imaging.windows(_bars(spark, sf_dir), WINDOW, STRIDE), 4)
+    rows = staged(imaging.manifest(imaging.windows(_bars(spark, sf_dir), WINDOW, STRIDE), 4), "manifest")
     path = F.format_string("%s/shard_%04d.npy", F.col("symbol"), F.col("shard"))
     return rows.select("symbol", "start", "bar_pos", "t0_us", "t1_us", path.alias("relpath"))
 
@@ -63,7 +64,7 @@ def snapshot_tick_labels(spark, sf_dir):
     rows = _manifest(spark, sf_dir).withColumns({"window": F.lit(WINDOW), "month": _tenth(F.col("t0_us"))})
     pol = spark.createDataFrame(POLICY, "key string, tp_mult double, sl_mult double")
     reg = spark.createDataFrame(REGIMES, "month string, regime string")
-    got = touch.label_snapshot(rows, indicators.atr(_bars(spark, sf_dir)), _ticks(spark, sf_dir), 2 * DAY, 2.0, 1.2, pol, reg, _tenth)
+    got = touch.label_snapshot(rows, _atr_bars(spark, sf_dir), _ticks(spark, sf_dir), 2 * DAY, 2.0, 1.2, pol, reg, _tenth)
     return got.select("symbol", "start", "month", *r6("tp_mult", "sl_mult"), "label", "touched_us", "event_end_us")
 
 
@@ -84,7 +85,7 @@ def _windows(spark, sf_dir):
 
 
 def _relabel(spark, sf_dir, **horizon):
-    got = touch.label_at(_windows(spark, sf_dir), indicators.atr(_bars(spark, sf_dir)), 2.0, 1.2, **horizon)
+    got = staged(touch.label_at(_windows(spark, sf_dir), _atr_bars(spark, sf_dir), 2.0, 1.2, **horizon), "labels")
     return got.select("symbol", "rid", "t1", "label", "event_end_us", *r6("tp_price", "sl_price"))
 
 
@@ -102,14 +103,14 @@ def relabel_time_horizon(spark, sf_dir):
 def relabel_accepted(spark, sf_dir):
     """Earlier labels reach nearly all windows of their symbols, so they are taken as they are."""
     earlier = _relabel(spark, sf_dir, horizon_bars=12).filter("symbol <> 'view' and rid % 100 <> 0")
-    return touch.relabelled(_windows(spark, sf_dir), earlier, indicators.atr(_bars(spark, sf_dir)), 0.9, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
+    return touch.relabelled(_windows(spark, sf_dir), earlier, _atr_bars(spark, sf_dir), 0.9, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
 
 
 @query(f"WITH r AS ({_relabel_sql('pos + 12')}) SELECT symbol, rid, t1, label FROM r")
 def relabel_refused(spark, sf_dir):
     """Earlier labels reach half of the windows, so all are labelled anew."""
     earlier = _relabel(spark, sf_dir, horizon_bars=12).filter("rid % 8 = 0").withColumn("label", F.lit(0))
-    return touch.relabelled(_windows(spark, sf_dir), earlier, indicators.atr(_bars(spark, sf_dir)), 0.95, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
+    return touch.relabelled(_windows(spark, sf_dir), earlier, _atr_bars(spark, sf_dir), 0.95, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
 
 
 @query(CLOCK + _touch_sql("s", "0", "high", "low", "0").replace("SELECT symbol, pos, t_end", ", lab AS (SELECT symbol, pos, t_end").replace("AS reason FROM o", "AS reason FROM o)") + """,
@@ -118,8 +119,8 @@ SELECT l.symbol, l.pos, l.t_end, l.label, CASE WHEN reason = 't1' THEN 'vertical
 round(s.close, 6) AS entry_px, round(s.up, 6) AS pt_px, round(s.dn, 6) AS sl_px
 FROM lab l JOIN s USING (symbol, pos) JOIN d USING (symbol, pos) JOIN b a ON a.symbol = l.symbol AND a.pos = l.pos JOIN b z ON z.symbol = l.symbol AND z.pos = l.t_end""")
 def label_diagnostics(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    rows = touch.atr_barriers(asof.horizon(indicators.atr(b), 2 * DAY), 1.5, 0.5)
+    b = _atr_bars(spark, sf_dir)
+    rows = touch.atr_barriers(asof.horizon(b, 2 * DAY), 1.5, 0.5)
     got = touch.with_ends(touch.diagnosed(rows, b, touch.label_bars(rows, b, 32, start=0).select("symbol", "pos", "t_end", "label", "reason"), 32), b)
     return got.select("symbol", "pos", "t_end", "label", "event_end_reason", "end_us", "time_to_hit_sec", "pt_idx", "sl_idx", *r6("entry_px", "pt_px", "sl_px"))
 
@@ -225,7 +226,7 @@ def fitted_temperature(spark, sf_dir):
 @query(f"""WITH {TR}, v AS (SELECT symbol, pos, close, atr, greatest(max(high) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {6 * HOUR} FOLLOWING), lead(high) OVER w) AS hi, least(min(low) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {6 * HOUR} FOLLOWING), lead(low) OVER w) AS lo FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY pos))
 SELECT symbol, pos, round(CASE WHEN hi IS NOT NULL THEN greatest((hi - close) / atr, 0) END, 6) AS mfe, round(CASE WHEN lo IS NOT NULL THEN greatest((close - lo) / atr, 0) END, 6) AS mae FROM v""")
 def timed_excursions(spark, sf_dir):
-    return policy.timed_excursions(indicators.atr(_bars(spark, sf_dir)), 6 * HOUR, floored=True).select("symbol", "pos", *r6("mfe", "mae"))
+    return policy.timed_excursions(_atr_bars(spark, sf_dir), 6 * HOUR, floored=True).select("symbol", "pos", *r6("mfe", "mae"))
 
 
 @query(f"WITH {TICKS}, d AS (SELECT symbol, seq, strftime(make_timestamp(us), '%Y-%m-%d')[1:9] AS month FROM t), reg(month, regime) AS (VALUES {_values(REGIMES)}) SELECT coalesce(regime, 'unknown') AS regime, count(*) AS n FROM d LEFT JOIN reg USING (month) GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof, bars, decisions, folds, imaging, indicators, policy, synthetic, touch, weights
 from ..sources import ticks as T
+from ..sources.staging import staged
 
 THRESHOLD = 100_000  # cents
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -45,6 +46,11 @@ def _bars(spark, sf_dir):
     return bars.numbered(bars.dollar_bars(_ticks(spark, sf_dir), THRESHOLD))
 
 
+def _atr_bars(spark, sf_dir):
+    """Bars with their average true range, written once: labels read them as entries, as paths and as ends."""
+    return staged(indicators.atr(_bars(spark, sf_dir)), "bars")
+
+
 def _events(spark, sf_dir):
     """Events with overlapping lives: each lasts from 0 to 26 hours."""
     t = _ticks(spark, sf_dir)
@@ -193,7 +199,7 @@ LABELS = ("symbol", "pos", "t_end", "label", "reason")
 def _rows_horizon(spark, sf_dir, n: int):
     from pyspark.sql import Window
 
-    b = _bars(spark, sf_dir)
+    b = staged(_bars(spark, sf_dir), "bars")
     return b, b.withColumn("t1", F.least(F.col("pos") + n, F.max("pos").over(Window.partitionBy("symbol"))))
 
 
@@ -223,8 +229,8 @@ lag(atr) OVER (PARTITION BY symbol ORDER BY pos) AS a FROM atr), s AS (SELECT *,
 
 
 def _clock_labels(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    rows = touch.atr_barriers(asof.horizon(indicators.atr(b), 2 * DAY), 1.5, 0.5)
+    b = _atr_bars(spark, sf_dir)
+    rows = touch.atr_barriers(asof.horizon(b, 2 * DAY), 1.5, 0.5)
     return touch.label_bars(rows, b, 32, start=0)
 
 
@@ -337,7 +343,7 @@ LEAST = 100  # groups below it take the levels of all
 SELECT symbol, n, round(greatest(least(CASE WHEN n >= {LEAST} THEN t.r ELSE gt.r END, 50.0), 0.1), 6) AS tp_mult, round(greatest(least(CASE WHEN n >= {LEAST} THEN s.r ELSE gs.r END, 50.0), 0.1), 6) AS sl_mult
 FROM n JOIN {_wq('mfe', 0.7, 'symbol')} t ON t.g = symbol JOIN {_wq('mae', 0.4, 'symbol')} s ON s.g = symbol, gt, gs""")
 def barrier_policy(spark, sf_dir):
-    rows = _moves(spark, sf_dir).withColumn("weight", 1.0 + F.col("pos") % 3)
+    rows = staged(_moves(spark, sf_dir).withColumn("weight", 1.0 + F.col("pos") % 3), "moves")
     return policy.levels(rows, "symbol", 0.7, 0.4, LEAST, (0.1, 50.0)).select("symbol", "n", *r6("tp_mult", "sl_mult"))
 
 
