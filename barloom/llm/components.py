@@ -31,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) for every id that has an edge; component is the smallest id reachable.
 
     Rows with a null end and self-loops say nothing and are dropped; repeated edges count once; an
@@ -43,7 +43,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    for _ in range(rounds):
+    while True:  # every round lowers some vertex's target
         # a forest of stars: no vertex that is pointed at points on
         chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         twice = now.groupBy("u").count().filter("count > 1")
@@ -52,8 +52,6 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         nxt = staged(_star(_star(now, True), False), "edges")
         release(now)
         now = nxt
-    else:
-        raise RuntimeError("components: no fixed point within the round limit")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -141,10 +141,10 @@ def index_keys(sigs: DataFrame, chunks: int, errors: int) -> DataFrame:
     return sigs.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def _grouped(batches, keys: int, solve):
+def grouped(batches, keys: int, solve):
     """Hand each run of rows with equal first `keys` columns to solve, over batches sorted by them.
 
-    Columns are numpy arrays (lists for nested ones); runs are cut at the edges of groups only.
+    Columns are numpy arrays (of arrays for nested ones); runs are cut at the edges of groups only.
     """
     held: list = []
 
@@ -164,6 +164,11 @@ def _grouped(batches, keys: int, solve):
             for c in part.columns:
                 if pa.types.is_integer(c.type):
                     cols.append(c.to_numpy(zero_copy_only=False))
+                elif pa.types.is_list(c.type):  # an array for each row, empty where null
+                    stop = np.cumsum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                    out = np.empty(len(c), object)
+                    out[:] = np.split(c.flatten().to_numpy(zero_copy_only=False), stop[:-1]) if len(c) > 1 else [c.flatten().to_numpy(zero_copy_only=False)]
+                    cols.append(out)
                 else:
                     cols.append(np.fromiter(c.to_pylist(), dtype=object, count=len(c)))
             edge = np.zeros(part.num_rows - 1, bool)
@@ -208,7 +213,7 @@ def _doubtful(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hub[seen]), pa.array(ids[seen])], names=["hub", "id"])
 
     dealt = _dealt(rows, "hub", F.ceil(F.col("n") / BLOCK).cast("int"), ["id", "component", "sig"])
-    return dealt.mapInArrow(tk.tidy(lambda batches: _grouped(batches, 3, solve)), "hub long, id long").distinct()
+    return dealt.mapInArrow(tk.tidy(lambda batches: grouped(batches, 3, solve)), "hub long, id long").distinct()
 
 
 def _within(rows: DataFrame, percent: int) -> DataFrame:
@@ -253,7 +258,7 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
 
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_ITEMS), F.ceil(F.col("n") / BLOCK)).cast("int")
     dealt = _dealt(rows, "hub", blocks, ["id", "items"])
-    return dealt.mapInArrow(tk.tidy(lambda batches: _grouped(batches, 3, solve)), "a long, b long").distinct()
+    return dealt.mapInArrow(tk.tidy(lambda batches: grouped(batches, 3, solve)), "a long, b long").distinct()
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:

@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .components import components
-from .scratch import staged
+from .minhash import grouped
+from .scratch import small_batches, staged
 
 #: Vectors the centroids are fitted to; home rows a cell should have; cells at most (k x dimension is broadcast).
-SAMPLE, CELL, CELLS = 20_000, 1024, 1024
+SAMPLE, CELL, CELLS = 40_000, 1024, 4096
 #: How much less close than the home centroid a visited one may be.
 MARGIN = 0.15
 #: Home rows of a block.
@@ -30,97 +32,99 @@ BLOCK = 1024
 
 def centroids(unit: DataFrame, dim: int, k: int, seed: int) -> np.ndarray:
     """k unit vectors, by k-means with cosine distance over the SAMPLE vectors of lowest hash."""
-    some = unit.filter(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE)
+    some = unit.filter(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(seed)), "id", "h1").limit(SAMPLE)
     model = KMeans(k=k, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="f").fit(some.select(array_to_vector("v").alias("f")))
     c = np.array(model.clusterCenters())
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
 def _assigned(unit: DataFrame, center: np.ndarray, margin: float) -> DataFrame:
-    """(label, cell, home boolean, homes int, cells array<int>, id, n, v): one row for each cell a vector is in."""
+    """(label, cell, homes, cells, cid, n, v): one row for each cell a vector is in; cells, all it visits, only in its home."""
     shared = unit.sparkSession.sparkContext.broadcast(center)  # at most CELLS x dimension
 
     def assign(batches):
         c = shared.value
-        for batch in batches:
-            vs = batch.column(2).to_pylist()
-            homes, cells = [], []
-            for at in range(0, len(vs), 1024):
-                part = vs[at : at + 1024]
-                fit = [len(v) == c.shape[1] for v in part]
-                dot = np.array([v for v, f in zip(part, fit) if f]).reshape(-1, c.shape[1]) @ c.T
-                near = iter(zip(dot.argmax(axis=1), dot >= dot.max(axis=1, keepdims=True) - margin)) if len(dot) else iter(())
-                for v, f in zip(part, fit):
-                    if f:
-                        home, visits = next(near)
-                        homes.append(int(home))
-                        cells.append(np.flatnonzero(visits).tolist())
-                    else:  # another dimension: its own cell
-                        homes.append(len(c) + len(v))
-                        cells.append([len(c) + len(v)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(homes, pa.int32()), pa.array(cells, pa.list_(pa.int32())), batch.column(2), batch.column(3)],
-                names=["label", "id", "homes", "cells", "v", "n"],
-            )
-
-    got = unit.select("label", "id", "v", "n").mapInArrow(assign, "label string, id long, homes int, cells array<int>, v array<double>, n long")
-    return got.select("label", F.explode("cells").alias("cell"), "homes", "cells", "id", "n", "v")
-
-
-def _compare(rows: DataFrame, cells: int, floor: float) -> DataFrame:
-    """(id, n, to): links found for a vector (n, counting copies) and one vector it is connected to, if n is null."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                fit = size == c.shape[1]
+                homes = len(c) + size.astype(np.int64)  # another dimension: its own cell
+                near = np.zeros((len(size), len(c)), bool)
+                if fit.any():
+                    dot = flat[np.repeat(fit, size)].reshape(-1, c.shape[1]) @ c.T
+                    homes[fit] = dot.argmax(axis=1)
+                    near[fit] = dot >= dot.max(axis=1, keepdims=True) - margin
+                many = np.where(fit, near.sum(axis=1), 1)
+                cells = np.empty(int(many.sum()), np.int64)
+                mine = np.repeat(fit, many)
+                cells[mine] = np.nonzero(near)[1]
+                cells[~mine] = homes[~fit]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(cells, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(homes, pa.int32()), lists, batch.column(2), batch.column(3)],
+                    names=["label", "cid", "homes", "cells", "v", "n"],
+                )
+
+    got = unit.select("label", "cid", "v", "n").mapInArrow(tk.tidy(assign), "label string, cid long, homes int, cells array<int>, v array<double>, n long")
+    each = got.select("label", F.explode("cells").alias("cell"), "homes", "cells", "cid", "n", "v")
+    return each.withColumn("cells", F.when(F.col("cell") == F.col("homes"), F.col("cells")))
+
+
+def _twice(cells: np.ndarray, homes: np.ndarray, cell: int) -> np.ndarray:
+    """Whether a pair (host, visitor) is met in the visitor's home as well and counts there, since that is the lower cell and the host visits it."""
+    names, place = np.unique(homes, return_inverse=True)
+    visits = np.zeros((len(cells), len(names)), bool)
+    flat = np.concatenate(cells)
+    row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    known = names[at] == flat
+    visits[row[known], at[known]] = True
+    return visits[:, place] & (homes < cell)[None, :]
+
+
+def _compare(rows: DataFrame, floor: float) -> DataFrame:
+    """(cid, n, to): links found for a class of vectors (n, counting copies) and one class it is connected to.
+
+    Home rows and visitors of a cell are dealt into blocks by their own numbers; each pair of home blocks, and of a home and a visitors' block, is a group.
+    """
     here = F.col("cell") == F.col("homes")
-    sizes = rows.groupBy("label", "cell").agg(F.count_if(here).alias("home"), F.count("*").alias("all"))
-    dealt = rows.join(sizes.filter("home > 0"), ["label", "cell"])
-    left = F.greatest(F.lit(1), F.ceil(F.col("home") / BLOCK)).cast("int")
-    deal = F.pmod(F.xxhash64("id", F.lit(3)), left).cast("int")
-    # a home row meets every block of home rows once; a visitor meets each block of them
-    meets = F.transform(
-        F.sequence(F.lit(0), left - 1),
-        lambda o: F.struct(F.when(here, F.least(deal, o)).otherwise(o).alias("i"), F.when(here, F.greatest(deal, o)).otherwise(-1 - deal).alias("j"), here.alias("own")),
-    )
-    spread = dealt.select("label", "cell", "homes", "cells", "id", "n", "v", deal.alias("deal"), F.explode(meets).alias("m"), left.alias("left"))
-    # for visitors, the home block they meet has to be there as well
-    both = spread.select("label", "cell", "homes", "cells", "id", "n", "v", "deal", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
-    host = dealt.filter(here).select(
-        "label", "cell", "homes", "cells", "id", "n", "v", deal.alias("deal"), deal.alias("i"), F.explode(F.transform(F.sequence(F.lit(0), left - 1), lambda o: -1 - o)).alias("j")
-    )
-    tasks = both.unionByName(host).repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j", "id")
-
-    def links(group):
-        home = np.array([g[2] for g in group])
-        cell, i, j = group[0][1], group[0][8], group[0][9]
-        ids, n = np.array([g[4] for g in group]), np.array([g[5] for g in group])
-        deal = np.array([g[7] for g in group])
-        at_home = home == cell
-        if j >= 0:
-            a, b = np.flatnonzero(at_home & (deal == i)), np.flatnonzero(at_home & (deal == j))
-        else:
-            a, b = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+    sizes = rows.groupBy("label", "cell").agg(F.count_if(here).alias("home"), F.count_if(~here).alias("visits"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = sizes.filter("home > 0").select("label", "cell", blocks("home").alias("hb"), blocks("visits").alias("vb"))
+    dealt = rows.join(sizes, ["label", "cell"]).withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(3)), F.when(here, F.col("hb")).otherwise(F.col("vb"))).cast("int"))
+    group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    deal, upto = F.col("deal"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    among = F.transform(upto("hb"), lambda o: group(F.least(deal, o), F.greatest(deal, o)))
+    hosting = F.when(F.col("vb") > 0, F.transform(upto("vb"), lambda o: group(deal, -1 - o))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    meets = F.when(here, F.concat(among, hosting)).otherwise(F.transform(upto("hb"), lambda o: group(o, -1 - deal)))
+    spread = dealt.select("label", "cell", F.explode(meets).alias("m"), "homes", "cid", "n", "deal", "cells", "v")
+    tasks = spread.select("label", "cell", "m.i", "m.j", "homes", "cid", "n", "deal", "cells", "v").repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j", "cid")
+
+    def links(cols):
+        _, cell, i, j, homes, cid, n, deal, cells, v = cols
+        cell, i, j = int(cell[0]), int(i[0]), int(j[0])
+        home = homes == cell
+        a, b = (np.flatnonzero(home & (deal == i)), np.flatnonzero(home & (deal == j))) if j >= 0 else (np.flatnonzero(home), np.flatnonzero(~home))
         if not len(a) or not len(b):
             return
-        dims = {len(group[0][6])}
-        if len(dims | {len(g[6]) for g in group}) > 1:
-            raise ValueError("vectors of one cell differ in dimension")
-        x = np.array([group[k][6] for k in a])
-        y = np.array([group[k][6] for k in b])
-        count, label = np.zeros(len(group), np.int64), ids.copy()
-        hits = []
+        x, y = np.stack(v[a]), np.stack(v[b])
+        hit = np.empty((len(a), len(b)), bool)
         for k in range(0, len(a), 256):
-            hit = x[k : k + 256] @ y.T >= floor
+            at = slice(k, k + 256)
+            hit[at] = x[at] @ y.T >= floor
             if j == i:
-                hit &= ids[a[k : k + 256]][:, None] != ids[b][None, :]
-            if j < 0 and hit.any():
-                # met in the visitor's home too if the host visits that; then the lower cell counts the pair
-                p, q = np.nonzero(hit)
-                twice = [home[b[q_]] < cell and home[b[q_]] in cells_of[a[k + p_]] for p_, q_ in zip(p, q)] if (cells_of := [set(g[3]) for g in group]) else []
-                hit[p[twice], q[twice]] = False
-            hits.append(hit)
-        hit = np.concatenate(hits)
+                hit[at] &= cid[a[at]][:, None] != cid[b][None, :]
+            elif j < 0 and hit[at].any():
+                hit[at] &= ~_twice(cells[a[at]], homes[b], cell)
+        if not hit.any():
+            return
+        count, label = np.zeros(len(cid), np.int64), cid.copy()
         count[a] += hit @ n[b]
         if j != i:
             count[b] += hit.T @ n[a]
-        while True:  # smallest id connected within this pair of blocks
+        while True:  # smallest class connected within this pair of blocks
             low = np.where(hit, label[b][None, :], np.iinfo(np.int64).max).min(axis=1)
             new = label.copy()
             new[a] = np.minimum(new[a], low)
@@ -129,30 +133,10 @@ def _compare(rows: DataFrame, cells: int, floor: float) -> DataFrame:
             if (new == label).all():
                 break
             label = new
-        for k in np.flatnonzero((count > 0) | (label != ids)):
-            yield int(ids[k]), int(count[k]), int(label[k])
-
-    def run(batches):
-        group: list = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                out = []
-                for row in zip(*(c.to_pylist() for c in part.columns)):
-                    key = (row[0], row[1], row[8], row[9])
-                    if group and key != (group[0][0], group[0][1], group[0][8], group[0][9]):
-                        out += links(group)
-                        group = []
-                    group.append(row)
-                yield pack(out)
-        if group:
-            yield pack(list(links(group)))
-
-    def pack(out):
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "n", "to"])
-
-    return tasks.mapInArrow(run, "id long, n long, to long")
+        found = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array(count[found]), pa.array(label[found])], names=["cid", "n", "to"])
+
+    return tasks.mapInArrow(tk.tidy(lambda batches: grouped(batches, 4, links)), "cid long, n long, to long")
 
 
 def near_vectors(
@@ -171,9 +155,10 @@ def near_vectors(
     or more (no pair below it is ever linked; a pair whose vectors are far from each other's cells may be missed). n_links: other
     rows linked directly; component_id: the smallest id reachable; kept: whether that is the row's own id.
     Vectors that are null, empty, zero or have null or non-finite components, and rows with a null label or id,
-    link with nothing: n_links 0, their own id, kept. Repeated rows are linked copies; an empty table gives an empty
+    link with nothing: n_links 0, their own id, kept. Repeated rows are linked copies; different vectors that share an id have their own links each; an empty table gives an empty
     result; other columns of df are not looked at.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
@@ -182,7 +167,8 @@ def near_vectors(
     valid = rows.filter("good")
     classes = valid.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("e").alias("e"), F.first("norm").alias("norm"))
     classes = classes.withColumn("v", F.transform("e", lambda x: x / F.col("norm"))).select("label", "h1", "h2", "id", "n", "v")
-    unit = staged(classes, "vectors")
+    # vectors may share an id, so a class has a number of its own; it is fixed by being written
+    unit = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
 
     kinds = unit.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not kinds:
@@ -190,15 +176,16 @@ def near_vectors(
     largest = unit.groupBy("label").count().agg(F.max("count")).first()[0]
     k = int(min(CELLS, max(2, -(-largest // cell))))
     center = centroids(unit, kinds[0]["dim"], k, seed) if unit.count() > k else np.zeros((1, kinds[0]["dim"]))
-    found = staged(_compare(_assigned(unit, center, margin), len(center), floor), "links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("links"))
-    placed = components(found, "id", "to")
-    out = unit.select("label", "h1", "h2", F.col("id").alias("class"), "n")
-    out = out.join(counts.withColumnRenamed("id", "class"), "class", "left").join(placed.withColumnRenamed("id", "class"), "class", "left")
-    out = out.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "class").alias("component"))
-    key = [rows[c].eqNullSafe(out[c]) if c == "label" else rows[c] == out[c] for c in ("label", "h1", "h2")]
+    found = staged(_compare(_assigned(unit, center, margin), floor), "links")
+    counts = found.groupBy("cid").agg(F.sum("n").alias("links"))
+    placed = components(found, "cid", "to").withColumnRenamed("id", "cid")
+    out = unit.select("label", "h1", "h2", "cid", "id", "n").join(counts, "cid", "left").join(placed, "cid", "left")
+    out = staged(out.select("label", "h1", "h2", "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component")), "classes")
+    first = out.groupBy("component").agg(F.min("id").alias("first"))
+    out = out.join(first, "component").select("label", "h1", "h2", "links", "first")
+    key = [rows[c] == out[c] for c in ("label", "h1", "h2")]
     joined = rows.join(out, [*key, rows["good"]], "left")
-    component = F.coalesce(out["component"], rows["id"])
+    component = F.coalesce(out["first"], rows["id"])
     return joined.select(
         rows["id"].alias(id_col),
         F.coalesce(out["links"], F.lit(0)).cast("long").alias("n_links"),
