@@ -318,9 +318,68 @@ def test_bpe(spark, odd):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i].ids == ids and got[i].decoded == tok.decode(ids, skip_special_tokens=False), t
         assert digests[i].n_tokens == len(ids) and digests[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert digests[i].decoded_sha256 == hashlib.sha256(got[i].decoded.encode()).hexdigest()
     assert bpe.bpe_encode(empty(spark), path).count() == 0
 
 
+def test_bpe_automaton():
+    """A second vocabulary, read from its file; one transition for each symbol, kept in the table; what the file asks for beyond that is an error."""
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = tokenizers.Tokenizer.from_file(path), bpe.Tokenizer(open(path, "rb").read())
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc the ÀÉß中🙂 '!?01\n\t", k=rng.randint(0, 60))) for _ in range(300)] + ["a" * 3000]
+    for t in texts:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert own.run(t) == (struct.pack(f"<{len(ids)}I", *ids), tok.decode(ids, skip_special_tokens=False)), t
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    own.auto.moves = Counted(own.auto.moves)
+    known = len(own.auto.moves)
+    word = texts[-1].encode()
+    own.auto.encode(word)
+    assert Counted.asked == len(word) and len(own.auto.moves) == known
+    spec = json.loads(open(path).read())
+    for change in ({"normalizer": {"type": "Strip"}}, {"decoder": {"type": "WordPiece"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(spec | change).encode())
+
+
+def test_vectors_share_ids(spark):
+    """Different vectors with one id have their own links; the smallest id of a component is a row's id, not a class's number."""
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.99, 0.1, 0.0], 0), (1, [0.0, 0.0, 1.0], 0), (3, [0.0, 0.1, 0.99], 0), (1, [1.0, 0.0, 0.0], 0), (0, [0.0, 1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in semdedup.near_vectors(df).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
+def test_many_languages(spark):
+    """More languages than bits of a byte or a word; a null label is filled with what is found; long words lose no n-gram."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    many = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 40).cast("string")))
+    fitted = langid.learn(many, "doc_id", "text", "lang")
+    assert len(fitted.langs) > 64 and langid.identify(docs, fitted).count() == docs.count()
+    known = langid.recognised(docs.withColumn("lang", F.lit(None).cast("string")), langid.learn(docs, "doc_id", "text", "lang"), "text", "lang")
+    assert known.filter("lang is null").count() == 0
+    text = "abcde fgh " * 70_000 + "x" * 600_000
+    whole = {n: 0 for n in langid.SIZES}
+    for part, rows in langid.pieces([None, text]):
+        for n, hashes, row in langid.gram_hashes(part, rows):
+            assert set(np.unique(row)) <= {1}
+            whole[n] += len(hashes)
+    words = text.split()
+    assert whole == {n: sum(max(0, len(w) + 2 - n + 1) for w in words) for n in langid.SIZES}
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(i, i + 1) for i in range(0, 90)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(500, 500 + k) for k in range(1, 60)]
