@@ -43,6 +43,16 @@ def op6_quality_rules(spark, sf_dir):
     )
 
 
+def quality_versions(spark, sf_dir):
+    """What each policy drops, from the ledger of op6."""
+    return rules.versions(rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def quality_ablations(spark, sf_dir):
+    """What each rule of each policy catches, and what only it catches."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -73,6 +83,8 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "quality_versions": quality_versions,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +92,6 @@ ORACLES: dict[str, str] = {
     "op2_license_sentences": licenses.ORACLE,
     "op6_quality_rules": rules.ORACLE,
     "op9_tool_call_linking": chat.ORACLE,
+    "quality_versions": rules.VERSIONS_ORACLE,
+    "quality_ablations": rules.ABLATIONS_ORACLE,
 }

@@ -2,8 +2,8 @@
 
 Every rule is evaluated once for each text; the ledger keeps the measurements and one bit for each
 rule that failed. A policy is a version with two masks: texts that fail any rule of `reject`, or `limit` or more rules of
-`doubt`, are dropped. Applying a policy, comparing versions and computing ablations (what each rule rejects
-alone) are then bitwise operations over small rows; no text is read again.
+`doubt`, are dropped. Applying a policy is then bitwise work over small rows. Comparing versions and computing ablations (the whole policy again with
+one rule's bit cleared) need only the counts of the ledger's patterns; no text is read again.
 
 Everything is built-in DataFrame functions; nothing is shuffled to build the ledger or apply a policy.
 """
@@ -116,11 +116,12 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.withColumn("failures", bits)
 
 
-def _rejects(policy: Policy) -> Column:
-    hard = F.col("failures").bitwiseAND(F.lit(mask(policy.reject)).cast("long")) != 0
+def _rejects(policy: Policy, failures: Column | None = None) -> Column:
+    failures = F.col("failures") if failures is None else failures
+    hard = failures.bitwiseAND(F.lit(mask(policy.reject)).cast("long")) != 0
     if not policy.doubt:
         return hard
-    return hard | (F.bit_count(F.col("failures").bitwiseAND(F.lit(mask(policy.doubt)).cast("long"))) >= policy.limit)
+    return hard | (F.bit_count(failures.bitwiseAND(F.lit(mask(policy.doubt)).cast("long"))) >= policy.limit)
 
 
 def verdicts(found: DataFrame, policy: Policy) -> DataFrame:
@@ -130,31 +131,41 @@ def verdicts(found: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def patterns(found: DataFrame) -> DataFrame:
+    """(failures, n): how many texts have each set of failures; a row for each of the at most 2**len(RULES) sets, combined before the shuffle."""
+    return found.groupBy("failures").agg(F.count("*").alias("n"))
+
+
 def versions(found: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFrame:
-    """(version, n, dropped, any_failure) for each policy: one pass, one row for each task and version shuffled."""
+    """(version, n, dropped, any_failure) for each policy, from the patterns of the ledger; nothing for an empty one."""
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), _rejects(p).alias("drop")) for v, p in sorted(policies.items())]))
     return (
-        found.select("failures", each.alias("p"))
+        patterns(found)
+        .select("failures", "n", each.alias("p"))
         .groupBy("p.version")
-        .agg(F.count("*").alias("n"), F.count_if("p.drop").alias("dropped"), F.bit_or("failures").alias("any_failure"))
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p.drop"), F.col("n")).otherwise(0)).alias("dropped"), F.bit_or("failures").alias("any_failure"))
     )
 
 
-def ablations(found: DataFrame, policy: Policy) -> DataFrame:
-    """(rule, failed, alone): texts that fail each rejecting rule, and that only it rejects, so are kept without it."""
-    every = mask(policy.reject)
-    names = [n for n in dict.fromkeys(policy.reject)]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(mask([n])).cast("long").alias("bit")) for n in names]))
-    hit = F.col("failures").bitwiseAND(F.lit(every).cast("long"))
-    return (
-        found.select(hit.alias("hit"), each.alias("r"))
-        .groupBy("r.rule")
-        .agg(F.count_if(F.col("hit").bitwiseAND(F.col("r.bit")) != 0).alias("failed"), F.count_if(F.col("hit") == F.col("r.bit")).alias("alone"))
-    )
+def ablations(found: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFrame:
+    """(version, rule, failed, alone): texts that fail each rule of a policy, and that the policy drops but keeps once the rule's bit is cleared.
+
+    From the patterns of the ledger; nothing for an empty one.
+    """
+    each = []
+    for v, p in sorted(policies.items()):
+        for name in dict.fromkeys((*p.reject, *p.doubt)):
+            bit = F.lit(mask([name])).cast("long")
+            fails = F.col("failures").bitwiseAND(bit) != 0
+            spared = _rejects(p) & ~_rejects(p, F.col("failures").bitwiseAND(F.bitwise_not(bit)))
+            each.append(F.struct(F.lit(v).alias("version"), F.lit(name).alias("rule"), fails.alias("fails"), spared.alias("spared")))
+    total = lambda flag: F.sum(F.when(F.col(flag), F.col("n")).otherwise(0))
+    rows = patterns(found).select("n", F.explode(F.array(*each)).alias("r"))
+    return rows.groupBy("r.version", "r.rule").agg(total("r.fails").alias("failed"), total("r.spared").alias("alone"))
 
 
 _CASES = " + ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(RULES))
-ORACLE = f"""
+LEDGER_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -175,7 +186,8 @@ WITH d AS (
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
-), f AS (SELECT *, ({_CASES})::BIGINT AS failures FROM m)
+), f AS (SELECT *, ({_CASES})::BIGINT AS failures FROM m)"""
+ORACLE = f"""{LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failures & {mask(BASE)}) <> 0 AS base_failed,
        (failures & {mask(BASE) | mask(POLICIES[CURRENT].reject)}) = 0
@@ -183,3 +195,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failures
 FROM f
 """
+_policy_rows = ", ".join(f"('{v}', {mask(p.reject)}, {mask(p.doubt)}, {p.limit})" for v, p in POLICIES.items())
+_rule_rows = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(RULES))
+_POLICY_SQL = f"""{LEDGER_SQL}, p(version, hard, soft, most) AS (VALUES {_policy_rows}), r(rule, bit) AS (VALUES {_rule_rows})"""
+VERSIONS_ORACLE = f"""{_POLICY_SQL}
+SELECT version, count(*) AS n, count(*) FILTER ((failures & hard) <> 0 OR bit_count(failures & soft) >= most) AS dropped, bit_or(failures) AS any_failure
+FROM f, p GROUP BY version"""
+ABLATIONS_ORACLE = f"""{_POLICY_SQL}
+SELECT version, rule, count(*) FILTER ((failures & bit) <> 0) AS failed,
+       count(*) FILTER (((failures & hard) <> 0 OR bit_count(failures & soft) >= most)
+         AND (failures & hard & ~bit) = 0 AND bit_count(failures & soft & ~bit) < most) AS alone
+FROM f, p, r WHERE ((hard | soft) & bit) <> 0 GROUP BY version, rule"""

@@ -212,9 +212,18 @@ def test_rules(spark, odd):
         gone = [bool(r.failures & reject) or bool(p.doubt and bin(r.failures & doubt).count("1") >= p.limit) for r in rows]
         v = rules.versions(docs).filter(F.col("version") == name).first()
         assert (v.n, v.dropped) == (len(rows), sum(gone))
-    for a in rules.ablations(docs, rules.POLICIES["v2"]).collect():
-        bit, every = rules.mask([a.rule]), rules.mask(rules.POLICIES["v2"].reject)
-        assert (a.failed, a.alone) == (sum(bool(r.failures & bit) for r in rows), sum(r.failures & every == bit for r in rows))
+    drops = lambda p, f: bool(f & rules.mask(p.reject)) or bool(p.doubt and bin(f & rules.mask(p.doubt)).count("1") >= p.limit)
+    # failures of every kind, those that only together make a doubt among them
+    every = spark.range(1 << len(rules.RULES)).select(F.col("id").alias("doc_id"), F.col("id").alias("failures"))
+    for table in (docs, every):
+        bits = [r.failures for r in table.collect()]
+        got = {(a.version, a.rule): (a.failed, a.alone) for a in rules.ablations(table).collect()}
+        for name, p in rules.POLICIES.items():
+            for rule in (*p.reject, *p.doubt):
+                bit = rules.mask([rule])
+                assert got.pop((name, rule)) == (sum(bool(f & bit) for f in bits), sum(drops(p, f) and not drops(p, f & ~bit) for f in bits))
+        assert not got
+    assert rules.ablations(rules.ledger(empty(spark))).count() == 0 == rules.versions(rules.ledger(empty(spark))).count()
 
 
 def seats(votes, n):
