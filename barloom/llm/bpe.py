@@ -20,6 +20,7 @@ emitted tokens are followed back by their lengths: no place is searched or visit
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
@@ -37,6 +38,8 @@ from .scratch import small_batches
 
 #: Distinct words in a task's table before it becomes the older one of two; transitions in its table before it is begun anew.
 MAX_WORDS, MAX_MOVES = 150_000, 400_000
+#: Where a composed state's table of moves holds the state itself; symbols are 0 to 511.
+MEMBERS = -1
 #: The splitter that byte-level vocabularies use when their file names none.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Splitters whose matches hold no blank and look at nothing around them: a text may be cut at blanks first.
@@ -95,57 +98,56 @@ class Automaton:
         per_token = lambda values, none: array("i", [values.get(t, none) for t in range(self.width)])
         self.to, self.length = per_token(to, -1), per_token({i: len(s) for i, s in spelling.items()}, 0)
         self.left, self.made = per_token({w: u for u, _, w in numbers}, -1), per_token({n[2]: time for time, n in enumerate(numbers)}, 0)
-        # the lost arcs: sorted (state, token), and the time of each
-        key = np.repeat(np.arange(len(lost)) * self.width, [len(arcs) for arcs in lost]) + np.array([t for arcs in lost for t in arcs], dtype=np.int64)
-        order = np.argsort(key)
-        self.arcs = array("q", key[order].astype("<i8").tobytes())
+        # the lost arcs: each state's tokens in order from first[state] on, and the time of each
+        sizes, token = [len(arcs) for arcs in lost], np.array([t for arcs in lost for t in arcs], dtype="<i4")
+        self.first = array("i", [0, *np.cumsum(sizes).tolist(), sum(sizes)])
+        order = np.lexsort((token, np.repeat(np.arange(len(lost)), sizes)))
+        self.arcs = array("i", token[order].tobytes())
         self.times = array("i", np.array([time for arcs in lost for time in arcs.values()], dtype="<i4")[order].tobytes())
-        # spellings as a tree: sorted (node, symbol), the node each leads to, and the token that ends at a node
-        child: dict[int, int] = {}
+        # spellings as a tree: the node that a node and a symbol lead to, and the token that ends at a node
+        self.child: dict[int, int] = {}
         ends, inner = [-1], [False]
         for i, codes in spelling.items():
             node = 0
             for c in codes:
                 inner[node] = True
-                step = child.get(node << 9 | c)
+                step = self.child.get(node << 9 | c)
                 if step is None:
-                    step = child[node << 9 | c] = len(ends)
+                    step = self.child[node << 9 | c] = len(ends)
                     ends.append(-1)
                     inner.append(False)
                 node = step
             ends[node] = i
-        edges = sorted(child)
-        self.edges, self.under = array("q", edges), array("i", [child[e] for e in edges])
         self.ends, self.inner = array("i", ends), bytearray(inner)
-        self.bits = self.width.bit_length()
+        self.known: dict[tuple, dict] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget the symbol table; it is grown anew from the compiled tables."""
-        self.moves: dict[int, int] = {}
-        self.sets: list[tuple] = [(self.start, 0)]
-        self.known = {self.sets[0]: 0}
+        """Forget the symbol table; it is grown anew from the compiled tables. States refer to each other, so they are emptied first."""
+        for moves in self.known.values():
+            moves.clear()
+        members = (self.start, 0)
+        self.begin: dict[int, tuple] = {MEMBERS: members}
+        self.known, self.moves = {members: self.begin}, 0
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the token automaton has an arc `token` from `state`."""
-        until, low, arcs = 1 << 30, state * self.width, self.arcs
+        until, arcs, low, high = 1 << 30, self.arcs, self.first[state], self.first[state + 1]
         while token >= 0:
-            at = bisect_left(arcs, low + token)
-            if at < len(arcs) and arcs[at] == low + token and self.times[at] <= until:
+            at = bisect_left(arcs, token, low, high)
+            if at < high and arcs[at] == token and self.times[at] <= until:
                 return False
             until, token = self.made[token], self.left[token]
         return True
 
-    def _compose(self, state: int, symbol: int) -> int:
-        """The transition of a composed state on a symbol: the state it leads to and the token emitted, in one number."""
+    def _compose(self, moves: dict[int, tuple], symbol: int) -> tuple[dict, int]:
+        """The transition of a composed state on a symbol: the moves of the state it leads to, and the token emitted."""
         going: list[int] = []
-        emitted, members, edges = -1, self.sets[state], self.edges
+        emitted, members = -1, moves[MEMBERS]
         for k in range(0, len(members), 2):
-            edge = members[k + 1] << 9 | symbol
-            at = bisect_left(edges, edge)
-            if at == len(edges) or edges[at] != edge:
+            node = self.child.get(members[k + 1] << 9 | symbol)
+            if node is None:
                 continue
-            node = self.under[at]
             token = self.ends[node]
             if emitted < 0 <= token and self.has_arc(members[k], token):
                 emitted = token
@@ -156,23 +158,19 @@ class Automaton:
         found = (*going, self.to[emitted], 0)
         to = self.known.get(found)
         if to is None:
-            to = self.known[found] = len(self.sets)
-            self.sets.append(found)
-        move = self.moves[state << 9 | symbol] = to << self.bits | emitted
+            to = self.known[found] = {MEMBERS: found}
+        self.moves += 1
+        move = moves[symbol] = (to, emitted)
         return move
 
     def encode(self, symbols) -> list[int]:
         """Ids of one pre-split word, given as symbols: one table lookup for each."""
-        if len(self.moves) > MAX_MOVES:
+        if self.moves > MAX_MOVES:
             self.reset()
-        moves, state, out = self.moves, 0, []
-        bits, low = self.bits, (1 << self.bits) - 1
+        moves, out = self.begin, []
         for symbol in symbols:
-            move = moves.get(state << 9 | symbol)
-            if move is None:
-                move = self._compose(state, symbol)
-            state = move >> bits
-            out.append(move & low)
+            moves, token = moves.get(symbol) or self._compose(moves, symbol)
+            out.append(token)
         ids, at, length = [], len(out), self.length
         while at:
             token = out[at - 1]
@@ -272,14 +270,21 @@ class Tokenizer:
             at = m.end()
         return [w for w in (*words, text[at:]) if w]
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        out = self.older.get(piece)
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        codes = word.encode()
+        ids = self.auto.encode([*codes[:-1], codes[-1] + 256] if self.end else codes)
+        return struct.pack(f"<{len(ids)}I", *ids), self.join.join([self.labels[i] for i in ids])
+
+    def _piece(self, piece: str, whole: bool = False) -> tuple[bytes, bytes]:
+        """(packed ids, labels) of a piece, remembered; of one word if it is whole."""
+        out = self.table.get(piece) or self.older.get(piece)
         if out is None:
-            ids: list[int] = []
-            for word in self._words(piece) if self.local else [piece]:
-                codes = word.encode()
-                ids += self.auto.encode([*codes[:-1], codes[-1] + 256] if self.end else codes)
-            out = (struct.pack(f"<{len(ids)}I", *ids), self.join.join([self.labels[i] for i in ids]))
+            words = [piece] if whole or not self.local else self._words(piece)
+            if words == [piece]:
+                out = self._word(piece)
+            else:
+                parts = [self._piece(w, True) for w in words]
+                out = b"".join([p[0] for p in parts]), self.join.join([p[1] for p in parts])
         if len(self.table) >= MAX_WORDS:
             self.older, self.table = self.table, {}
         self.table[piece] = out
@@ -296,20 +301,18 @@ class Tokenizer:
             for step in self.normal:
                 text = step(text)
             pieces = self._words(" " + text if self.prefix and text and not text[0].isspace() else text)
-        table = self.table
-        for piece in pieces:
-            if piece:
-                got = table.get(piece) or self._piece(piece)
-                if got[0]:
-                    packed.append(got[0])
-                    labels.append(got[1])
+        got = list(map(self.table.get, pieces))
+        if None in got:
+            got = [g or self._piece(p) for g, p in zip(got, pieces) if p]
+        packed += [g[0] for g in got if g[0]]
+        labels += [g[1] for g in got if g[0]]
 
     def run(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
         packed: list[bytes] = []
         labels: list[bytes] = []
         text, at = text or "", 0
-        for m in self.cut.finditer(text):
+        for m in self.cut.finditer(text) if any(t in text for t in self.added) else ():
             self._plain(text[at : m.start()], packed, labels)
             packed.append(struct.pack("<I", self.added[m[0]]))
             labels.append(m[0].encode())
@@ -326,14 +329,20 @@ def _compiled(df: DataFrame, vocab_path: str):
 
 
 def _forgetting(run, shared):
-    """run(tokenizer, batches) as a function over Arrow batches that leaves nothing remembered in its worker."""
+    """run(tokenizer, batches) as a function over Arrow batches that leaves nothing remembered in its worker.
+
+    Until then the cyclic collector rests: it would walk the growing tables again and again, and `Automaton.reset` frees them itself.
+    """
 
     def wrapped(batches):
-        tok = shared.value
+        tok, collects = shared.value, gc.isenabled()
+        gc.disable()
         try:
             yield from run(tok, batches)
         finally:
             tok.forget()
+            if collects:
+                gc.enable()
 
     return tk.tidy(wrapped)
 
