@@ -153,7 +153,7 @@ class Shard:
             after = np.where(after < 0, -1, after[nxt])  # twice as far
             nxt = np.where(after < 0, np.arange(len(after)), after)
             done *= 2
-        self.order = stable_order(rank)
+        self.order = stable_order(rank).astype(np.int32)
         back = before[self.order]
         self.transform = np.where(back < 0, -1, symbol[back])
 
@@ -167,49 +167,65 @@ def merge(shards: list[Shard], ends: int, depth: int) -> tuple[np.ndarray, np.nd
     source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.order) for s in shards])
     transform = np.concatenate([s.transform for s in shards])
     front = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
-    block = np.zeros(len(source), np.int64)
-    shared = np.full(len(source), depth, np.int64)
+    block = np.zeros(len(source), np.int32)
+    shared = np.full(len(source), depth, np.int32)
     shared[:1] = 0
     for step in range(depth):
-        symbol = np.empty(len(source), np.int64)
+        symbol = np.empty(len(source), np.int32)
         symbol[np.argsort(source, kind="stable")] = transform
-        live = np.flatnonzero(symbol >= 0)
-        order = live[stable_order(symbol[live])]
+        order = np.flatnonzero(symbol >= 0).astype(np.int32)
+        order = order[stable_order(symbol[order])]
+        symbol, block = symbol[order], block[order]
         edge = np.ones(len(source), bool)
-        edge[ends + 1 :] = (symbol[order][1:] != symbol[order][:-1]) | (block[order][1:] != block[order][:-1])
+        edge[ends + 1 :] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         source = np.concatenate([front, source[order]])
         shared[edge & (shared == depth)] = step
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=np.int32)
     return source, shared
 
 
+def _numbered(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The rank of the string of `size` bytes at each start among the distinct ones, in the order of their hashes."""
+    prefix, hashes = tk.prefix_hash(tk.BYTE_CODE[data]), np.empty(len(start), U)
+    for k in range(0, len(start), SHARD):
+        part = start[k : k + SHARD]
+        hashes[k : k + SHARD] = tk.range_hash(prefix, part, part + size)
+    del prefix
+    order = np.argsort(hashes).astype(np.int32)
+    hashes = hashes[order]
+    new = np.zeros(len(order), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank
+
+
 def repeated_starts(texts: list[np.ndarray], length: int, symbol: int, shard: int = SHARD) -> list[np.ndarray]:
     """For each text, whether the `length` bytes at each of its window starts also start elsewhere in texts."""
     depth = length // symbol
     close = np.zeros(1, np.uint8)  # a place behind each text, for the empty suffix
     data = np.concatenate([x for t in texts for x in (t, close)])
     off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    n, at = len(data), np.arange(len(data))
-    row = np.repeat(np.arange(len(texts)), np.diff(off))
+    n, at = len(data), np.arange(len(data), dtype=np.int32)  # positions and codes are far below 2**31
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
     whole = at + symbol < off[row + 1]
-    prefix = tk.prefix_hash(tk.BYTE_CODE[data])
-    code = np.empty(n, np.int64)
+    code = np.empty(n, np.int32)
     ends = int((~whole).sum())
     code[~whole] = np.arange(ends)
-    code[whole] = ends + np.unique(tk.range_hash(prefix, at[whole], at[whole] + symbol), return_inverse=True)[1]
+    code[whole] = ends + _numbered(data, at[whole], symbol)
     shards, starts, first = [], [], 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(off, off[first] + shard, side="right")) - 1)
         a, z = off[first], off[last]
-        here = np.arange(z - a)
+        here = np.arange(z - a, dtype=np.int32)
         after = np.where(whole[a:z], here + symbol, -1)
         before = np.where(at[a:z] - symbol >= off[row[a:z]], here - symbol, -1)
         made = Shard(code[a:z], after, before, depth)
         shards.append(made)
-        starts.append(made.order + a)
+        starts.append(made.order + int(a))
         first = last
     source, shared = merge(shards, ends, depth)
-    merged = np.empty(n, np.int64)
+    merged = np.empty(n, np.int32)
     merged[np.argsort(source, kind="stable")] = np.concatenate(starts)
     same = shared >= depth
     hit = np.zeros(n, bool)
