@@ -6,10 +6,12 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, minhash, mixing, rules, semdedup, suffix, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, ranked, rules, semdedup, suffix, tokencount, warc
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
+#: Model of the token counts.
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark, sf_dir, name, *columns):
@@ -72,6 +74,14 @@ def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
+def op12_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PIECES), limit=4096)
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked.ranked_search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_license_sentences": op2_license_sentences,
@@ -83,6 +93,8 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op12_token_counts": op12_token_counts,
+    "op13_ranked_search": op13_ranked_search,
     "quality_versions": quality_versions,
     "quality_ablations": quality_ablations,
 }
@@ -92,6 +104,7 @@ ORACLES: dict[str, str] = {
     "op2_license_sentences": licenses.ORACLE,
     "op6_quality_rules": rules.ORACLE,
     "op9_tool_call_linking": chat.ORACLE,
+    "op13_ranked_search": ranked.ORACLE,
     "quality_versions": rules.VERSIONS_ORACLE,
     "quality_ablations": rules.ABLATIONS_ORACLE,
 }
