@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, minhash, mixing, ranked, rules, semdedup, suffix, tokencount, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, ranked, rules, semdedup, suffix, tokencount, veccodes, warc
 
 #: Vocabulary file of the BPE query; a parameter of the operator, never copied here.
 VOCABULARY = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op10_bpe_automaton(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return veccodes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PIECES), limit=4096)
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_vector_codes": op11_vector_codes,
     "op12_token_counts": op12_token_counts,
     "op13_ranked_search": op13_ranked_search,
     "quality_versions": quality_versions,
@@ -104,6 +109,7 @@ ORACLES: dict[str, str] = {
     "op2_license_sentences": licenses.ORACLE,
     "op6_quality_rules": rules.ORACLE,
     "op9_tool_call_linking": chat.ORACLE,
+    "op11_vector_codes": veccodes.ORACLE,
     "op13_ranked_search": ranked.ORACLE,
     "quality_versions": rules.VERSIONS_ORACLE,
     "quality_ablations": rules.ABLATIONS_ORACLE,
