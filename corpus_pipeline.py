@@ -32,11 +32,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.recognised(docs, fitted, "text", "lang")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that agree in id and text, whether the id is null or not; which of them stays is open."""
+    key = F.xxhash64("text", F.length("text"))
+    twice = docs.groupBy("doc_id", key.alias("_twice")).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), "_twice")
+    twice = staged(twice, "repeated-rows")
+    if twice.isEmpty():
+        return docs
+    met = docs["doc_id"].eqNullSafe(twice["_id"]) & (key == twice["_twice"])
+    rest, some = docs.join(twice, met, "left_anti"), docs.join(twice, met, "left_semi")
+    return rest.unionByName(some.dropDuplicates(["doc_id", "text"]))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest doc_id.
 
-    Documents without an id stay. Rows that share an id are one document and stay or go together.
+    Of rows with the same id and text, and of equal texts without an id, one stays, so that no copy is left for the next stage to cut to nothing. Other
+    documents without an id stay. Rows that share an id are one document and stay or go together.
     """
+    docs = _once(docs)
     found = minhash.near_duplicates(docs, "doc_id", "text", size=5, percent=80)
     gone = found.filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
