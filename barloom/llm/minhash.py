@@ -47,7 +47,7 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.nda
     start, stop, row = tk.words(data, off)
     if not len(start):
         return np.empty(0, U), np.empty(0, np.int64)
-    word = tk.range_hash(tk.prefix_hash(tk.BYTE_CODE[data]), start, stop)
+    word = tk.text_hash(data, tk.prefix_hash(tk.BYTE_CODE[data]), start, stop)
     n = len(word)
     mult = tk.mix(np.arange(1, size + 1, dtype=U) * U(tk.BASE)) | U(1)
     full = np.zeros(max(n - size + 1, 0), dtype=U)
@@ -78,6 +78,11 @@ def distinct_shingles(data, off, size):
     return hashes[keep], rows[keep]
 
 
+def prints_of(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """(n, 2) numbers: a 128-bit print of each set of hashes, the sets starting at heads."""
+    return np.stack([np.add.reduceat(tk.mix(hashes ^ U(s)), heads) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1).astype("<u8")
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n_shingles, print, sig) for each row: set size, 128-bit print of the set, signature.
 
@@ -97,8 +102,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     for k in range(ROWS):
                         low = np.minimum.reduceat((hashes ^ _SEEDS[k]) * (_SEEDS[ROWS + k] | U(1)), heads)
                         sig[has, k] = (tk.mix(low) >> U(64 - BITS)).astype("<u2")
-                    prints[has, 0] = np.add.reduceat(tk.mix(hashes ^ U(0x5851F42D4C957F2D)), heads)
-                    prints[has, 1] = np.add.reduceat(tk.mix(hashes ^ U(0x14057B7EF767814F)), heads)
+                    prints[has] = prints_of(hashes, heads)
                 full = n > 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -116,17 +120,22 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, items array<long>): the full set of each text, for confirming."""
+    """(id, print, items array<long>): the full set of each text that has words, for confirming."""
 
     def build(batches):
         for batch in batches:
             for a, z, data, off in tk.slices(batch.column(1)):
                 hashes, rows = distinct_shingles(data, off, size)
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=z - a))]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), items], names=["id", "items"])
+                n = np.bincount(rows, minlength=z - a)
+                has = np.flatnonzero(n)
+                if not len(has):
+                    continue
+                cuts = np.concatenate([[0], np.cumsum(n[has])])
+                items = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))
+                prints = pa.array([p.tobytes() for p in prints_of(hashes, cuts[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).take(pa.array(has)), prints, items], names=["id", "print", "items"])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(tk.tidy(build), "id long, items array<long>")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(tk.tidy(build), "id long, print binary, items array<long>")
 
 
 def index_keys(sigs: DataFrame, chunks: int, errors: int) -> DataFrame:
@@ -261,14 +270,15 @@ def _within(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(tk.tidy(lambda batches: grouped(batches, 3, solve)), "a long, b long").distinct()
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Staged (id, items) of the texts with these ids."""
-    ids = staged(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
-        ids = F.broadcast(ids)
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return staged(shingle_sets(wanted, "id", "text", size).dropDuplicates(["id"]), "sets")
-
+def _sets_of(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Staged (id, items) of the classes among members: the set of a row with the class's least document id and its print."""
+    wanted = staged(classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class"), F.col("least").alias("id"), "print"), "ids")
+    some, ids = wanted, wanted.select("id").distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
+        some, ids = F.broadcast(some), F.broadcast(ids)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    sets = shingle_sets(texts, "id", "text", size).join(some, ["id", "print"]).select(F.col("class").alias("id"), "items")
+    return staged(sets.dropDuplicates(["id"]), "sets")
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) whose full sets satisfy 100 * |A and B| >= percent * |A or B|."""
@@ -295,15 +305,17 @@ def near_duplicates(
     links, itself included; kept says whether that is its own id.
 
     Null and empty texts and texts without words have size 0 and link with nothing. A row with a null id
-    is not linked: its component_id is null and it is kept. Rows that share an id count as one document.
+    is not linked: its component_id is null and it is kept. Rows that share an id count as one document: what
+    any of their texts is linked with is in their component.
     Ties cannot arise: every choice is by smallest id. An empty table gives an empty result. Other
     columns of df are not looked at, whatever their names.
     """
     small_batches(df.sparkSession)
     base = staged(sketches(df, id_col, text_col, size), "sketches")
     linkable = base.filter("id is not null and print is not null")
-    classes = linkable.groupBy("print").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
-    classes = staged(classes.select("id", "sig", "print"), "classes")
+    # from here on an id is the number of a class of equal sets, fixed by being written; documents may share an id
+    classes = linkable.groupBy("print").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("least"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "least", "sig", "print"), "classes")
     sigs = classes.select("id", "sig")
 
     keys = index_keys(sigs, chunks, errors)
@@ -317,7 +329,7 @@ def near_duplicates(
         (F.substring("sa", 2 * k + 1, 2) != F.substring("sb", 2 * k + 1, 2)).cast("int") for k in range(ROWS)
     )
     # texts are shuffled once: the sets of all that share a key with another one
-    sets = _sets_of(members.select("id").distinct(), df, id_col, text_col, size)
+    sets = _sets_of(members, classes, df, id_col, text_col, size)
     links = staged(_confirmed(staged(near.filter(apart <= FAR).select("a", "b"), "near"), sets, percent), "links")
     first = staged(components(links, "a", "b"), "first")
 
@@ -333,15 +345,14 @@ def near_duplicates(
     final = components(links.unionByName(more), "a", "b")
 
     # rows that share an id hold their classes together
-    same = linkable.join(classes.select("print", F.col("id").alias("class")), "print").select("id", "class")
-    ties = same.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    crossed = ties.filter("a <> b").select("a", "b")
-    if not crossed.isEmpty():
+    same = linkable.select(F.col("id").alias("doc"), "print").join(classes.select("print", "id"), "print").select("doc", "id")
+    ties = same.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    crossed = same.join(ties.filter("a <> b"), "doc").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    if not ties.filter("a <> b").isEmpty():
         final = components(links.unionByName(more).unionByName(crossed), "a", "b")
-    placed = ties.select("id", F.col("a").alias("class")).join(
-        final.select(F.col("id").alias("class"), "component"), "class", "left"
-    )
-    placed = placed.select("id", F.coalesce("component", "class").alias("component_id"))
+    final = classes.select("id", "least").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = final.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = ties.select("doc", F.col("a").alias("id")).join(final.select("id", "component"), "id").join(least, "component").select(F.col("doc").alias("id"), "component_id")
     out = base.join(placed, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col),

@@ -77,7 +77,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
         first = a + (view[a] == value).argmax(axis=1)
         last = z + wide - 1 - (view[z] == value)[:, ::-1].argmax(axis=1)
         again[k : k + 4096] = first != last
-    text = tk.range_hash(prefix, start, stop - 1 + length)
+    text = tk.text_hash(data, prefix, start, stop - 1 + length)
     return least[start], row[start], start - off[row[start]], stop - start, text, again
 
 

@@ -24,6 +24,7 @@ _pow: dict[int, np.ndarray] = {}
 def give_back() -> None:
     """Return freed memory to the system: a worker that is kept for later stages should not keep what it no longer uses."""
     _pow.clear()
+    _prime_pow.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -105,6 +106,37 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((prefix[stop] - prefix[start]) * inv[start])
 
 
+#: A second modulus. Modulo 2**64 some pairs of texts (long Thue-Morse strings) have equal hashes whatever the base; a prime tells them apart.
+PRIME = (1 << 31) - 1
+PRIME_BASE = 0x3B9ACA07
+_prime_pow: dict[int, np.ndarray] = {}
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME, by doubling."""
+    have = _prime_pow.get(base)
+    if have is None:
+        have = np.ones(1, dtype=U)
+    while len(have) < n:
+        have = np.concatenate([have, have * U(pow(base, len(have), PRIME)) % U(PRIME)])
+    _prime_pow[base] = have
+    return have[:n]
+
+
+def prime_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hash modulo PRIME of data[start:stop] for each pair, the same wherever the bytes stand."""
+    term = (BYTE_CODE >> U(33))[data] * _prime_powers(PRIME_BASE, len(data))
+    prefix = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum((term & U(PRIME)) + (term >> U(31)), out=prefix[1:])  # below 2**32 each
+    inverse = _prime_powers(pow(PRIME_BASE, -1, PRIME), len(prefix))
+    return (prefix[stop] - prefix[start]) % U(PRIME) * inverse[start] % U(PRIME)
+
+
+def text_hash(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """range_hash and prime_hash in one number: for texts of any length whose equality is decided by it."""
+    return mix(range_hash(prefix, start, stop) + prime_hash(data, start, stop) * U(BASE))
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop, row) of each maximal run of bytes other than space and 9..13; runs end with their text."""
     inside = ~SPACE[data]
