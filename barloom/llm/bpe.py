@@ -20,6 +20,7 @@ emitted tokens are followed back by their lengths: no place is searched or visit
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import json
@@ -188,6 +189,39 @@ def _pattern(node: dict) -> str:
     return node["Regex"] if "Regex" in node else regex.escape(node["String"])
 
 
+def _spans(codes: list[int], put: str) -> str:
+    """A set of the regex module for ascending code points, after the operator `put`; nothing where there are none."""
+    heads = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    tails = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return f"{put}[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(heads, tails)) + "]" if codes else ""
+
+
+@functools.lru_cache(maxsize=1)
+def library_characters() -> tuple[dict[str, str], dict[int, str]]:
+    """(classes, lower): how the tokenizers library differs from the tables here, asked of it once on the driver.
+
+    classes: for the letters and numbers of a splitter, a set of the regex module that holds just what they match in the library, whose Unicode version is
+    another one; asked are the code points on which the regex module and Python's own tables disagree, as its version lies between theirs. lower: what the
+    library makes of capitals that Python does not know yet.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, codes))
+    kind = {c: unicodedata.category(chr(c)) for c in codes}
+    classes = {}
+    for name in ("L", "N"):
+        known = {ord(c) for c in regex.findall(rf"\p{{{name}}}", text)}
+        asked = sorted(known ^ {c for c, k in kind.items() if k[0] == name})
+        kept = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed").pre_tokenize_str("".join(map(chr, asked)))
+        other = {ord(c) for piece, _ in kept for c in piece}
+        less, more = sorted(known & other), sorted(set(asked) - other - known)
+        classes[rf"\p{{{name}}}"] = f"[[\\p{{{name}}}{_spans(more, '||')}]{_spans(less, '--')}]"
+    new = "".join(chr(c) for c in codes if kind[c] == "Cn")
+    lower = normalizers.Lowercase().normalize_str(new)
+    return classes, {ord(a): b for a, b in zip(new, lower) if a != b} if len(lower) == len(new) else {}
+
+
 class Tokenizer:
     """A vocabulary file's normaliser, splitter, automaton and decoder, for use inside a task; what it can't do as the file says is an error."""
 
@@ -204,8 +238,9 @@ class Tokenizer:
         self.auto = Automaton(merges, {t: i for t, i in model["vocab"].items() if t not in self.added}, self.end)
         label = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        classes, self.lower = library_characters()
         self.steps = _steps(d["normalizer"], "normalizers")
-        self.normal = [self._normal(s) for s in self.steps]
+        self.normal = [self._normal(s, self.lower) for s in self.steps]
         self.kinds = [s["type"] for s in _steps(d["normalizer"], "normalizers")]
         self.split, self.prefix, self.kept_only = None, False, False
         byte_level = False
@@ -230,7 +265,9 @@ class Tokenizer:
             self.labels[i] = as_bytes(t) if kind else t.encode()
         # words of a text cut at blanks are met again and again, so whole pieces are remembered
         self.local = self.split in LOCAL_PATTERNS and self.kept_only and not self.prefix and self.kinds == ["NFC", "Replace", "Lowercase"]
-        self.split = regex.compile(self.split) if self.split else None
+        for name, held in classes.items():
+            self.split = self.split and self.split.replace(name, held)
+        self.split = regex.compile(self.split, regex.V1) if self.split else None
         self.space = regex.compile(r"\s+")
         self.forget()
 
@@ -245,15 +282,15 @@ class Tokenizer:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.normal = [self._normal(s) for s in self.steps]
+        self.normal = [self._normal(s, self.lower) for s in self.steps]
 
     @staticmethod
-    def _normal(s: dict):
+    def _normal(s: dict, lower: dict[int, str]):
         if s["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
             return lambda t: t if t.isascii() else unicodedata.normalize(s["type"], t)
         if s["type"] == "Lowercase":
             # lower() would look at what follows a capital sigma
-            return lambda t: t.lower() if t.isascii() else t.replace("Σ", "σ").lower()
+            return lambda t: t.lower() if t.isascii() else t.replace("Σ", "σ").lower().translate(lower)
         if s["type"] == "Replace":
             found, put = regex.compile(_pattern(s["pattern"])), s["content"]
             return lambda t: found.sub(lambda _: put, t)
@@ -277,8 +314,10 @@ class Tokenizer:
 
     def _piece(self, piece: str, whole: bool = False) -> tuple[bytes, bytes]:
         """(packed ids, labels) of a piece, remembered; of one word if it is whole."""
-        out = self.table.get(piece) or self.older.get(piece)
+        out, asked = self.table.get(piece) or self.older.get(piece), piece
         if out is None:
+            if self.local and not piece.isascii():
+                piece = piece.translate(self.lower)
             words = [piece] if whole or not self.local else self._words(piece)
             if words == [piece]:
                 out = self._word(piece)
@@ -287,7 +326,7 @@ class Tokenizer:
                 out = b"".join([p[0] for p in parts]), self.join.join([p[1] for p in parts])
         if len(self.table) >= MAX_WORDS:
             self.older, self.table = self.table, {}
-        self.table[piece] = out
+        self.table[asked] = out
         return out
 
     def _plain(self, text: str, packed: list[bytes], labels: list[bytes]) -> None:
