@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, decisions, folds, imaging, indicators, policy, touch, training, weights
-from ..sources import files
-from ..sources.staging import staged
+from ..operators import asof, decisions, fitting, folds, imaging, indicators, policy, touch, training, weights
+from ..sources import files, shards
+from ..sources.staging import shared_dir, staged
 from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _atr_bars, _bars, _clock_labels, _events, _predictions, _ticks, _touch_sql, query, r6
 
 WINDOW, STRIDE = 16, 4
@@ -40,6 +42,20 @@ def snapshot_existing(spark, sf_dir):
     return files.existing(_manifest(spark, sf_dir), _files(spark, sf_dir)).select("symbol", "start", "relpath")
 
 
+@query(f"""WITH {BARS}, w AS (SELECT symbol, pos AS start, list(close) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS x FROM b)
+SELECT symbol, start, 1 AS c, 4 AS h, 4 AS w, round(list_sum(list_transform(x, lambda v: v::FLOAT::DOUBLE)), 3) AS total, round(x[6]::FLOAT::DOUBLE, 4) AS sixth FROM w WHERE len(x) = {WINDOW} AND start % {STRIDE} = 0""")
+def sharded_windows(spark, sf_dir):
+    """Closes of windows written as shards of 4 x 4, in two appended runs, and fetched back row by row through the manifest."""
+    path = f"{shared_dir(spark)}/staged/shards-{uuid4().hex}"
+    rows = imaging.windows(_bars(spark, sf_dir), WINDOW, STRIDE).select("symbol", "start", F.transform("values", lambda v: v.cast("float")).alias("closes"))
+    rows = staged(rows, "windows")
+    for half in ("start % 8 = 0", "start % 8 <> 0"):
+        shards.write_shards(rows.filter(half).repartitionByRange(2, "symbol", "start").sortWithinPartitions("symbol", "start"), path, ("closes",), 4, 16)
+    got = shards.fetch(shards.manifest(spark, path).select("shard", "idx_in_shard", "symbol", "start"), path)
+    total = F.aggregate("image", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return got.select("symbol", "start", "c", "h", "w", F.round(total, 3).alias("total"), F.round(F.get("image", 5).cast("double"), 4).alias("sixth"))
+
+
 @query(f"WITH {BARS}, {SNAPSHOT} SELECT symbol AS run_tag, count(*) AS n FROM snap GROUP BY symbol")
 def snapshot_counts(spark, sf_dir):
     return snapshot_existing(spark, sf_dir).groupBy(F.col("symbol").alias("run_tag")).agg(F.count("*").alias("n"))
@@ -238,3 +254,23 @@ def events_by_regime(spark, sf_dir):
 @query()
 def motif_clusters(spark, sf_dir):
     return training.motifs(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "embedding", 8, tries=3).select("vec_id", "cluster")
+
+
+FEATURES = ("price", "tod_sin", "tod_cos", "dow_sin", "dow_cos")
+
+
+@query()
+def trained_fold_sweep(spark, sf_dir):
+    """Tick labels learned over purged folds; for each fold the validation metrics of the chosen step and the threshold of the highest expected value."""
+    t = _ticks(spark, sf_dir)
+    e = t.select("symbol", F.col("seq").alias("eid"), "us", (F.col("price") * 1.6).alias("up"), (F.col("price") * 0.6).alias("dn"), "price")
+    labels = staged(touch.label_ticks(e, t, DAY), "labels").select("eid", "us", F.col("event_end_us").alias("end_us"), "label", "price", *S.calendar(F.col("us")))
+    weight = weights.uniqueness(labels.withColumn("symbol", F.lit("all")), normalise=False).select("eid", F.col("weight").alias("uniqueness"))
+    split = folds.purged_kfold(labels, 5, HOUR)
+    rows = split.join(labels, "eid").join(weight, "eid", "left")
+    found, history = fitting.train_folds(rows, fitting.Plan(FEATURES, 3, fitting.logistic_path((0.03, 0.003), 20), patience=2))
+    scored = found.select("fold", F.col("y_true").alias("label"), "probs", F.get("probs", 1).alias("p"), (F.col("y_true") == 1).cast("int").alias("y"))
+    swept = decisions.ev_sweep(scored, ["fold"], 200, 1.6, 1.0, 50).withColumnRenamed("n", "trades")
+    chosen = history.filter("chosen").select("fold", "epoch")
+    out = decisions.fold_metrics(scored, ["fold"]).join(swept, "fold").join(chosen, "fold", "left")
+    return out.select("fold", "epoch", "n", *r6("loss", "accuracy", "threshold"), "trades", *r6("precision", "ev"))
