@@ -111,45 +111,46 @@ def label_bars(bars: DataFrame, path: DataFrame, width: int, start: int = 1, rul
     return out.withColumn("reason", reason).drop("at", "hit_up", "hit_dn", "high_at", "low_at", "_d")
 
 
-def label_ticks(events: DataFrame, path: DataFrame, horizon_us: int) -> DataFrame:
-    """events (symbol, eid, us, up, dn) with `label` (1 profit, 0 loss, 2 neither) and `event_end_us`.
+def label_ticks(events: DataFrame, path: DataFrame, horizon_us: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """events (keys, eid, us, up, dn) with `label` (1 profit, 0 loss, 2 neither) and `event_end_us`.
 
-    path: ticks (symbol, us, price) or extremes (symbol, us, high, low). Looked at are rows after us, up to and with us + horizon_us; one that
+    path: ticks (keys, us, price) or extremes (keys, us, high, low). Looked at are rows after us, up to and with us + horizon_us; one that
     touches both counts as profit. Events without rows, or without barriers, get 2.
     """
     ranged = events.withColumns({"lo": F.col("us") + 1, "hi": F.col("us") + horizon_us})
     high, low = ("price", "price") if "price" in path.columns else ("high", "low")
-    steps = path.groupBy("symbol", F.col("us").alias("x")).agg(F.max(high).alias("high"), F.min(low).alias("low"))
-    met = first_touch(ranged, steps, ["symbol"], horizon_us, levels=2)
+    steps = path.groupBy(*keys, F.col("us").alias("x")).agg(F.max(high).alias("high"), F.min(low).alias("low"))
+    met = first_touch(ranged, steps, list(keys), horizon_us, levels=2)
     label = F.when(F.col("at").isNull(), 2).when(F.col("hit_up"), 1).otherwise(0)
     return met.withColumns({"label": label, "event_end_us": F.coalesce("at", "hi")}).drop("lo", "hi", "at", "hit_up", "hit_dn", "high_at", "low_at")
 
 
-def label_snapshot(snapshot: DataFrame, bars: DataFrame, path: DataFrame, horizon_us: int, tp_mult: float, sl_mult: float, policy: DataFrame | None = None, regimes: DataFrame | None = None, month_of=S.month) -> DataFrame:
+def label_snapshot(snapshot: DataFrame, bars: DataFrame, path: DataFrame, horizon_us: int, tp_mult: float, sl_mult: float, policy: DataFrame | None = None, regimes: DataFrame | None = None, month_of=S.month, chunk: str | None = None) -> DataFrame:
     """snapshot rows (symbol, start, window, idx, month ...) with `label`, `event_end_us`, `us`, and month as of the entry.
 
     The entry is the bar at start + window - 1; barriers lie tp_mult and sl_mult average true ranges (column atr of bars) from its close, by
     month or regime where a policy says so (see `policy.level_for`). An entry at the last bar or beyond, or without a positive range, gets 2
-    (without an end where there is no entry). Rows whose month (month_of the entry's time) is none of the snapshot's are left out.
+    (without an end where there is no entry). Rows whose month (month_of the entry's time) is none of the snapshot's are left out. With `chunk`, a column of
+    both, a row meets only the path of its own chunk, and no row is left out.
     """
     from .policy import level_for
 
     last = bars.groupBy("symbol").agg(F.max("pos").alias("_last"))  # a row for each symbol
     rows = snapshot.withColumn("_at", (F.col("start") + F.col("window") - 1).cast("long"))
     at = bars.select("symbol", F.col("pos").cast("long").alias("_at"), "us", "close", "atr")
-    rows = rows.join(at, ["symbol", "_at"], "left").join(F.broadcast(last), "symbol", "left")
+    rows = rows.join(at, ["symbol", "_at"], "left").join(last, "symbol", "left")
     rows = level_for(rows, policy, regimes, tp_mult, sl_mult)
     entered = F.coalesce(F.col("_at") < F.col("_last"), F.lit(False))
     good = entered & (F.col("atr") > 0) & ~F.isnan("atr")
     rows = rows.withColumns({"_in": entered, "up": F.when(good, F.col("close") + F.col("tp_mult") * F.col("atr")), "dn": F.when(good, F.col("close") - F.col("sl_mult") * F.col("atr"))})
-    rows = rows.withColumn("eid", F.col("start"))
-    touched = label_ticks(rows.filter("up is not null").select("symbol", "eid", "us", "up", "dn"), path, horizon_us).select("symbol", "eid", F.col("label").alias("_label"), F.col("event_end_us").alias("_end"))
-    out = rows.join(touched, ["symbol", "eid"], "left")
+    rows = rows.withColumn("eid", F.col("_at"))
+    keys = ["symbol"] if chunk is None else ["symbol", chunk]
+    touched = label_ticks(rows.filter("up is not null").select(*keys, "eid", "us", "up", "dn").distinct(), path, horizon_us, tuple(keys)).select(*keys, "eid", F.col("label").alias("_label"), F.col("event_end_us").alias("_end"))
+    out = rows.join(touched, [*keys, "eid"], "left")
     end = F.when(F.col("_in"), F.col("us") + horizon_us)  # the horizon's end, whether touched or not
     out = out.withColumns({"label": F.coalesce("_label", F.lit(2)), "event_end_us": end, "touched_us": F.when(F.col("_label") < 2, F.col("_end"))})
-    months = snapshot.select("month").distinct()
-    out = out.withColumn("month", F.coalesce(F.when(F.col("_in"), month_of(F.col("us"))), F.col("month")))
-    return out.join(F.broadcast(months), "month", "left_semi").drop("_at", "_last", "_in", "_label", "_end", "eid", "atr", "close")
+    out = out.withColumn("month", F.coalesce(F.when(F.col("_in"), month_of(F.col("us"))), F.col("month"))).drop("_at", "_last", "_in", "_label", "_end", "eid", "atr", "close")
+    return out if chunk is not None else out.join(snapshot.select("month").distinct(), "month", "left_semi")
 
 
 def label_at(rows: DataFrame, bars: DataFrame, tp_mult: float, sl_mult: float, horizon_bars: int | None = None, horizon_us: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, decisions, fitting, folds, imaging, indicators, policy, touch, training, weights
+from ..operators import asof, bars, decisions, fitting, folds, imaging, indicators, labeljob, policy, touch, training, weights
 from ..sources import files, shards
 from ..sources.staging import shared_dir, staged
 from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _atr_bars, _bars, _clock_labels, _events, _predictions, _ticks, _touch_sql, query, r6
@@ -84,6 +84,42 @@ def snapshot_tick_labels(spark, sf_dir):
     return got.select("symbol", "start", "month", *r6("tp_mult", "sl_mult"), "label", "touched_us", "event_end_us")
 
 
+def _label_job(spark, sf_dir, kind: str, mode: str):
+    """The windows labelled by the job on files that are written first: one for each month of each symbol."""
+    root = f"{shared_dir(spark)}/staged/label-job-{uuid4().hex}"
+    t = _ticks(spark, sf_dir)
+    if kind == "1m":
+        t = bars.time_bars(t, HOUR).select("symbol", F.col("start_us").alias("us"), "high", "low")
+    t = staged(t.withColumn("month", S.month(F.col("us"))), "ticks")
+    for r in t.select("symbol", "month").distinct().collect():
+        mine = t.filter((F.col("symbol") == r.symbol) & (F.col("month") == r.month)).drop("symbol", "month")
+        mine.withColumn("timestamp", F.floor(F.col("us") / 1000)).drop("us", "seq", "qty", "cents").write.parquet(f"{root}/ticks/{r.symbol}-{kind}-{r.month}.parquet")
+    rows = _manifest(spark, sf_dir).withColumns({"window": F.lit(WINDOW), "month": S.month(F.col("t0_us"))})
+    got = labeljob.label_job(rows, _atr_bars(spark, sf_dir), f"{root}/ticks", f"{root}/labels", 2 * DAY, 2.0, 1.2, mode, per_round=3)
+    return got.select("symbol", "start", "month", "label", "touched_us", "event_end_us")
+
+
+def _job_sql(path: str) -> str:
+    """SQL of the label job; path gives x (symbol, us, high, low) of the files."""
+    return f"""WITH {TR}, {MANIFEST}, {path}, n AS (SELECT symbol, max(pos) AS last FROM atr GROUP BY symbol),
+e AS (SELECT m.symbol, m.start, a.us, a.atr, a.pos IS NOT NULL AND a.pos < n.last AS entered, a.close + 2.0::DOUBLE * a.atr AS up, a.close - 1.2::DOUBLE * a.atr AS dn, strftime(make_timestamp(t0), '%Y-%m') AS month
+  FROM m JOIN (SELECT symbol, start, t0 FROM m0) USING (symbol, start) JOIN n USING (symbol) LEFT JOIN atr a ON a.symbol = m.symbol AND a.pos = m.start + {WINDOW - 1}),
+h AS (SELECT e.symbol, e.start, min(x.us) AS hit FROM e JOIN x ON x.symbol = e.symbol AND x.us > e.us AND x.us <= e.us + {2 * DAY} AND (x.high >= e.up OR x.low <= e.dn) WHERE entered AND atr > 0 GROUP BY ALL),
+f AS (SELECT h.symbol, h.start, h.hit, max(x.high) AS hi FROM h JOIN x ON x.symbol = h.symbol AND x.us = h.hit GROUP BY ALL)
+SELECT e.symbol, e.start, CASE WHEN entered THEN strftime(make_timestamp(e.us), '%Y-%m') ELSE month END AS month, CAST(CASE WHEN f.hit IS NULL THEN 2 WHEN f.hi >= up THEN 1 ELSE 0 END AS INT) AS label, f.hit AS touched_us,
+CASE WHEN entered THEN e.us + {2 * DAY} END AS event_end_us FROM e LEFT JOIN f USING (symbol, start)"""
+
+
+@query(_job_sql("x AS (SELECT symbol, us // 1000 * 1000 AS us, price::FLOAT::DOUBLE AS high, price::FLOAT::DOUBLE AS low FROM t)"))
+def label_job_ticks(spark, sf_dir):
+    return _label_job(spark, sf_dir, "ticks", "ticks")
+
+
+@query(_job_sql(f"x AS (SELECT symbol, us // {HOUR} * {HOUR} AS us, max(price) AS high, min(price) AS low FROM t GROUP BY symbol, us // {HOUR})"))
+def label_job_hilo(spark, sf_dir):
+    return _label_job(spark, sf_dir, "1m", "hilo")
+
+
 def _relabel_sql(end: str) -> str:
     """SQL of relabelling windows on bars; `end` gives the last bar to look at from x (pos, us, last)."""
     return f"""WITH {TR}, {MANIFEST}, n AS (SELECT symbol, max(pos) AS last FROM atr GROUP BY symbol),

@@ -45,6 +45,31 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of what a folder holds; none where it is not there."""
+    p, fs = _at(spark, folder)
+    return [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, of the first data file if it is a folder; nothing else of it is read."""
+    p, fs = _at(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        inside = sorted(c for c in children(spark, path) if c.rsplit("/", 1)[-1][0] not in "._")
+        return first_line(spark, inside[0]) if inside else ""
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
 def newest(spark: SparkSession, pattern: str) -> str | None:
     """The file of a pattern that was changed last, the larger of equals; None where there is none."""
     p, fs = _at(spark, pattern)

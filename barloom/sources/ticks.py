@@ -129,11 +129,12 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_path(raw: DataFrame, mode: str = "auto", rule: str = "ticks") -> DataFrame:
-    """(us, high, low) to look labels up in: prices, or with mode="hilo" bars' extremes; "auto" takes prices where there are any.
+    """(us, high, low), and raw's columns that start with an underscore, to look labels up in: prices, or with mode="hilo" bars' extremes; "auto" takes prices where there are any.
 
     Raises where the table has no time column or not what the mode asks for. Prices are compared as 32-bit floats, as they are stored.
     """
     by_name = {c.strip().lower(): c for c in raw.columns}
+    kept = [c for c in raw.columns if c.startswith("_")]
     at = {k: next((by_name[n] for n in names if n in by_name), None) for k, names in PATH_ALIASES.items()}
     if at["timestamp"] is None:
         raise ValueError(f"no time column among {raw.columns}")
@@ -145,7 +146,7 @@ def label_path(raw: DataFrame, mode: str = "auto", rule: str = "ticks") -> DataF
         high, low = S.number(F.col(by_name["high"])), S.number(F.col(by_name["low"]))
     else:
         high = low = S.number(F.col(at["price"])).cast("float").cast("double")
-    return raw.select(us.alias("us"), high.alias("high"), low.alias("low")).filter("us is not null")
+    return raw.select(us.alias("us"), high.alias("high"), low.alias("low"), *kept).filter("us is not null")
 
 
 def label_tables(spark: SparkSession, path: str) -> DataFrame:
