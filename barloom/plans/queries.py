@@ -453,8 +453,11 @@ def window_images(spark, sf_dir):
     return imaging.images(imaging.windows(_bars(spark, sf_dir), 16, 4), 8, rp=True, cwt=True)
 
 
-@query(f"""WITH {TICKS} SELECT symbol, us // {HOUR} * {HOUR} // 1000 AS open_time, arg_min(price, (us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close,
+REGATHERED = (f"""WITH {TICKS} SELECT symbol, us // {HOUR} * {HOUR} // 1000 AS open_time, arg_min(price, (us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close,
 CAST(greatest(4, least(60, count(*))) AS BIGINT) AS ticks, round(sum(qty), 4) AS volume FROM t GROUP BY symbol, us // {HOUR}""")
+
+
+@query(REGATHERED)
 def kline_ticks_regathered(spark, sf_dir):
     """Hourly bars turned into synthetic ticks and back: prices and volumes return."""
     b = bars.time_bars(_ticks(spark, sf_dir), HOUR)
@@ -465,6 +468,18 @@ def kline_ticks_regathered(spark, sf_dir):
     )
 
 
+@query(REGATHERED)
+def kline_table_function(spark, sf_dir):
+    """The same by a table function called from SQL, a partition for each symbol and day."""
+    from ..functions import tablefns
+
+    tablefns.register(spark)
+    b = bars.time_bars(_ticks(spark, sf_dir), HOUR)
+    k = b.select("symbol", F.floor(F.col("start_us") / 1000).alias("open_time"), (F.floor(F.col("start_us") / 1000) + 3_599_999).alias("close_time"), "open", "high", "low", "close", F.col("qty").alias("volume"), F.col("ticks").alias("trades"), (F.col("qty") / 2).alias("taker_buy_volume"), F.floor(F.col("start_us") / DAY).alias("day"))
+    return spark.sql("""SELECT symbol, open_time, min_by(price, k) AS open, max(price) AS high, min(price) AS low, max_by(price, k) AS close, count(*) AS ticks, round(sum(qty), 4) AS volume
+        FROM kline_ticks(TABLE({k}) PARTITION BY (symbol, day) ORDER BY (open_time), 60) GROUP BY symbol, open_time""", k=k)
+
+
 @query(f"""WITH {EVENTS}, k AS (SELECT eid, ntile(5) OVER (ORDER BY us, eid) - 1 AS fold FROM e) SELECT k.eid, CAST(fold AS INT) AS fold, CAST(eid % 3 AS INT) AS label, CASE WHEN eid % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS sample_w FROM k""")
 def materialised_folds(spark, sf_dir):
     e = _events(spark, sf_dir)

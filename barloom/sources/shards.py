@@ -135,7 +135,7 @@ class _Reader(DataSourceReader):
         return [_Shard(k) for k in _shards(fs, root)]
 
     def read(self, partition):
-        for idx, image in _rows(self.path, partition.number, None):
+        for idx, image in _rows(self.path, partition.number, None) if partition is not None else ():
             yield partition.number, idx, image.ravel().tolist()
 
 

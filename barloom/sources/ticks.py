@@ -75,12 +75,12 @@ def read_ticks(spark: SparkSession, path, overrides: dict[str, str] | None = Non
 
 
 def read_any(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """A CSV, Parquet, JSON, ORC or (local) Feather table by its ending; `rows` takes only the first."""
+    """A CSV, Parquet, JSON, ORC or Feather table by its ending; `rows` takes only the first."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind == "feather":  # one local file, as large as the driver can hold
-        from pyarrow import feather
+    if kind == "feather":
+        from .arrowfiles import read_feather
 
-        df = spark.createDataFrame(feather.read_table(path))
+        df = read_feather(spark, path)
         return df if rows is None else df.limit(rows)
     if kind not in ("csv", "parquet", "json", "orc"):
         raise ValueError(f"no reader for {path}")
