@@ -62,8 +62,14 @@ def symbol_in(path: Column) -> Column:
 
 
 def run_tag(stem: Column) -> Column:
-    """SYMBOL_yyyy-mm of a file stem such as `btc-ticks-2024-01`."""
-    return F.concat_ws("_", F.upper(F.regexp_extract(stem, r"^([A-Za-z0-9]+)", 1)), month_in(stem))
+    """SYMBOL_yyyy-mm of a file stem: the last word before the first month, in capitals; the stem as it is where it has no month or nothing before it.
+
+    Words are parted by _ and -; those and blanks at the end of what comes before the month are not looked at.
+    """
+    month = F.regexp_extract(stem, r"(20\d{2}-\d{2})", 1)
+    before = F.regexp_replace(F.regexp_extract(stem, r"^(.*?)20\d{2}-\d{2}", 1), r"[_\- ]+$", "")
+    symbol = F.upper(F.element_at(F.split(before, r"[_\-]+"), -1))
+    return F.when((month == "") | (symbol == ""), stem).otherwise(F.concat_ws("_", symbol, month))
 
 
 def softmax(logits: Column) -> Column:

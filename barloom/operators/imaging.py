@@ -55,23 +55,27 @@ def gaf(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.outer(c, c) - np.outer(s, s), np.outer(s, c) - np.outer(c, s)
 
 
-def bins(x: np.ndarray, n: int) -> np.ndarray:
-    """Bin of each value, by quantiles, or evenly where those coincide."""
-    n = max(2, n)
-    edges = np.quantile(x, np.linspace(0, 1, n + 1)[1:-1])
-    if len(edges) > 1 and (np.diff(edges) <= 0).any():
-        n = max(2, min(n, len(np.unique(x))))
-        edges = np.linspace(x.min(), x.max(), n + 1)[1:-1]
-    return np.digitize(x, edges)
+def bins(x: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """(bin of each value, number of bins), by quantiles; evenly, with no more bins than distinct values, where two quantiles coincide, the outer ones included.
+
+    A constant series is all in bin 0. A value at an edge belongs to the bin above it.
+    """
+    x = np.asarray(x, np.float32)
+    n, distinct = max(2, n), len(np.unique(x))
+    if distinct < 2:
+        return np.zeros(len(x), int), 2
+    edges = np.quantile(x, np.linspace(0, 1, n + 1))
+    if (np.diff(edges) <= 0).any():
+        edges = np.linspace(x.min(), x.max(), min(n, distinct) + 1)
+    return np.digitize(x, edges[1:-1]), max(2, len(edges) - 1)
 
 
 def mtf(x: np.ndarray, n: int, size: int) -> np.ndarray:
     """Transition probability between the bins of each two points."""
-    z = bins(x, n)
-    k = max(2, n, int(z.max()) + 1)  # empty bins make empty rows, which nothing points at
+    z, k = bins(x, n)
     m = np.zeros((k, k))
     np.add.at(m, (z[:-1], z[1:]), 1)
-    m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-12)
+    m /= np.maximum(m.sum(axis=1, keepdims=True), 1.0)
     return resize(m[z][:, z], size)
 
 

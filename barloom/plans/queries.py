@@ -112,6 +112,26 @@ def normalised_ticks(spark, sf_dir):
     return T.normalise(raw).withColumnRenamed("_id", "event_id")
 
 
+@query("""SELECT event_id, CASE WHEN event_type IN ('purchase', 'view') THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000000 * 1000 END
+- CASE WHEN event_id % 50 = 7 AND event_type = 'purchase' THEN 1600000000000 ELSE 0 END AS timestamp FROM events WHERE value > 0""")
+def ticks_by_file_unit(spark, sf_dir):
+    """Times whose unit the median of a file tells: some early ones among microseconds would be taken for milliseconds by themselves."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    early = F.when(F.col("event_id") % 50 == 7, 1_600_000_000_000_000).otherwise(0)
+    at = F.when(F.col("event_type") == "purchase", us - us % 1000 - early).when(F.col("event_type") == "view", F.floor(us / 1000)).otherwise(F.floor(us / 1_000_000))
+    raw = e.select(at.cast("string").alias("t"), F.col("value").cast("string").alias("p"), F.lit("1").alias("size"), F.col("event_type").alias("_file"), F.col("event_id").alias("_id"))
+    return T.normalise(raw, rule="median").select(F.col("_id").alias("event_id"), "timestamp")
+
+
+@query("""WITH d AS (SELECT o_orderstatus AS label, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate IS NOT NULL), k AS (SELECT label, count(*) AS n FROM d WHERE month <> '1995-03' GROUP BY label)
+SELECT label, n, round(100.0 * n / sum(n) OVER (), 2)::DOUBLE AS percent FROM k""")
+def month_dropped(spark, sf_dir):
+    """The mix of classes without one month."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"), F.col("o_orderstatus").alias("label"))
+    return decisions.label_shares(T.without_month(o, "1995-03"))
+
+
 @query("""WITH l AS (SELECT l_returnflag AS flag, l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS d, epoch_ms(l_shipdate) // 86400000 AS day,
 row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
 SELECT flag, a, b, c, d, max(day - n) OVER (PARTITION BY flag ORDER BY n ROWS UNBOUNDED PRECEDING) + n AS bumped FROM l""")

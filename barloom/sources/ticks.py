@@ -51,9 +51,78 @@ def resolve(columns: list[str], overrides: dict[str, str] | None = None) -> dict
     return found
 
 
+def with_epochs(raw: DataFrame, column: str, rule: str = "median", keys: tuple[str, ...] = ("_file",), out: str = "_ms") -> DataFrame:
+    """raw with `out`: milliseconds since 1970 of a column of texts or numbers, in the one unit that all rows of a file (equal keys) have.
+
+    median: the median of a file's numbers says which, seconds below 1e12, milliseconds up to 1e15, microseconds below 1e18, else nanoseconds; where less than half of its
+    rows are numbers all are read as ISO texts. max: their largest, above 1e14 nanoseconds, above 1e11 milliseconds, else seconds. Other texts are read as ISO
+    texts; what can't be read is null, and it is an error if that is so of every row that has something.
+
+    Where the median lies follows from counts and extremes of the four ranges, so a file is aggregated in parts and never sorted.
+    """
+    keys = tuple(k for k in keys if k in raw.columns)
+    n = S.number(F.col(column).cast("string"))
+    n = F.when(~F.isnan(n), n)
+    limits = [n < 1e12, n <= 1e15, n < 1e18, F.lit(True)]
+    place = F.when(n.isNull(), None)
+    for k, c in enumerate(limits):
+        place = place.when(c, k)
+    rows = raw.withColumns({"__n": n, "__k": place})
+    per = rows.groupBy(*keys).agg(
+        F.count("*").alias("__all"), F.count("__n").alias("__some"), F.max("__n").alias("__top"),
+        *[F.count_if(F.col("__k") == k).alias(f"__c{k}") for k in range(4)], *[f(F.when(F.col("__k") == k, F.col("__n"))).alias(f"__{a}{k}") for k in range(4) for a, f in (("lo", F.min), ("hi", F.max))],
+    )
+    upto = [sum((F.col(f"__c{j}") for j in range(k + 1)), F.lit(0)) for k in range(4)]
+    holds = lambda i, pick: F.coalesce(*[F.when(i < upto[k], F.col(f"__{pick}{k}")) for k in range(4)])
+    low, high = F.floor((F.col("__some") - 1) / 2), F.floor(F.col("__some") / 2)
+    at = lambda i: F.coalesce(*[F.when(i < upto[k], F.lit(k)) for k in range(4)])
+    # both middle values in one range: any of it will do; else they are the neighbours at its border
+    middle = F.when(at(low) == at(high), holds(low, "lo")).otherwise((holds(low, "hi") + holds(high, "lo")) / 2)
+    if rule == "median":
+        by = F.when(middle < 1e12, 1000.0).when(middle <= 1e15, 1.0).when(middle < 1e18, 1e-3).otherwise(1e-6)
+        numeric = F.col("__some") >= F.greatest(F.lit(1), F.floor(F.col("__all") * 0.5))
+    elif rule == "max":
+        by, numeric = F.when(F.col("__top") > 1e14, 1e-6).when(F.col("__top") > 1e11, 1.0).otherwise(1000.0), F.lit(True)
+    else:
+        raise ValueError(f"no rule {rule}")
+    per = per.select(*keys, by.alias("__by"), numeric.alias("__numeric"))
+    joined = rows.join(per, list(keys)) if keys else rows.join(F.broadcast(per))  # without keys one row
+    iso = F.unix_millis(F.try_to_timestamp(F.col(column).cast("string")))
+    value = F.when(F.col("__n").isNotNull(), F.when(F.col("__numeric"), F.round(F.col("__n") * F.col("__by")).cast("long"))).otherwise(iso)
+    return joined.withColumn(out, value).drop("__n", "__k", "__by", "__numeric")
+
+
+def dated(df: DataFrame, column: str | None = None) -> DataFrame:
+    """df with `us`, its time in microseconds since 1970, by the largest of its column; raises where there is no such column or none of its rows can be read."""
+    by_name = {c.strip().lower(): c for c in df.columns}
+    column = column or next((by_name[n] for n in ("timestamp", "ts", "time", "datetime", "date", "open_time") if n in by_name), None)
+    if column is None:
+        raise ValueError(f"no time column among {df.columns}")
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp") or kind == "date":
+        out = df.withColumn("us", F.unix_micros(F.col(column).cast("timestamp")))
+    else:
+        out = with_epochs(df, column, "max", ()).withColumn("us", F.col("_ms") * 1000).drop("_ms")
+    seen = out.agg(F.count("*").alias("n"), F.count("us").alias("k")).first()
+    if seen.n and not seen.k:
+        raise ValueError(f"no time in {column} can be read")
+    return out
+
+
+def without_month(rows: DataFrame, month: str, time: str = "us") -> DataFrame:
+    """rows with `month` as of their time, without those that have no time and those of that month."""
+    return rows.filter(F.col(time).isNotNull()).withColumn("month", S.month(F.col(time))).filter(F.col("month") != month)
+
+
 def normalise(raw: DataFrame, overrides: dict[str, str] | None = None, rule: str = "ticks") -> DataFrame:
-    """(timestamp ms, price, qty, is_buyer_maker) and raw's columns that start with an underscore; rows that aren't trades go."""
+    """(timestamp ms, price, qty, is_buyer_maker) and raw's columns that start with an underscore; rows that aren't trades go.
+
+    rule: how times are read, value by value, or with `median` in the unit of their file (column _file, or all rows).
+    """
     at = resolve(raw.columns, overrides)
+    if rule == "median":
+        raw = with_epochs(raw, at["timestamp"], "median").withColumn(at["timestamp"], F.col("_ms")).drop("_ms")
+        rule = "millis"
     price = S.number(F.col(at["price"]))
     qty = S.number(F.col(at["qty"])) if "qty" in at else F.try_divide(S.number(F.col(at["quote_qty"])), price)
     if "is_buyer_maker" in at:
@@ -68,10 +137,10 @@ def normalise(raw: DataFrame, overrides: dict[str, str] | None = None, rule: str
     return out.filter(good).select("timestamp", F.col("price").cast("float").alias("price"), F.col("qty").cast("float").alias("qty"), "is_buyer_maker", *kept)
 
 
-def read_ticks(spark: SparkSession, path, overrides: dict[str, str] | None = None, header: bool = True) -> DataFrame:
-    """Canonical ticks of CSV files with one schema, with `_file` and `_seq` telling ties of time apart."""
+def read_ticks(spark: SparkSession, path, overrides: dict[str, str] | None = None, header: bool = True, rule: str = "median") -> DataFrame:
+    """Canonical ticks of CSV files with one schema, with `_file` and `_seq` telling ties of time apart; times in the unit that their file's median shows."""
     raw = spark.read.csv(path, header=header, inferSchema=False).withColumns({"_file": F.input_file_name(), "_seq": F.monotonically_increasing_id()})
-    return normalise(raw, overrides)
+    return normalise(raw, overrides, rule)
 
 
 def read_any(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
@@ -113,9 +182,48 @@ def schema_audit(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]
     return out
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "ignore") -> None:
-    """One table partitioned by symbol and month; by default an existing one is left as it is."""
-    bars.withColumn("month", S.month(F.col("us"))).write.mode(mode).partitionBy("symbol", "month").parquet(path)
+BAR_KEYS = ("symbol", "month")
+
+
+def _bumped(bars: DataFrame) -> DataFrame:
+    """bars (symbol, month, bar_id, timestamp ms) with timestamps that rise strictly along the bars of a month, by 1 ms at least."""
+    from ..operators.bars import bump
+
+    rows = bump(bars, list(BAR_KEYS), ["bar_id"], "timestamp", F.floor(F.col("bar_id") / 4096))
+    return rows.withColumn("timestamp", F.col("bumped").cast("long")).drop("bumped")
+
+
+def write_bars(bars: DataFrame, path: str, again: bool = False) -> None:
+    """Bars (symbol, bar_id, us, open, high, low, close ...) as one table partitioned by symbol and month, with strictly rising `timestamp` in ms and prices as 32-bit floats.
+
+    Months that the table has stay as they are, but for timestamps that do not rise strictly along their bars: those months are mended. With again all
+    months of bars are replaced, and no others.
+    """
+    from . import files
+    from .staging import staged
+
+    spark = bars.sparkSession
+    rows = bars.withColumns({"month": S.month(F.col("us")), "timestamp": F.floor(F.col("us") / 1000)})
+    if not again:
+        if files.exists(spark, path):
+            mend_bars(spark, path)
+        rows = files.resumed(rows, path, BAR_KEYS)
+    rows = _bumped(rows).withColumns({c: F.col(c).cast("float") for c in ("open", "high", "low", "close")})
+    staged(rows, "bars").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BAR_KEYS).parquet(path)
+
+
+def mend_bars(spark: SparkSession, path: str) -> int:
+    """Rewrite the months of a table of bars whose timestamps do not rise strictly; how many there were. The others' files are not touched."""
+    from .staging import staged
+
+    there = spark.read.parquet(path)
+    fixed = _bumped(there.withColumn("_was", F.col("timestamp")))
+    wrong = staged(fixed.filter("timestamp <> _was").select(*BAR_KEYS).distinct(), "months")
+    n = wrong.count()
+    if n:
+        mended = staged(fixed.drop("_was").join(wrong, list(BAR_KEYS), "left_semi").select(*there.columns), "bars")
+        mended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BAR_KEYS).parquet(path)
+    return n
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
