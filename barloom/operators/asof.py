@@ -47,8 +47,9 @@ def coverage(df: DataFrame, column: str) -> float:
     return float(df.agg(F.avg(F.col(column).isNotNull().cast("double"))).first()[0] or 0.0)
 
 
-def horizon(bars: DataFrame, width_us: int) -> DataFrame:
-    """bars with `t1`: the position of the first bar at or after us + width_us, at most the last."""
-    ahead = Window.partitionBy("symbol").orderBy("us").rangeBetween(Window.unboundedPreceding, width_us - 1)
-    everything = Window.partitionBy("symbol")
-    return bars.withColumn("t1", F.least(F.count("*").over(ahead), F.count("*").over(everything) - 1))
+def horizon(bars: DataFrame, width_us: int, pos: str = "pos", out: str = "t1") -> DataFrame:
+    """bars with `t1`: the position of the first bar at or after us + width_us, at most the last. Positions are 0, 1, 2 ... in order of us."""
+    places = bars.select("symbol", F.col("us").alias("_t"), F.col(pos).cast("long").alias("_p"))
+    last = bars.groupBy("symbol").agg(F.max(pos).alias("_last"))  # a row for each symbol
+    found = asof(bars.withColumn("_t", F.col("us") + (width_us - 1)), places, ["symbol"], "_t", "_p")
+    return found.join(last, "symbol").withColumn(out, F.least(F.coalesce(F.col("_p") + 1, F.lit(0)), "_last").cast("long")).drop("_t", "_t_right", "_p", "_last")

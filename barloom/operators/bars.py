@@ -50,8 +50,8 @@ def time_bars(ticks: DataFrame, width_us: int) -> DataFrame:
 
 
 def numbered(bars: DataFrame, order: str = "us") -> DataFrame:
-    """bars with `pos`, their place within the symbol. Bars are few against ticks, so one window for each symbol will do."""
-    return bars.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy(order, "bar_id")) - 1)
+    """bars with `pos`, their place within the symbol, from 0."""
+    return position(bars, ["symbol"], [order, "bar_id"], F.floor(F.col(order) / DAY_US))
 
 
 def bump(df: DataFrame, keys: list[str], order: list[str], ts: str, bucket: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .halo import ROWS, previous, running_max
 from .scan import running_sums
 
 
@@ -86,19 +87,20 @@ def positions(p_pos: Column, p_flat: Column, p_neg: Column, threshold: float) ->
 
 
 def equity(df: DataFrame, keys: list[str], order: list[str], fee_bp: float, slip_bp: float) -> DataFrame:
-    """df (price, position) with `pnl`, `equity`, `drawdown`: returns over the current price, costs on changes of position."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ret = F.coalesce((F.col("price") - F.lag("price").over(w)) / F.col("price"), F.lit(0.0))
-    turn = F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0)))
-    rows = df.withColumn("pnl", F.col("position") * ret - (fee_bp + slip_bp) * 1e-4 * turn)
+    """df (price, position) with `pnl`, `equity`, `drawdown`: returns over the current price, costs on changes of position. order is a column of positions 0, 1, 2 ..."""
+    pos = order[0]
+    rows = previous(df, keys, pos, {"_price": "price", "_held": "position"})
+    ret = F.coalesce((F.col("price") - F.col("_price")) / F.col("price"), F.lit(0.0))
+    turn = F.abs(F.col("position") - F.coalesce("_held", F.lit(0)))
+    rows = rows.withColumn("pnl", F.col("position") * ret - (fee_bp + slip_bp) * 1e-4 * turn).drop("_price", "_held")
     # a product: logarithms of the sizes, the number of negative factors, and whether any was zero
     factor = 1 + F.col("pnl")
-    size = F.exp(F.sum(F.ln(F.nullif(F.abs(factor), F.lit(0.0)))).over(upto))
-    sign = F.when(F.sum((factor < 0).cast("int")).over(upto) % 2 == 1, -1.0).otherwise(1.0)
-    lost = F.max((factor == 0).cast("int")).over(upto) == 1
-    rows = rows.withColumn("equity", F.when(lost, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign))
-    return rows.withColumn("drawdown", 1 - F.col("equity") / F.max("equity").over(upto))
+    parts = {"_ln": F.coalesce(F.ln(F.nullif(F.abs(factor), F.lit(0.0))), F.lit(0.0)), "_neg": (factor < 0).cast("long"), "_nil": (factor == 0).cast("long")}
+    rows = running_sums(rows, keys, [pos], parts, F.floor(F.col(pos) / ROWS))
+    sign = F.when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
+    rows = rows.withColumn("equity", F.when(F.col("_nil") > 0, 0.0).otherwise(F.exp("_ln") * sign)).drop(*parts)
+    rows = running_max(rows, keys, pos, F.col("equity"), "_top")
+    return rows.withColumn("drawdown", 1 - F.col("equity") / F.col("_top")).drop("_top")
 
 
 def label_shares(df: DataFrame, label: str = "label") -> DataFrame:

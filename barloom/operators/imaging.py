@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .scan import position
 
 SHARD = 2048
 
@@ -147,5 +148,5 @@ def images(wins: DataFrame, size: int, n_bins: int = 8, rp: bool = False, cwt: b
 
 def manifest(wins: DataFrame, shard: int = SHARD, first: int = 0) -> DataFrame:
     """wins with `shard` (from `first` on) and `idx_in_shard`, counted within each symbol, and bar_pos, the last bar of the window."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("start")) - 1
-    return wins.withColumn("_n", n).withColumns({"shard": F.floor(F.col("_n") / shard) + first, "idx_in_shard": F.col("_n") % shard, "bar_pos": F.col("start") + F.size("values") - 1}).drop("_n")
+    rows = position(wins, ["symbol"], ["start"], F.floor(F.col("start") / 4096), "_n")
+    return rows.withColumns({"shard": F.floor(F.col("_n") / shard) + first, "idx_in_shard": F.col("_n") % shard, "bar_pos": F.col("start") + F.size("values") - 1}).drop("_n")

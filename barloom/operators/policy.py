@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .halo import windowed
 from .scan import running_sum
 
 
@@ -13,21 +14,23 @@ def excursions(bars: DataFrame, horizon_bars: int) -> DataFrame:
 
     Bars without a following one or with no ATR have nulls.
     """
-    ahead = Window.partitionBy("symbol").orderBy("pos").rowsBetween(1, horizon_bars)
     unit = F.nullif(F.col("atr"), F.lit(0.0))
-    return bars.withColumns({"mfe": (F.max("high").over(ahead) - F.col("close")) / unit, "mae": (F.col("close") - F.min("low").over(ahead)) / unit})
+    best = lambda w: (F.max("high").over(w.rowsBetween(1, horizon_bars)) - F.col("close")) / unit
+    worst = lambda w: (F.col("close") - F.min("low").over(w.rowsBetween(1, horizon_bars))) / unit
+    return windowed(bars, ["symbol"], "pos", lambda w: {"mfe": best(w), "mae": worst(w)}, ahead=horizon_bars)
 
 
 def timed_excursions(bars: DataFrame, horizon_us: int, floored: bool = False) -> DataFrame:
     """The same over the bars within horizon_us after this one, and over the next bar at least; floored holds both at 0 or more."""
-    ahead = Window.partitionBy("symbol").orderBy("us").rangeBetween(1, horizon_us)
-    along = Window.partitionBy("symbol").orderBy("pos")
+    span = lambda w: w.rangeBetween(1, horizon_us)
+    rows = windowed(bars, ["symbol"], "us", lambda w: {"_hi": F.max("high").over(span(w)), "_lo": F.min("low").over(span(w))}, ahead=horizon_us)
+    rows = windowed(rows, ["symbol"], "pos", lambda w: {"_nh": F.lead("high").over(w), "_nl": F.lead("low").over(w)}, ahead=1)
     unit = F.nullif(F.col("atr"), F.lit(0.0))
-    best = (F.greatest(F.max("high").over(ahead), F.lead("high").over(along)) - F.col("close")) / unit
-    worst = (F.col("close") - F.least(F.min("low").over(ahead), F.lead("low").over(along))) / unit
+    best = (F.greatest("_hi", "_nh") - F.col("close")) / unit
+    worst = (F.col("close") - F.least("_lo", "_nl")) / unit
     if floored:
         best, worst = (F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))) for c in (best, worst))
-    return bars.withColumns({"mfe": best, "mae": worst})
+    return rows.withColumns({"mfe": best, "mae": worst}).drop("_hi", "_lo", "_nh", "_nl")
 
 
 def winsorised(df: DataFrame, column: str, part: float) -> DataFrame:

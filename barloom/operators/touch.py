@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.files import labeling_settings
+from ..sources.staging import release, staged
+from .halo import filled, previous
+from .scan import position
 
 
 def _narrowed(parts: DataFrame, path: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -77,13 +81,11 @@ def barriers(bars: DataFrame, pt: float, sl: float, vol: str | None = None) -> D
 
 def atr_barriers(bars: DataFrame, pt: float, sl: float) -> DataFrame:
     """bars with `up`, `dn` at pt and sl average true ranges (as known before the bar) from the close; bars without an ATR go."""
-    from pyspark.sql import Window
-
-    along = Window.partitionBy("symbol").orderBy("pos")
-    known = F.last(F.when(~F.isnan("atr"), F.col("atr")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = filled(bars, ["symbol"], "pos", F.when(~F.isnan("atr"), F.col("atr")), "_known")
+    known = F.col("_before")
     held = F.when(known.isNotNull(), F.greatest(known, F.abs("close") * 1e-12))
-    out = bars.withColumn("_a", held).withColumns({"up": F.col("close") + pt * F.col("_a"), "dn": F.col("close") - sl * F.col("_a")})
-    return out.filter((F.col("up") > F.col("close")) & (F.col("dn") < F.col("close"))).drop("_a")
+    out = previous(rows, ["symbol"], "pos", {"_before": "_known"}).withColumn("_a", held).withColumns({"up": F.col("close") + pt * F.col("_a"), "dn": F.col("close") - sl * F.col("_a")})
+    return out.filter((F.col("up") > F.col("close")) & (F.col("dn") < F.col("close"))).drop("_a", "_known", "_before")
 
 
 def label_bars(bars: DataFrame, path: DataFrame, width: int, start: int = 1, rule: str = "drop", nearest: str = "entry", close_only: bool = False) -> DataFrame:
@@ -198,46 +200,82 @@ def relabelled(rows: DataFrame, previous: DataFrame, bars: DataFrame, least: flo
     return label_at(rows, bars, **rule).select(*rows.columns, "label")
 
 
-def with_ends(labels: DataFrame, bars: DataFrame) -> DataFrame:
-    """labels (symbol, pos, t_end, reason) with `end_us`, `time_to_hit_sec` and `event_end_reason`, by two equi-joins with the bars' times."""
-    at = lambda p, t: bars.select("symbol", F.col("pos").cast("long").alias(p), F.col("us").alias(t))
-    out = labels.withColumns({"pos": F.col("pos").cast("long"), "t_end": F.col("t_end").cast("long")})
-    out = out.join(at("pos", "_a"), ["symbol", "pos"], "left").join(at("t_end", "end_us"), ["symbol", "t_end"], "left")
-    return out.withColumns({"time_to_hit_sec": S.seconds_between(F.col("_a"), F.col("end_us")), "event_end_reason": S.event_reason(F.col("reason"))}).drop("_a")
-
+def reached(links: DataFrame, keys: list[str], pos: str = "pos", nxt: str = "nxt") -> DataFrame:
+    """(keys, pos) of the rows that each key's first row leads to, itself included, by links (keys, pos, nxt), nxt a later pos or null.
 
-def diagnosed(bars: DataFrame, path: DataFrame, labels: DataFrame, width: int, start: int = 0) -> DataFrame:
-    """labels with `entry_px`, `pt_px`, `sl_px` and the bars at which either barrier alone is first touched, `pt_idx` and `sl_idx` (null where it isn't)."""
-    events = bars.select("symbol", F.col("pos").alias("eid"), (F.col("pos") + start).alias("lo"), F.col("t1").alias("hi"), "up", "dn").filter("lo <= hi")
-    steps = path.select("symbol", F.col("pos").alias("x"), "high", "low")
-    far = float("inf")
-    ups = first_touch(events.withColumn("dn", F.lit(-far)), steps, ["symbol"], width).select("symbol", F.col("eid").alias("pos"), F.col("at").alias("pt_idx"))
-    downs = first_touch(events.withColumn("up", F.lit(far)), steps, ["symbol"], width).select("symbol", F.col("eid").alias("pos"), F.col("at").alias("sl_idx"))
-    prices = bars.select("symbol", "pos", F.col("close").alias("entry_px"), F.col("up").alias("pt_px"), F.col("dn").alias("sl_px"))
-    return labels.join(prices, ["symbol", "pos"], "left").join(ups, ["symbol", "pos"], "left").join(downs, ["symbol", "pos"], "left")
+    Pointers are doubled: after k rounds the rows of the first 2**k steps are known, by one join of these with pointers over 2**k steps, and one
+    of the pointers with themselves. The rounds are the logarithm of the longest chain; a key with all rows is spread like any other.
+    """
+    spark = links.sparkSession
+    jump = staged(links.filter(F.col(nxt).isNotNull()).select(*keys, F.col(pos).alias("_p"), F.col(nxt).alias("_n")), "jumps")
+    found = staged(links.groupBy(*keys).agg(F.min(pos).alias("_p")), "reached")
+    while not jump.isEmpty():
+        more = found.join(jump, [*keys, "_p"]).select(*keys, F.col("_n").alias("_p"))
+        wider = staged(found.unionByName(more), "reached")
+        twice = jump.withColumnRenamed("_n", "_m").join(jump.withColumnsRenamed({"_p": "_m", "_n": "_n"}), [*keys, "_m"]).select(*keys, "_p", "_n")
+        longer = staged(twice, "jumps")
+        for old in (found, jump):
+            release(spark, old)
+        found, jump = wider, longer
+    return found.withColumnRenamed("_p", pos)
 
 
 def exclusive(labels: DataFrame, gap: int = 0) -> DataFrame:
-    """The labels that don't overlap: from each symbol's first on, the next one starts after the end and `gap` bars.
+    """The labels that don't overlap: from each symbol's first on, the next one starts after the end and `gap` bars."""
+    from .asof import asof
+
+    free = labels.select("symbol", F.col("pos").cast("long").alias("pos"), (-(F.col("t_end").cast("long") + 1 + gap)).alias("_x"))
+    places = labels.select("symbol", (-F.col("pos").cast("long")).alias("_x"), F.col("pos").cast("long").alias("nxt"))
+    kept = reached(asof(free, places, ["symbol"], "_x", "nxt", bucket=4096).select("symbol", "pos", "nxt"), ["symbol"])
+    return labels.join(kept, ["symbol", "pos"], "left_semi")
 
-    Which one is next depends on the one before, so each symbol's (pos, t_end) are walked in order inside Arrow batches; only the last
-    end is kept, so memory is bounded by a batch. Symbols are separate tasks.
+
+def diagnostics(bars: DataFrame, settings: dict) -> DataFrame:
+    """The bars with valid barriers and what became of each, by labelling settings (see `files.labeling_settings`).
+
+    bars: symbol, pos 0, 1, 2 ..., us, close, high, low, and atr for barriers in average true ranges (in percent it isn't needed). Valid bars are numbered anew, `i`; all
+    bar numbers of the result are such. An event is looked at from its own bar on (the next one without allow_same_bar_touch) up to the first bar at or after the
+    horizon: `label` 1, -1 or 0, `reason` pt, sl, t1, or dropped where a bar touches both barriers and neither wins; that event ends at its own bar. A symbol's
+    last bar is not looked at: label 0, an empty reason. With exclusive_events the next event starts after the end of the one before and min_gap_bars; those between are
+    dropped. pt_idx and sl_idx are the bar of the hit on the side that was hit, else -1. Also `t_end`, `t1_idx`, `entry_px`, `pt_px`, `sl_px`,
+    `horizon_minutes`, `dropped`, `end_us`, `time_to_hit_sec`, `event_end_reason`.
     """
-    import pyarrow as pa
-
-    def walk(batches):
-        symbol, free = None, None
-        for batch in batches:
-            keep = []
-            for s, p, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if s != symbol:
-                    symbol, free = s, None
-                ok = free is None or p >= free
-                if ok:
-                    free = e + 1 + gap
-                keep.append(ok)
-            yield batch.filter(pa.array(keep))
-
-    chosen = labels.select("symbol", F.col("pos").cast("long").alias("pos"), F.col("t_end").cast("long").alias("t_end"))
-    chosen = chosen.repartition("symbol").sortWithinPartitions("symbol", "pos").mapInArrow(walk, "symbol string, pos long, t_end long")
-    return labels.join(chosen.select("symbol", "pos"), ["symbol", "pos"], "left_semi")
+    from .asof import horizon
+
+    cfg = labeling_settings(settings)
+    at = cfg["barriers"]
+    if str(at.get("mode", "percent")).lower() == "atr":
+        rows = atr_barriers(bars, float(at["pt_mult"]), float(at["sl_mult"]))
+    else:
+        rows = barriers(bars, float(at["up"]), float(at["down"]))
+        rows = rows.filter((F.col("up") > F.col("close")) & (F.col("dn") < F.col("close")))
+    minutes = int(cfg["horizon"].get("minutes", 240))
+    rows = position(rows, ["symbol"], ["pos"], F.floor(F.col("pos") / 4096), "i")
+    rows = staged(horizon(rows, minutes * 60_000_000, "i"), "events")
+    last = rows.groupBy("symbol").agg(F.max("i").alias("_last"))  # a row for each symbol
+    first = F.col("i") + (0 if cfg["allow_same_bar_touch"] else 1)
+    events = rows.join(last, "symbol").filter("i < _last").select("symbol", F.col("i").alias("eid"), first.alias("lo"), F.greatest(F.col("t1"), first).alias("hi"), "up", "dn")
+    steps = rows.select("symbol", F.col("i").alias("x"), "high", "low")
+    met = first_touch(events, steps, ["symbol"], 4096, levels=2).select("symbol", F.col("eid").alias("i"), "hi", "at", "hit_up", "hit_dn")
+    both, rule = F.col("hit_up") & F.col("hit_dn"), str(cfg["same_bar_resolution"]).lower()
+    winner = {"pt_first": "pt", "pt_wins": "pt", "sl_first": "sl", "sl_wins": "sl"}.get(rule, "dropped")
+    reason = F.when(F.col("hi").isNull(), "").when(F.col("at").isNull(), "t1").when(both, winner).when(F.col("hit_up"), "pt").otherwise("sl")
+    out = rows.join(met, ["symbol", "i"], "left").withColumn("reason", reason)
+    end = F.when(F.col("reason").isin("pt", "sl"), F.col("at")).when(F.col("reason") == "t1", F.col("hi")).otherwise(F.col("i"))
+    out = out.withColumn("t_end", end)
+    if cfg["exclusive_events"]:
+        out = staged(out.drop("hit_up", "hit_dn"), "events")
+        places = out.filter("hi is not null").select("symbol", F.col("i").alias("nxt"))
+        links = out.filter("hi is not null").select("symbol", "i", (F.col("t_end") + 1 + int(cfg["min_gap_bars"])).alias("nxt")).join(places.withColumn("_there", F.lit(True)), ["symbol", "nxt"], "left")
+        kept = reached(links.select("symbol", "i", F.when(F.col("_there"), F.col("nxt")).alias("nxt")), ["symbol"], "i")
+        out = out.join(kept.withColumn("_kept", F.lit(True)), ["symbol", "i"], "left")
+        skipped = F.col("hi").isNotNull() & F.col("_kept").isNull()
+        out = out.withColumns({"reason": F.when(skipped, "dropped").otherwise(F.col("reason")), "t_end": F.when(skipped, F.col("i")).otherwise(F.col("t_end"))})
+    hit = lambda side: F.when(F.col("reason") == side, F.col("at")).otherwise(F.lit(-1))
+    out = out.withColumns({"label": F.when(F.col("reason") == "pt", 1).when(F.col("reason") == "sl", -1).otherwise(0), "pt_idx": hit("pt"), "sl_idx": hit("sl"), "dropped": (F.col("reason") == "dropped").cast("int")})
+    ends = rows.select("symbol", F.col("i").alias("t_end"), F.col("us").alias("end_us"))
+    out = out.join(ends, ["symbol", "t_end"], "left")
+    return out.select(
+        "symbol", "pos", "i", "us", "t_end", "label", "reason", F.col("close").alias("entry_px"), F.col("up").alias("pt_px"), F.col("dn").alias("sl_px"), "pt_idx", "sl_idx",
+        F.col("t1").alias("t1_idx"), F.lit(minutes).alias("horizon_minutes"), "dropped", "end_us", S.seconds_between(F.col("us"), F.col("end_us")).alias("time_to_hit_sec"), S.event_reason(F.col("reason")).alias("event_end_reason"),
+    )

@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import asof, bars, decisions, fitting, folds, imaging, indicators, labeljob, policy, touch, training, weights
 from ..sources import files, shards
 from ..sources.staging import shared_dir, staged
-from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _atr_bars, _bars, _clock_labels, _events, _predictions, _ticks, _touch_sql, query, r6
+from .queries import BARS, CLOCK, DAY, EVENTS, HOUR, PRED, R6, TICKS, TR, _CONC, _atr_bars, _bars, _clock_labels, _events, _predictions, _ticks, query, r6
 
 WINDOW, STRIDE = 16, 4
 #: Months (here tenths of January) and their regimes and levels.
@@ -165,16 +165,12 @@ def relabel_refused(spark, sf_dir):
     return touch.relabelled(_windows(spark, sf_dir), earlier, _atr_bars(spark, sf_dir), 0.95, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
 
 
-@query(CLOCK + _touch_sql("s", "0", "high", "low", "0").replace("SELECT symbol, pos, t_end", ", lab AS (SELECT symbol, pos, t_end").replace("AS reason FROM o", "AS reason FROM o)") + """,
-d AS (SELECT s.symbol, s.pos, min(x.pos) FILTER (x.high >= s.up) AS pt_idx, min(x.pos) FILTER (x.low <= s.dn) AS sl_idx FROM s LEFT JOIN b x ON x.symbol = s.symbol AND x.pos BETWEEN s.pos AND s.t1 GROUP BY ALL)
-SELECT l.symbol, l.pos, l.t_end, l.label, CASE WHEN reason = 't1' THEN 'vertical' ELSE reason END AS event_end_reason, z.us AS end_us, (z.us - a.us) / 1e6 AS time_to_hit_sec, d.pt_idx, d.sl_idx,
-round(s.close, 6) AS entry_px, round(s.up, 6) AS pt_px, round(s.dn, 6) AS sl_px
-FROM lab l JOIN s USING (symbol, pos) JOIN d USING (symbol, pos) JOIN b a ON a.symbol = l.symbol AND a.pos = l.pos JOIN b z ON z.symbol = l.symbol AND z.pos = l.t_end""")
+@query(CLOCK + """ SELECT l.symbol, l.pos, l.i, l.t_end, l.label, CASE WHEN l.reason = 't1' THEN 'vertical' ELSE l.reason END AS event_end_reason, z.us AS end_us, (z.us - l.us) / 1e6 AS time_to_hit_sec,
+CASE WHEN l.reason = 'pt' THEN l.hit ELSE -1 END AS pt_idx, CASE WHEN l.reason = 'sl' THEN l.hit ELSE -1 END AS sl_idx, l.t1 AS t1_idx, CAST(l.reason = 'dropped' AS INT) AS dropped,
+round(l.close, 6) AS entry_px, round(l.up, 6) AS pt_px, round(l.dn, 6) AS sl_px FROM l JOIN l z ON z.symbol = l.symbol AND z.i = l.t_end""")
 def label_diagnostics(spark, sf_dir):
-    b = _atr_bars(spark, sf_dir)
-    rows = touch.atr_barriers(asof.horizon(b, 2 * DAY), 1.5, 0.5)
-    got = touch.with_ends(touch.diagnosed(rows, b, touch.label_bars(rows, b, 32, start=0).select("symbol", "pos", "t_end", "label", "reason"), 32), b)
-    return got.select("symbol", "pos", "t_end", "label", "event_end_reason", "end_us", "time_to_hit_sec", "pt_idx", "sl_idx", *r6("entry_px", "pt_px", "sl_px"))
+    got = _clock_labels(spark, sf_dir)
+    return got.select("symbol", "pos", "i", "t_end", "label", "event_end_reason", "end_us", "time_to_hit_sec", "pt_idx", "sl_idx", "t1_idx", "dropped", *r6("entry_px", "pt_px", "sl_px"))
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT *, ntile(5) OVER (ORDER BY us, eid) - 1 AS own FROM e), g AS (SELECT own AS fold, min(us) AS t0, max(end_us) AS t1 FROM k GROUP BY own),
@@ -210,8 +206,8 @@ def fold_training_rows(spark, sf_dir):
     return training.with_end(rows, e).select("eid", "split", "label", *r6("ret_m"), "end_us")
 
 
-@query(CLOCK + _touch_sql("s", "0", "high", "low", "0").replace("SELECT symbol, pos, t_end", ", lab AS (SELECT symbol, pos, t_end").replace("AS reason FROM o", "AS reason FROM o)") + f""", {MANIFEST.replace(", m AS", ", wins AS").replace(chr(10) + "m AS", chr(10) + "wins AS")}
-SELECT symbol, start, pos AS bar_pos, label FROM wins JOIN lab USING (symbol) WHERE pos = start + {WINDOW - 1}""")
+@query(CLOCK + f""", {MANIFEST.replace(", m AS", ", wins AS").replace(chr(10) + "m AS", chr(10) + "wins AS")}
+SELECT wins.symbol, start, pos AS bar_pos, label FROM wins JOIN l ON l.symbol = wins.symbol WHERE pos = start + {WINDOW - 1}""")
 def image_label_pairs(spark, sf_dir):
     return training.paired(_manifest(spark, sf_dir), _clock_labels(spark, sf_dir)).select("symbol", "start", "bar_pos", "label")
 

@@ -217,10 +217,9 @@ LABELS = ("symbol", "pos", "t_end", "label", "reason")
 
 
 def _rows_horizon(spark, sf_dir, n: int):
-    from pyspark.sql import Window
-
     b = staged(_bars(spark, sf_dir), "bars")
-    return b, b.withColumn("t1", F.least(F.col("pos") + n, F.max("pos").over(Window.partitionBy("symbol"))))
+    last = b.groupBy("symbol").agg(F.max("pos").alias("_last"))
+    return b, b.join(last, "symbol").withColumn("t1", F.least(F.col("pos") + n, F.col("_last"))).drop("_last")
 
 
 @query(f"WITH {BARS}, s AS (SELECT *, {ROWS_T1}, close * 1.8::DOUBLE AS up, close * 0.5::DOUBLE AS dn FROM b)" + _touch_sql("s", "1", "close", "close", "1"))
@@ -244,27 +243,46 @@ def triple_barrier_overshoot(spark, sf_dir):
     return touch.label_bars(rows, b, 20, start=0, rule="nearest", nearest="overshoot").select(*LABELS)
 
 
-CLOCK = f"""WITH {TR}, h AS (SELECT *, least(count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {2 * DAY - 1} FOLLOWING), count(*) OVER (PARTITION BY symbol) - 1) AS t1,
-lag(atr) OVER (PARTITION BY symbol ORDER BY pos) AS a FROM atr), s AS (SELECT *, close + 1.5::DOUBLE * a AS up, close - 0.5::DOUBLE * a AS dn FROM h WHERE a IS NOT NULL)"""
+def _labels_sql(valid: str, minutes: int, start: int, winner: str) -> str:
+    """SQL of the labeler with diagnostics over `valid`, a select of the bars with up and dn: l (symbol, i, pos, us, ..., label, reason, t_end)."""
+    return f"""WITH {TR}, v AS ({valid}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY symbol) - 1 AS last FROM v),
+s AS (SELECT *, least(count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {minutes * 60_000_000 - 1} FOLLOWING), last) AS t1 FROM n),
+m AS (SELECT s.symbol, s.i, min(x.i) AS hit FROM s JOIN s x ON x.symbol = s.symbol AND x.i BETWEEN s.i + {start} AND greatest(s.t1, s.i + {start}) AND (x.high >= s.up OR x.low <= s.dn) WHERE s.i < s.last GROUP BY ALL),
+j AS (SELECT s.*, m.hit, x.high >= s.up AS u, x.low <= s.dn AS d FROM s LEFT JOIN m USING (symbol, i) LEFT JOIN s x ON x.symbol = s.symbol AND x.i = m.hit),
+r AS (SELECT *, CASE WHEN i = last THEN '' WHEN hit IS NULL THEN 't1' WHEN u AND d THEN '{winner}' WHEN u THEN 'pt' ELSE 'sl' END AS reason FROM j),
+l AS (SELECT *, CASE reason WHEN 'pt' THEN 1 WHEN 'sl' THEN -1 ELSE 0 END AS label, CASE WHEN reason IN ('pt', 'sl') THEN hit WHEN reason = 't1' THEN greatest(t1, i + {start}) ELSE i END AS t_end FROM r)"""
+
+
+MINUTES = 2 * DAY // 60_000_000
+ATR_SETTINGS = {"barriers": {"mode": "atr", "pt_mult": 1.5, "sl_mult": 0.5}, "horizon": {"minutes": MINUTES}}
+PERCENT_SETTINGS = {"barriers": {"mode": "percent", "up": 0.8, "down": 0.5}, "horizon": {"minutes": MINUTES}, "allow_same_bar_touch": False, "same_bar_resolution": "sl_wins"}
+ATR_VALID = """SELECT * FROM (SELECT *, close + 1.5::DOUBLE * greatest(a, abs(close) * 1e-12) AS up, close - 0.5::DOUBLE * greatest(a, abs(close) * 1e-12) AS dn
+  FROM (SELECT *, lag(atr) OVER (PARTITION BY symbol ORDER BY pos) AS a FROM atr) WHERE a IS NOT NULL) WHERE up > close AND dn < close"""
+CLOCK = _labels_sql(ATR_VALID, MINUTES, 0, "dropped")
+DIAGNOSED = "symbol, pos, t_end, label, reason"
 
 
 def _clock_labels(spark, sf_dir):
-    b = _atr_bars(spark, sf_dir)
-    rows = touch.atr_barriers(asof.horizon(b, 2 * DAY), 1.5, 0.5)
-    return touch.label_bars(rows, b, 32, start=0)
+    return touch.diagnostics(_atr_bars(spark, sf_dir), ATR_SETTINGS)
 
 
-@query(CLOCK + _touch_sql("s", "0", "high", "low", "0"))
+@query(CLOCK + f" SELECT {DIAGNOSED} FROM l")
 def triple_barrier_clock(spark, sf_dir):
     return _clock_labels(spark, sf_dir).select(*LABELS)
 
 
-@query("WITH RECURSIVE" + CLOCK[4:] + _touch_sql("s", "0", "high", "low", "0").replace("SELECT symbol, pos, t_end", ", lab AS (SELECT symbol, pos, t_end").replace("AS reason FROM o", "AS reason FROM o)") + """,
-free AS (SELECT l.symbol, l.pos, l.t_end, (SELECT min(n.pos) FROM lab n WHERE n.symbol = l.symbol AND n.pos > l.t_end) AS next FROM lab l),
-walk AS (SELECT symbol, min(pos) AS pos FROM free GROUP BY symbol UNION ALL SELECT w.symbol, f.next FROM walk w JOIN free f ON f.symbol = w.symbol AND f.pos = w.pos WHERE f.next IS NOT NULL)
-SELECT lab.* FROM lab JOIN walk USING (symbol, pos)""")
+@query(_labels_sql("SELECT * FROM (SELECT *, close * (1 + 0.8::DOUBLE) AS up, close * (1 - 0.5::DOUBLE) AS dn FROM atr) WHERE up > close AND dn < close", MINUTES, 1, "sl") + f" SELECT {DIAGNOSED} FROM l")
+def triple_barrier_percent(spark, sf_dir):
+    """Barriers in percent, looked at from the next bar on; a bar that touches both is a loss."""
+    return touch.diagnostics(_bars(spark, sf_dir), PERCENT_SETTINGS).select(*LABELS)
+
+
+@query("WITH RECURSIVE" + CLOCK[4:] + """, walk AS (SELECT symbol, 0::BIGINT AS i FROM l WHERE i = 0 AND last > 0 UNION ALL SELECT w.symbol, l.t_end + 3 FROM walk w JOIN l ON l.symbol = w.symbol AND l.i = w.i WHERE l.t_end + 3 < l.last)
+SELECT l.symbol, l.pos, CASE WHEN w.i IS NULL AND l.i < l.last THEN l.i ELSE t_end END AS t_end, CASE WHEN w.i IS NULL THEN 0 ELSE label END AS label, CASE WHEN w.i IS NULL AND l.i < l.last THEN 'dropped' ELSE reason END AS reason
+FROM l LEFT JOIN walk w ON w.symbol = l.symbol AND w.i = l.i""")
 def exclusive_events(spark, sf_dir):
-    return touch.exclusive(_clock_labels(spark, sf_dir)).select(*LABELS)
+    """Events that do not overlap, with two bars between them; those in between are dropped."""
+    return touch.diagnostics(_atr_bars(spark, sf_dir), ATR_SETTINGS | {"exclusive_events": True, "min_gap_bars": 2}).select(*LABELS)
 
 
 @query(f"""WITH {TICKS}, e AS (SELECT symbol, seq AS eid, us, price * 1.6::DOUBLE AS up, price * 0.6::DOUBLE AS dn FROM t),
