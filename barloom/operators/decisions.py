@@ -131,28 +131,52 @@ def temperatures(df: DataFrame, grid: list[float]) -> DataFrame:
     return rows.groupBy("temperature").agg(F.avg(softplus).alias("nll"))
 
 
-def fitted_temperature(df: DataFrame, low: float = 1e-3, high: float = 100.0, points: int = 25, rounds: int = 5) -> DataFrame:
-    """(temperature, nll) in one row: the temperature of least mean loss, by grids that close in on it.
+def fitted_temperature(df: DataFrame, low: float = 1e-3, high: float = 100.0, rounds: int = 60, near: float = 1e-12) -> DataFrame:
+    """(temperature, nll) in one row: the temperature in low .. high of least mean loss, for binary log odds z and outcomes y.
 
-    Each round counts `points` candidates in one aggregate over the rows; the next one spans the neighbours of the best.
+    The loss is convex in 1 / temperature, so Newton steps on sums of its first and second derivative lead to the minimum; where a step would leave the range that
+    is still open, its middle is taken. A round is one aggregate over the rows, none of which is multiplied. Without rows both are null.
     """
-    import math
-
-    for _ in range(rounds):
-        grid = [math.exp(math.log(low) + (math.log(high) - math.log(low)) * k / (points - 1)) for k in range(points)]
-        found = temperatures(df, grid).agg(F.min_by(F.struct("temperature", "nll"), F.struct("nll", "temperature")).alias("b")).select("b.*")
-        best = found.first()
-        if best is None or best["temperature"] is None:
-            return found
-        at = min(range(points), key=lambda k: abs(grid[k] - best["temperature"]))
-        low, high = grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
-    return found
-
-
-def report(equity_rows: DataFrame, order: list[str]) -> DataFrame:
-    """(coverage_pct, final_equity, max_drawdown_pct) in one row, from rows of `equity`."""
+    rows = df.filter("z is not null and y is not null").select((F.col("z") * (2 * F.col("y") - 1)).alias("w"))
+    softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+    def at(b: float):
+        s = 1 / (1 + F.exp(F.col("w") * b))
+        return rows.agg(F.avg(-F.col("w") * s).alias("g"), F.avg(F.col("w") * F.col("w") * s * (1 - s)).alias("h"), F.avg(softplus(-F.col("w") * b)).alias("nll"), F.count("*").alias("n")).first()
+
+    a, z, b = 1 / high, 1 / low, min(max(1.0, 1 / high), 1 / low)
+    best = at(b)
+    for _ in range(rounds if best.n else 0):
+        if best.g > 0:
+            z = b
+        else:
+            a = b
+        step = b - best.g / best.h if best.h > 0 else a + (z - a) / 2
+        new = step if a < step < z else a if best.g > 0 and a == 1 / high and step <= a else z if best.g < 0 and z == 1 / low and step >= z else (a + z) / 2
+        if abs(new - b) <= near * b:
+            break
+        b, best = new, at(new)
+    return df.sparkSession.createDataFrame([(1 / b if best.n else None, best.nll)], "temperature double, nll double")
+
+
+def write_report(found: DataFrame, path: str) -> None:
+    """A report as <path>.json, <path>.csv and <path>.md: a row for each group."""
+    import json
+
+    from ..sources.files import write_text
+
+    spark, names = found.sparkSession, found.columns
+    rows = [[r[n] for n in names] for r in found.collect()]  # a report's rows
+    text = lambda v: "" if v is None else str(v)
+    write_text(spark, f"{path}.json", json.dumps([dict(zip(names, r)) for r in rows], indent=2, default=str))
+    write_text(spark, f"{path}.csv", "\n".join([",".join(names), *(",".join(map(text, r)) for r in rows)]) + "\n")
+    write_text(spark, f"{path}.md", "\n".join(f"| {' | '.join(map(text, r))} |" for r in [names, ["---"] * len(names), *rows]) + "\n")
+
+
+def report(equity_rows: DataFrame, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, coverage_pct, final_equity, max_drawdown_pct) for each group, from rows of `equity`."""
     last = F.max_by("equity", F.struct(*order))
-    return equity_rows.agg((100 * F.avg((F.col("position") != 0).cast("double"))).alias("coverage_pct"), last.alias("final_equity"), (100 * F.max("drawdown")).alias("max_drawdown_pct"))
+    return equity_rows.groupBy(*keys).agg((100 * F.avg((F.col("position") != 0).cast("double"))).alias("coverage_pct"), last.alias("final_equity"), (100 * F.max("drawdown")).alias("max_drawdown_pct"))
 
 
 def fold_metrics(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .halo import windowed
 from .scan import running_sum
+from .selection import quantiles
 
 
 def excursions(bars: DataFrame, horizon_bars: int) -> DataFrame:
@@ -35,9 +36,9 @@ def timed_excursions(bars: DataFrame, horizon_us: int, floored: bool = False) ->
 
 def winsorised(df: DataFrame, column: str, part: float) -> DataFrame:
     """df with column held between its quantiles part and 1 - part."""
-    q = df.agg(F.percentile(column, F.lit(part)).alias("_lo"), F.percentile(column, F.lit(1 - part)).alias("_hi"))
+    q = quantiles(df, [], column, {"_lo": part, "_hi": 1 - part})
     held = F.greatest(F.least(F.col(column), F.col("_hi")), F.col("_lo"))
-    return df.join(F.broadcast(q)).withColumn(column, F.when(F.col(column).isNotNull(), held)).drop("_lo", "_hi")
+    return df.join(F.broadcast(q)).withColumn(column, F.when(F.col(column).isNotNull(), held)).drop("_lo", "_hi")  # one row
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str) -> DataFrame:

@@ -151,17 +151,17 @@ def relabel_time_horizon(spark, sf_dir):
     return _relabel(spark, sf_dir, horizon_us=DAY // 4)
 
 
-@query(f"WITH r AS ({_relabel_sql('pos + 12')}), s AS (SELECT * FROM r WHERE symbol <> 'view') SELECT symbol, rid, t1, CASE WHEN rid % 100 <> 0 THEN label END AS label FROM s")
+@query(f"WITH r AS ({_relabel_sql('pos + 12')}) SELECT symbol, rid, t1, CASE WHEN hour(make_timestamp(t1)) <> 3 THEN label END AS label FROM r")
 def relabel_accepted(spark, sf_dir):
-    """Earlier labels reach nearly all windows of their symbols, so they are taken as they are."""
-    earlier = _relabel(spark, sf_dir, horizon_bars=12).filter("symbol <> 'view' and rid % 100 <> 0")
+    """Earlier labels reach nearly all windows (none was made of the hour from three), so they are taken as they are."""
+    earlier = _relabel(spark, sf_dir, horizon_bars=12).filter(S.hour(F.col("t1")) != 3)
     return touch.relabelled(_windows(spark, sf_dir), earlier, _atr_bars(spark, sf_dir), 0.9, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
 
 
 @query(f"WITH r AS ({_relabel_sql('pos + 12')}) SELECT symbol, rid, t1, label FROM r")
 def relabel_refused(spark, sf_dir):
     """Earlier labels reach half of the windows, so all are labelled anew."""
-    earlier = _relabel(spark, sf_dir, horizon_bars=12).filter("rid % 8 = 0").withColumn("label", F.lit(0))
+    earlier = _relabel(spark, sf_dir, horizon_bars=12).filter(S.hour(F.col("t1")) < 12).withColumn("label", F.lit(0))
     return touch.relabelled(_windows(spark, sf_dir), earlier, _atr_bars(spark, sf_dir), 0.95, tp_mult=2.0, sl_mult=1.2, horizon_bars=12).select("symbol", "rid", "t1", "label")
 
 
@@ -196,13 +196,13 @@ def weight_summary(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT *, ntile(5) OVER (ORDER BY us, eid) - 1 AS own FROM e), g AS (SELECT own AS fold, min(us) AS t0, max(end_us) AS t1 FROM k GROUP BY own)
-SELECT eid, CASE WHEN own = 2 THEN 'val' ELSE 'train' END AS split, eid % 3 AS label, CASE WHEN eid % 4 = 0 THEN 0.0 ELSE round(price, 6) END AS ret_m, end_us FROM k, g
-WHERE fold = 2 AND eid % 5 <> 0 AND (own = 2 OR NOT (us < t1 AND end_us > t0))""")
+SELECT eid, CASE WHEN own = 2 THEN 'val' ELSE 'train' END AS split, eid % 3 AS label, CASE WHEN hour(make_timestamp(us)) >= 18 THEN 0.0 ELSE round(price, 6) END AS ret_m, end_us FROM k, g
+WHERE fold = 2 AND symbol <> 'click' AND (own = 2 OR NOT (us < t1 AND end_us > t0))""")
 def fold_training_rows(spark, sf_dir):
-    """A fold's rows with labels (four fifths have one), features (three quarters have them) and the ends of their events."""
+    """A fold's rows with labels (events but clicks have one), features (known until six in the evening) and the ends of their events."""
     e = _events(spark, sf_dir)
-    rows = training.fold_rows(folds.purged_kfold(e, 5), e.filter("eid % 5 <> 0").select("eid", (F.col("eid") % 3).alias("label")), 2)
-    rows = training.with_features(rows, e.filter("eid % 4 <> 0").select("eid", F.col("price").alias("ret_m")))
+    rows = training.fold_rows(folds.purged_kfold(e, 5), e.filter("symbol <> 'click'").select("eid", (F.col("eid") % 3).alias("label")), 2)
+    rows = training.with_features(rows, e.filter(S.hour(F.col("us")) < 18).select("eid", F.col("price").alias("ret_m")))
     return training.with_end(rows, e).select("eid", "split", "label", *r6("ret_m"), "end_us")
 
 
@@ -228,15 +228,15 @@ def batch_weights(spark, sf_dir):
     return weights.batch_normalised(rows, "batch").select("eid", *r6("batch_w"))
 
 
-@query(f"""WITH {BARS}, x AS (SELECT pos, (close * 0.01 + 100)::DOUBLE AS price, (pos * 7 % 10) / 10.0::DOUBLE AS a, (pos * 3 % 10) / 10.0::DOUBLE AS z FROM b WHERE symbol = 'purchase'),
+@query(f"""WITH {BARS}, x AS (SELECT symbol, pos, (close * 0.01 + 100)::DOUBLE AS price, (pos * 7 % 10) / 10.0::DOUBLE AS a, (pos * 3 % 10) / 10.0::DOUBLE AS z FROM b),
 y AS (SELECT *, CASE WHEN greatest(a, 0.45, z) < 0.58 THEN 0 WHEN a = greatest(a, 0.45, z) THEN 1 WHEN greatest(a, 0.45, z) = 0.45 THEN 0 ELSE -1 END AS position FROM x),
-r AS (SELECT *, position * coalesce((price - lag(price) OVER w) / price, 0) - 0.00055::DOUBLE * abs(position - coalesce(lag(position) OVER w, 0)) AS pnl FROM y WINDOW w AS (ORDER BY pos)),
-q AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (ORDER BY pos)) AS equity FROM r), d AS (SELECT *, 1 - equity / max(equity) OVER (ORDER BY pos) AS dd FROM q)
-SELECT round(100 * avg(CAST(position <> 0 AS INT)), 6) AS coverage_pct, round(arg_max(equity, pos), 6) AS final_equity, round(100 * max(dd), 6) AS max_drawdown_pct FROM d""")
+r AS (SELECT *, position * coalesce((price - lag(price) OVER w) / price, 0) - 0.00055::DOUBLE * abs(position - coalesce(lag(position) OVER w, 0)) AS pnl FROM y WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+q AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY symbol ORDER BY pos)) AS equity FROM r), d AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY symbol ORDER BY pos) AS dd FROM q)
+SELECT symbol, round(100 * avg(CAST(position <> 0 AS INT)), 6) AS coverage_pct, round(arg_max(equity, pos), 6) AS final_equity, round(100 * max(dd), 6) AS max_drawdown_pct FROM d GROUP BY symbol""")
 def walk_forward_report(spark, sf_dir):
-    b = _bars(spark, sf_dir).filter("symbol = 'purchase'")
-    rows = b.select("symbol", "pos", (F.col("close") * 0.01 + 100).alias("price"), decisions.positions(F.col("pos") * 7 % 10 / 10.0, F.lit(0.45), F.col("pos") * 3 % 10 / 10.0, 0.58).alias("position"))
-    return decisions.report(decisions.equity(rows, ["symbol"], ["pos"], 3.5, 2.0), ["pos"]).select(*r6("coverage_pct", "final_equity", "max_drawdown_pct"))
+    rows = _bars(spark, sf_dir).select("symbol", "pos", (F.col("close") * 0.01 + 100).alias("price"), decisions.positions(F.col("pos") * 7 % 10 / 10.0, F.lit(0.45), F.col("pos") * 3 % 10 / 10.0, 0.58).alias("position"))
+    found = decisions.report(decisions.equity(rows, ["symbol"], ["pos"], 3.5, 2.0), ["pos"], ("symbol",))
+    return found.select("symbol", *r6("coverage_pct", "final_equity", "max_drawdown_pct"))
 
 
 PROBS = f"WITH {PRED}, z AS (SELECT eid, eid % 5 AS fold, out + 1 AS label, [p * 3, q * 2, p - q] AS l FROM p), s AS (SELECT *, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM z), f AS (SELECT eid, fold, label, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM s)"
@@ -265,10 +265,15 @@ def metrics_summary(spark, sf_dir):
     return decisions.described(decisions.fold_metrics(_class_probs(spark, sf_dir), ["fold"]), "accuracy").select("n", *r6("mean", "sd", "least", "q25", "q50", "q75", "most"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRED}, w AS (SELECT ln(greatest(least(p, 0.999999), 0.000001) / (1 - greatest(least(p, 0.999999), 0.000001))) * CASE WHEN q < p THEN 1 ELSE -1 END AS w FROM p),
+it AS (SELECT 0 AS k, 1.0::DOUBLE AS b UNION ALL
+  SELECT k + 1, any_value(b) + avg(w / (1 + exp(w * b))) / avg(w * w / (1 + exp(w * b)) / (1 + exp(-w * b))) FROM it, w WHERE k < 12 GROUP BY k)
+SELECT round(1 / any_value(b), 6) AS temperature, round(avg(ln(1 + exp(-w * b))), 6) AS nll FROM it, w WHERE k = 12""")
 def fitted_temperature(spark, sf_dir):
+    """The temperature of probabilities whose outcomes follow them."""
     z = F.get(S.logits(F.array(1 - F.col("p"), F.col("p"))), 1)
-    return decisions.fitted_temperature(_predictions(spark, sf_dir).select(z.alias("z"), "y")).select(*r6("temperature", "nll"))
+    rows = _predictions(spark, sf_dir).select(z.alias("z"), (F.col("q") < F.col("p")).cast("int").alias("y"))
+    return decisions.fitted_temperature(staged(rows, "odds")).select(*r6("temperature", "nll"))
 
 
 @query(f"""WITH {TR}, v AS (SELECT symbol, pos, close, atr, greatest(max(high) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {6 * HOUR} FOLLOWING), lead(high) OVER w) AS hi, least(min(low) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {6 * HOUR} FOLLOWING), lead(low) OVER w) AS lo FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY pos))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, bars, decisions, folds, imaging, indicators, policy, synthetic, touch, weights
+from ..operators import asof, bars, decisions, folds, imaging, indicators, policy, selection, synthetic, touch, weights
 from ..sources import ticks as T
 from ..sources.staging import staged
 
@@ -360,7 +360,8 @@ LEVELS = (0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
 
 @query(_MOVES + " SELECT symbol, " + ", ".join(f"round(quantile_cont(mfe, {q}), 6) AS q{str(q)[2:]}" for q in LEVELS) + " FROM v GROUP BY symbol")
 def excursion_quantiles(spark, sf_dir):
-    return _moves(spark, sf_dir).groupBy("symbol").agg(*[F.round(F.percentile("mfe", F.lit(q)), 6).alias(f"q{str(q)[2:]}") for q in LEVELS])
+    names = {f"q{str(q)[2:]}": q for q in LEVELS}
+    return selection.quantiles(_moves(spark, sf_dir), ["symbol"], "mfe", names).select("symbol", *r6(*names))
 
 
 @query(_MOVES + """, q AS (SELECT quantile_cont(mfe, 0.05) AS lo, quantile_cont(mfe, 0.95) AS hi FROM v) SELECT symbol, pos, round(greatest(least(mfe, hi), lo), 6) AS mfe FROM v, q WHERE mfe IS NOT NULL""")

@@ -115,7 +115,7 @@ def test_halo_windows_equal_whole_ones(spark):
     df = spark.createDataFrame(rows, "symbol string, pos long, us long, x double")
     by_pos, by_us = Window.partitionBy("symbol").orderBy("pos"), Window.partitionBy("symbol").orderBy("us")
     key = lambda d, *c: sorted(((r.symbol, r.pos, *[None if r[k] is None else round(r[k], 9) for k in c]) for r in d.collect()), key=str)
-    for width in (1, 7, 64):
+    for width in (7, 64):
         got = halo.windowed(df, ["symbol"], "pos", lambda w: {"a": F.lag("x").over(w), "b": F.sum("x").over(w.rowsBetween(-5, 3))}, back=5, ahead=3, width=width)
         assert key(got, "a", "b") == key(df.withColumns({"a": F.lag("x").over(by_pos), "b": F.sum("x").over(by_pos.rowsBetween(-5, 3))}), "a", "b")
         got = halo.windowed(df, ["symbol"], "us", lambda w: {"a": F.max("x").over(w.rangeBetween(-90, 20))}, back=90, ahead=20, width=width)

@@ -11,13 +11,13 @@ from barloom.sources.files import exists
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(3)
-    n = 600
+    n = 300
     x = rng.normal(size=(n, 2))
     label = np.where(x[:, 0] + 0.3 * rng.normal(size=n) > 0.5, 2, np.where(x[:, 1] > 0, 1, 0))
     base = [(i, float(a), None if i == 7 else float(b), int(y), 0.5 + (i % 3) / 2) for i, ((a, b), y) in enumerate(zip(x, label))]
     df = spark.createDataFrame(base, "eid long, a double, b double, label int, uniqueness double")
     folds = spark.createDataFrame([(k,) for k in range(3)], "fold int")
-    return df.join(folds).withColumn("split", F.when(F.col("eid") % 3 == F.col("fold"), "val").otherwise("train"))
+    return df.join(folds).coalesce(2).withColumn("split", F.when(F.col("eid") % 3 == F.col("fold"), "val").otherwise("train"))
 
 
 def plan(**kw):
@@ -26,7 +26,7 @@ def plan(**kw):
 
 def test_the_optimum_is_that_of_plain_descent(spark, rows):
     got, history = fitting.train_folds(rows, plan(steps=fitting.logistic_path((0.01,), 200)))
-    assert history.count() == 3 and got.count() == 600
+    assert history.count() == 3 and got.count() == 300
     table = rows.toPandas()
     for fold in range(3):
         t = table[table.fold == fold].fillna(0.0)
@@ -60,7 +60,7 @@ def test_stops_early_and_keeps_the_best(spark, rows):
     assert [h.epoch for h in found] == calls == [0, 1, 2, 3]
     assert [h.chosen for h in found] == [False, True, False, False] and found[1].val_loss == min(h.val_loss for h in found)
     loss = decisions.fold_metrics(got.withColumnRenamed("y_true", "label"), ["fold"]).first()
-    assert loss.n == 200 and loss.accuracy == pytest.approx(found[1].val_acc)
+    assert loss.n == 100 and loss.accuracy == pytest.approx(found[1].val_acc)
 
 
 def test_reproducible_and_resumed(spark, rows, tmp_path):
