@@ -76,17 +76,17 @@ def level_for(rows: DataFrame, policy: DataFrame | None, regimes: DataFrame | No
     """
     out = rows.withColumn("_key", F.col("month"))
     if regimes is not None:
-        out = out.drop("_key").join(F.broadcast(regimes.select("month", F.col("regime").alias("_key"))), "month", "left")
+        out = out.drop("_key").join(regimes.select("month", F.col("regime").alias("_key")), "month", "left")
     if policy is None:
         return out.drop("_key").withColumns({"tp_mult": F.lit(float(default_tp)), "sl_mult": F.lit(float(default_sl))})
     table = policy.select(F.col("key").alias("_key"), F.col("tp_mult").alias("_t"), F.col("sl_mult").alias("_s"))
-    out = out.join(F.broadcast(table), "_key", "left")
+    out = out.join(table, "_key", "left")
     return out.withColumns({"tp_mult": F.coalesce("_t", F.lit(float(default_tp))), "sl_mult": F.coalesce("_s", F.lit(float(default_sl)))}).drop("_key", "_t", "_s")
 
 
 def with_regime(rows: DataFrame, regimes: DataFrame) -> DataFrame:
     """rows (month) with their month's `regime`, or `unknown`."""
-    return rows.join(F.broadcast(regimes), "month", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
+    return rows.join(regimes, "month", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
 
 
 def drawn(seed: int, key: Column) -> Column:

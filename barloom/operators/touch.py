@@ -15,6 +15,7 @@ from ..sources.files import labeling_settings
 from ..sources.staging import release, staged
 from .halo import filled, previous
 from .scan import position
+from .selection import quantiles
 
 
 def _narrowed(parts: DataFrame, path: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -88,6 +89,17 @@ def atr_barriers(bars: DataFrame, pt: float, sl: float) -> DataFrame:
     return out.filter((F.col("up") > F.col("close")) & (F.col("dn") < F.col("close"))).drop("_a", "_known", "_before")
 
 
+def with_vol(bars: DataFrame, vol: DataFrame) -> DataFrame:
+    """bars (symbol, pos, us) with `vol` of vol (symbol, us, vol): its value at the bar's time, else the last one at a bar before, else the median of the symbol's values.
+
+    Of several values of one time the largest counts; bars of symbols without a value have nulls.
+    """
+    one = vol.groupBy("symbol", "us").agg(F.max("vol").alias("_v"))
+    held = filled(bars.join(one, ["symbol", "us"], "left"), ["symbol"], "pos", F.col("_v"), "vol")
+    middle = quantiles(vol, ["symbol"], "vol", {"_mid": 0.5})
+    return held.join(middle, "symbol", "left").withColumn("vol", F.coalesce("vol", "_mid")).drop("_v", "_mid")
+
+
 def label_bars(bars: DataFrame, path: DataFrame, width: int, start: int = 1, rule: str = "drop", nearest: str = "entry", close_only: bool = False) -> DataFrame:
     """bars with `label` (1, 0, -1), `t_end`, `reason` (pt, sl, t1, dropped).
 
@@ -167,7 +179,7 @@ def label_at(rows: DataFrame, bars: DataFrame, tp_mult: float, sl_mult: float, h
         raise ValueError("give either horizon_bars or horizon_us")
     ends = bars.groupBy("symbol").agg(F.max("pos").alias("_last"))
     placed = asof(rows.withColumn("us", F.col("t1")), bars.select("symbol", "us", "pos"), ["symbol"], "us", "pos").drop("us", "us_right")
-    placed = placed.withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long")).join(F.broadcast(ends), "symbol")
+    placed = placed.withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long")).join(ends, "symbol")
     entry = bars.select("symbol", F.col("pos").cast("long").alias("pos"), "us", "close", "atr")
     placed = placed.join(entry, ["symbol", "pos"]).withColumns({"tp_price": F.col("close") + tp_mult * F.col("atr"), "sl_price": F.col("close") - sl_mult * F.col("atr")})
     if horizon_bars is not None:

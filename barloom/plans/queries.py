@@ -243,6 +243,18 @@ def triple_barrier_overshoot(spark, sf_dir):
     return touch.label_bars(rows, b, 20, start=0, rule="nearest", nearest="overshoot").select(*LABELS)
 
 
+@query(f"""WITH {BARS}, v AS (SELECT symbol, us, (high - low) / close AS vol FROM b WHERE hour(make_timestamp(us)) < 12), mid AS (SELECT symbol, quantile_cont(vol, 0.5) AS mid FROM v GROUP BY symbol),
+f AS (SELECT b.*, coalesce(last_value(vol IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY pos ROWS UNBOUNDED PRECEDING), mid) AS vol FROM b LEFT JOIN v USING (symbol, us) LEFT JOIN mid USING (symbol)),
+s AS (SELECT *, least(count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY - 1} FOLLOWING), count(*) OVER (PARTITION BY symbol) - 1) AS t1,
+close * (1 + 0.01::DOUBLE * vol) AS up, close * (1 - 0.008::DOUBLE * vol) AS dn FROM f)""" + _touch_sql("s", "1", "close", "close", "1"))
+def triple_barrier_explicit(spark, sf_dir):
+    """Closes against barriers by a volatility that is known before noon only, up to an explicit horizon."""
+    b = staged(_bars(spark, sf_dir), "bars")
+    known = b.filter(S.hour(F.col("us")) < 12).select("symbol", "us", ((F.col("high") - F.col("low")) / F.col("close")).alias("vol"))
+    rows = touch.barriers(asof.horizon(touch.with_vol(b, known), DAY), 0.01, 0.008, "vol")
+    return touch.label_bars(rows, b, 32, close_only=True).select(*LABELS)
+
+
 def _labels_sql(valid: str, minutes: int, start: int, winner: str) -> str:
     """SQL of the labeler with diagnostics over `valid`, a select of the bars with up and dn: l (symbol, i, pos, us, ..., label, reason, t_end)."""
     return f"""WITH {TR}, v AS ({valid}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY symbol) - 1 AS last FROM v),

@@ -118,7 +118,7 @@ def resumed(rows: DataFrame, path: str, keys: tuple[str, ...] = ("symbol", "mont
     if not exists(spark, path):
         return rows
     done = spark.read.parquet(path).select(*keys).distinct()  # partition columns: read from the listing
-    return rows.join(F.broadcast(done), list(keys), "left_anti")
+    return rows.join(done, list(keys), "left_anti")
 
 
 def write_chunks(rows: DataFrame, path: str, keys: tuple[str, ...] = ("symbol", "month")) -> None:
