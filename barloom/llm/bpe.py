@@ -197,29 +197,31 @@ def _spans(codes: list[int], put: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def library_characters() -> tuple[dict[str, str], dict[int, str]]:
-    """(classes, lower): how the tokenizers library differs from the tables here, asked of it once on the driver.
+def library_characters() -> tuple[dict[str, str], dict[int, str], str]:
+    """(classes, lower, first): how the tokenizers library differs from the tables here, asked of it once on the driver.
 
     classes: for the letters and numbers of a splitter, a set of the regex module that holds just what they match in the library, whose Unicode version is
     another one; asked are the code points on which the regex module and Python's own tables disagree, as its version lies between theirs. lower: what the
-    library makes of capitals that Python does not know yet.
+    library makes of capitals that Python does not know yet. first: the lowest character that any of this is about.
     """
     from tokenizers import Regex, normalizers, pre_tokenizers
 
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     text = "".join(map(chr, codes))
     kind = {c: unicodedata.category(chr(c)) for c in codes}
-    classes = {}
+    classes, first = {}, 0x110000
     for name in ("L", "N"):
         known = {ord(c) for c in regex.findall(rf"\p{{{name}}}", text)}
         asked = sorted(known ^ {c for c, k in kind.items() if k[0] == name})
         kept = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed").pre_tokenize_str("".join(map(chr, asked)))
         other = {ord(c) for piece, _ in kept for c in piece}
         less, more = sorted(known & other), sorted(set(asked) - other - known)
+        first = min([first, *less, *more])
         classes[rf"\p{{{name}}}"] = f"[[\\p{{{name}}}{_spans(more, '||')}]{_spans(less, '--')}]"
     new = "".join(chr(c) for c in codes if kind[c] == "Cn")
     lower = normalizers.Lowercase().normalize_str(new)
-    return classes, {ord(a): b for a, b in zip(new, lower) if a != b} if len(lower) == len(new) else {}
+    changed = {ord(a): b for a, b in zip(new, lower) if a != b} if len(lower) == len(new) else {}
+    return classes, changed, chr(min([first, *changed, 0x10FFFF]))
 
 
 class Tokenizer:
@@ -238,7 +240,7 @@ class Tokenizer:
         self.auto = Automaton(merges, {t: i for t, i in model["vocab"].items() if t not in self.added}, self.end)
         label = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        classes, self.lower = library_characters()
+        classes, self.lower, self.first = library_characters()
         self.steps = _steps(d["normalizer"], "normalizers")
         self.normal = [self._normal(s, self.lower) for s in self.steps]
         self.kinds = [s["type"] for s in _steps(d["normalizer"], "normalizers")]
@@ -265,9 +267,11 @@ class Tokenizer:
             self.labels[i] = as_bytes(t) if kind else t.encode()
         # words of a text cut at blanks are met again and again, so whole pieces are remembered
         self.local = self.split in LOCAL_PATTERNS and self.kept_only and not self.prefix and self.kinds == ["NFC", "Replace", "Lowercase"]
+        exact = self.split
         for name, held in classes.items():
-            self.split = self.split and self.split.replace(name, held)
-        self.split = regex.compile(self.split, regex.V1) if self.split else None
+            exact = exact and exact.replace(name, held)
+        # the plain one is quicker, and the same where no character is disputed
+        self.split, self.exact = (regex.compile(self.split), regex.compile(exact, regex.V1)) if self.split else (None, None)
         self.space = regex.compile(r"\s+")
         self.forget()
 
@@ -299,10 +303,11 @@ class Tokenizer:
     def _words(self, text: str) -> list[str]:
         if self.split is None:
             return [text] if text else []
+        split = self.split if text.isascii() or max(text) < self.first else self.exact
         if self.kept_only:
-            return self.split.findall(text)
+            return split.findall(text)
         words, at = [], 0
-        for m in self.split.finditer(text):
+        for m in split.finditer(text):
             words += [text[at : m.start()], m[0]]
             at = m.end()
         return [w for w in (*words, text[at:]) if w]
@@ -316,7 +321,7 @@ class Tokenizer:
         """(packed ids, labels) of a piece, remembered; of one word if it is whole."""
         out, asked = self.table.get(piece) or self.older.get(piece), piece
         if out is None:
-            if self.local and not piece.isascii():
+            if self.local and not piece.isascii() and max(piece) >= self.first:
                 piece = piece.translate(self.lower)
             words = [piece] if whole or not self.local else self._words(piece)
             if words == [piece]:
