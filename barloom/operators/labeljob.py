@@ -19,8 +19,9 @@ from ..sources.staging import staged
 from ..sources.ticks import label_path
 from . import touch
 
-#: <symbol>-<kind>-<month>.<ending>, and which of several serves a month: the earlier ones.
+#: <symbol>-<kind>-<month>.<ending>; the columns looked at; and which of several files serves a month, the earlier ones.
 NAME = re.compile(r"^(?P<symbol>.+)-(?P<kind>ticks|1m)-(?P<month>20\d{2}-\d{2})\.(?P<end>parquet|csv)$")
+PATH = "symbol string, chunk string, us long, high double, low double"
 ORDER = [("ticks", "parquet"), ("ticks", "csv"), ("1m", "parquet"), ("1m", "csv")]
 
 
@@ -93,8 +94,9 @@ def label_job(
         raise ValueError(f"no tick file for {lost[0][0]} {lost[0][1]}")
     for a in range(0, len(todo), per_round):
         _round(spark, rows, bars, {k: found.get(k) for k in todo[a : a + per_round]}, out, done_path, horizon_us, tp_mult, sl_mult, mode, policy, regimes)
-    if not files.exists(spark, out):
-        return spark.createDataFrame([], snapshot.schema).withColumns({"label": F.lit(2), "event_end_us": F.lit(None).cast("long")})
+    if not files.exists(spark, out):  # nothing was to do
+        none = spark.createDataFrame([], PATH)
+        return touch.label_snapshot(rows.filter("false"), bars, none, horizon_us, tp_mult, sl_mult, policy, regimes, chunk="chunk").drop("chunk")
     merged = spark.read.parquet(out)
     return merged.join(snapshot.select("month").distinct(), "month", "left_semi").drop("chunk")
 
@@ -105,7 +107,7 @@ def _round(spark, rows, bars, chosen, out, done_path, horizon_us, tp_mult, sl_mu
     served = {k: p for k, p in chosen.items() if p}
     path = path_of(spark, served, mode) if served else None
     if path is None:
-        path = spark.createDataFrame([], "symbol string, chunk string, us long, high double, low double")
+        path = spark.createDataFrame([], PATH)
     at = mine.select("symbol", (F.col("start") + F.col("window") - 1).cast("long").alias("pos"))
     reach = bars.join(at, ["symbol", "pos"], "left_semi").agg(F.min("us").alias("a"), F.max("us").alias("z")).first()
     if reach.a is not None:  # reaches the scan

@@ -22,6 +22,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FORMAT = "image_shards"
 SHARD_ROWS = 2048
@@ -60,6 +61,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.rows, self.run = options["path"], int(options.get("shard_rows", SHARD_ROWS)), uuid.uuid4().hex
         self.shape = tuple(int(options[k]) for k in SHAPE)
         self.meta = [f.name for f in schema.fields if f.name != "image"]
+        self.schema = schema
 
     def write(self, batches):
         fs, root = _fs(self.path)
@@ -113,6 +115,10 @@ class _Writer(DataSourceArrowWriter):
             number += m.shards
         for part, first in parts:
             fs.move(f"{root}/_run-{self.run}/{part}.parquet", f"{root}/manifest/from-{first}-{part}.parquet")
+        if not _names(fs, f"{root}/manifest"):  # no row yet: the columns at least
+            whole = to_arrow_schema(self.schema)
+            fields = [*(whole.field(c) for c in self.meta), *(pa.field(c, pa.int32()) for c in ("_local", "idx_in_shard", *SHAPE))]
+            pq.write_table(pa.schema(fields).empty_table(), f"{root}/manifest/from-0-{uuid.uuid4().hex}.parquet", filesystem=fs)
         self.abort(messages)
 
     def abort(self, messages):

@@ -107,5 +107,6 @@ def test_modes(spark, made, tmp_path):
     assert keys(got) == [w for w in loop(rows, bars, seen, 2 * H, 1.5, 1.2) if w[0] == "B-B" and w[2] == "2024-01"]
     with pytest.raises(ValueError):
         labeljob.label_job(snap.filter("symbol = 'AAA' and month = '2024-01'"), b, root, str(tmp_path / "c"), H, 1.0, 1.0, mode="hilo")
-    assert labeljob.label_job(snap.filter("false"), b, root, str(tmp_path / "d"), H, 1.0, 1.0).count() == 0
+    nothing = labeljob.label_job(snap.filter("false"), b, root, str(tmp_path / "d"), H, 1.0, 1.0)
+    assert nothing.count() == 0 and sorted(nothing.columns) == sorted(got.columns)
     assert labeljob.tick_files(spark, f"{root}/nowhere") == {} and files.first_line(spark, f"{root}/AAA-ticks-2024-02.csv") == "ts,last"
