@@ -6,7 +6,8 @@ Every message, call and result becomes one event at a place (turn, seq). Calls a
 (conversation, identifier); a result depends on its call, a call on the results its `after` names. An event's order
 key is the latest place among itself and all it depends on, with the number of steps from there: sorting by it is a topological
 order that otherwise keeps the order of turns. Where every dependence points backwards in time nothing has to be done;
-only events that come before something they need are moved, by joins over those alone.
+in other conversations settled events are peeled off and chains are walked by doubling, in joins over places and identifiers alone. The
+number of rounds grows with the logarithm of the longest chain, for each event with several open predecessors on the way.
 
 A conversation is never gathered: grouping is by identifier with map-side combining, and the order is a sort key, so a
 conversation with a third of all rows is spread like any other. Built-in functions only.
@@ -19,11 +20,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import release, staged
 
 
 class Field(NamedTuple):
-    """An argument in a tool's schema; least and most bound a number, or the length of a string."""
+    """An argument in a tool's schema; least and most bound a number, the length of a string or the size of an array.
+
+    fields are those of an object (others are errors), items says what an array's elements must be (its name is not looked at).
+    """
 
     name: str
     type: str  # string, integer, number, boolean, array or object
@@ -31,49 +35,73 @@ class Field(NamedTuple):
     least: int | None = None
     most: int | None = None
     choices: tuple[str, ...] = ()
+    fields: tuple["Field", ...] = ()
+    items: "Field | None" = None
 
 
+LANGUAGES = ("de", "en", "es", "fr")
 TOOLS = {
-    "search": (Field("query", "string", True, 1, 300), Field("top", "integer", True, 1, 40)),
-    "translate": (Field("text", "string", True, 1), Field("target", "string", True, choices=("de", "en", "es", "fr"))),
+    "search": (
+        Field("query", "string", True, 1, 300),
+        Field("top", "integer", True, 1, 40),
+        Field("filter", "object", False, fields=(Field("langs", "array", True, 1, 4, items=Field("", "string", choices=LANGUAGES)), Field("exact", "boolean", False))),
+    ),
+    "translate": (Field("text", "string", True, 1), Field("target", "string", True, choices=LANGUAGES)),
 }
 #: What schema_of_variant calls the JSON types.
 _KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _value_errors(value: Column, f: Field, label: Column) -> Column:
+    """What is wrong with a value (a variant column) that stands for f, as an array of strings that begin with its label."""
+    right = F.coalesce(F.schema_of_variant(value).rlike(_KINDS[f.type]), F.lit(False))
+    if f.type == "string":
+        amount = F.length(F.try_variant_get(value, "$", "string"))
+    elif f.type == "array":
+        amount = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    else:
+        amount = F.try_variant_get(value, "$", "double")
+    found = [F.when(~right, F.concat(label, F.lit(f": not {f.type}")))]
+    if f.least is not None:
+        found.append(F.when(right & (amount < f.least), F.concat(label, F.lit(f": below {f.least}"))))
+    if f.most is not None:
+        found.append(F.when(right & (amount > f.most), F.concat(label, F.lit(f": above {f.most}"))))
+    if f.choices:
+        found.append(F.when(right & ~F.try_variant_get(value, "$", "string").isin(*f.choices), F.concat(label, F.lit(": no choice"))))
+    out = F.array_compact(F.array(*found))
+    if f.fields:
+        out = F.concat(out, F.when(right, _object_errors(value, f.fields, F.concat(label, F.lit(".")))).otherwise(_none()))
+    if f.items is not None:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: _value_errors(v, f.items, F.concat(label, F.lit("["), i.cast("string"), F.lit("]"))))
+        out = F.concat(out, F.when(right, F.flatten(each)).otherwise(_none()))
+    return out
+
+
+def _object_errors(value: Column, fields: tuple[Field, ...], prefix: Column) -> Column:
+    """What is wrong with an object (a variant column) by its fields, in their order, then its unknown names, sorted."""
+    names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    out = []
+    for f in fields:
+        label, there = F.concat(prefix, F.lit(f.name)), F.array_contains(names, f.name)
+        missing = F.array(F.concat(label, F.lit(": missing"))) if f.required else _none()
+        out.append(F.when(there, _value_errors(F.try_variant_get(value, f"$.{f.name}", "variant"), f, label)).otherwise(missing))
+    unknown = F.array_sort(F.array_except(names, F.array(*[F.lit(f.name) for f in fields])))
+    return F.concat(*out, F.transform(unknown, lambda k: F.concat(prefix, k, F.lit(": unknown"))))
+
+
 def schema_errors(name: Column, arguments: Column, tools: dict[str, tuple[Field, ...]] = TOOLS) -> Column:
     """An array of what is wrong with a call's arguments (a JSON string), empty if nothing is."""
     value = F.try_parse_json(F.coalesce(arguments, F.lit("")))
     is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    given = F.try_variant_get(value, "$", "map<string,variant>")
-
-    def check(f: Field) -> list[Column]:
-        path = f"$.{f.name}"
-        kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-        there = F.array_contains(F.map_keys(given), f.name)
-        right = there & F.coalesce(kind.rlike(_KINDS[f.type]), F.lit(False))
-        amount = F.length(F.try_variant_get(value, path, "string")) if f.type == "string" else F.try_variant_get(value, path, "double")
-        out = [F.when(there & ~right, F.lit(f"{f.name}: not {f.type}"))]
-        if f.required:
-            out.insert(0, F.when(~there, F.lit(f"{f.name}: missing")))
-        if f.least is not None:
-            out.append(F.when(right & (amount < f.least), F.lit(f"{f.name}: below {f.least}")))
-        if f.most is not None:
-            out.append(F.when(right & (amount > f.most), F.lit(f"{f.name}: above {f.most}")))
-        if f.choices:
-            out.append(F.when(right & ~F.try_variant_get(value, path, "string").isin(*f.choices), F.lit(f"{f.name}: no choice")))
-        return out
-
-    known = None
+    known = F.lit(None).cast("array<string>")
     for tool, fields in tools.items():
-        wrong = F.array_compact(F.array(*[e for f in fields for e in check(f)]))
-        extra = F.transform(F.array_except(F.map_keys(given), F.array(*[F.lit(f.name) for f in fields])), lambda k: F.concat(k, F.lit(": unknown")))
-        both = F.concat(wrong, F.array_sort(extra))
-        known = F.when(name == tool, both) if known is None else known.when(name == tool, both)
-    none = F.array().cast("array<string>")
-    unknown = F.array(F.lit("unknown tool"))
-    known = unknown if known is None else known.otherwise(unknown)
-    return F.coalesce(F.when(value.isNull(), F.array(F.lit("not JSON"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(known), none)
+        known = F.when(name == tool, _object_errors(value, fields, F.lit(""))).otherwise(known)
+    known = F.coalesce(known, F.array(F.lit("unknown tool")))
+    return F.when(value.isNull(), F.array(F.lit("not JSON"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(known)
 
 
 def _events(messages: DataFrame) -> DataFrame:
@@ -92,34 +120,53 @@ def _events(messages: DataFrame) -> DataFrame:
     return plain.unionByName(calls)
 
 
-def _ordered(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(conv_id, at, key, cyclic): events that are moved, from edges (conv_id, pred, at) of places struct<turn, seq>.
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(conv_id, at, key, cyclic): events that are moved or cyclic, from edges (conv_id, pred, at) of places struct<turn, seq>.
 
-    key struct<turn, seq, hops> is the largest of the event's own and one hop beyond each predecessor's. It
-    is raised along edges until nothing changes. More hops than the conversation has edges show a cycle; raising goes on
-    for as many again, so that all events on a cycle, or behind it, are seen.
+    key struct<turn, seq, hops> is the largest of the event's own and one hop beyond each predecessor's. Only
+    conversations in which an event comes before one it needs are looked at. A round does two things for every edge at once:
+    an edge from an event without open predecessors goes, its key having been passed on; an edge from an event with a single
+    open predecessor is lengthened to start there, so that a chain of n hops takes log2(n) rounds. Events with several open predecessors wait until all
+    but one are settled. An edge longer than its conversation has edges, and one that no round can change, lead round a cycle.
     """
-    own = lambda at: F.struct(F.col(f"{at}.turn").alias("turn"), F.col(f"{at}.seq").alias("seq"), F.lit(0).alias("hops"))
-    step = lambda k: F.struct(F.col(f"{k}.turn").alias("turn"), F.col(f"{k}.seq").alias("seq"), (F.col(f"{k}.hops") + 1).alias("hops"))
-    late = edges.filter("pred > at").withColumn("k", own("pred"))
-    moved = late.groupBy("conv_id", "at").agg(F.max(step("k")).alias("key"))
-    moved = staged(moved, "moved")
-    fresh = moved
-    while not fresh.isEmpty():
-        onward = edges.join(fresh.select("conv_id", F.col("at").alias("pred"), F.col("key").alias("k")), ["conv_id", "pred"])
-        onward = onward.join(sizes, "conv_id").filter("k.hops <= 2 * edges")
-        raised = onward.groupBy("conv_id", "at").agg(F.max(step("k")).alias("new")).filter(F.col("new") > own("at"))
-        raised = raised.join(moved, ["conv_id", "at"], "left").filter(F.col("key").isNull() | (F.col("new") > F.col("key")))
-        fresh = staged(raised.select("conv_id", "at", F.col("new").alias("key")), "raised")
-        moved = staged(moved.unionByName(fresh).groupBy("conv_id", "at").agg(F.max("key").alias("key")), "moved")
-    return moved.join(sizes, "conv_id").select("conv_id", "at", "key", (F.col("key.hops") > F.col("edges")).alias("cyclic"))
+    place = lambda at: F.struct(F.col(f"{at}.turn").alias("turn"), F.col(f"{at}.seq").alias("seq"), F.lit(0).alias("hops"))
+    late = edges.filter("pred >= at").select("conv_id").distinct()
+    some = edges.join(late, "conv_id", "left_semi")
+    sizes = some.groupBy("conv_id").agg(F.count("*").alias("most"))
+    links = staged(some.join(sizes, "conv_id").select("conv_id", "pred", "at", F.lit(1).alias("dist"), "most"), "links")
+    ends = links.select("conv_id", "at").unionByName(links.select("conv_id", F.col("pred").alias("at"))).distinct()
+    keys = staged(ends.select("conv_id", "at", place("at").alias("key"), F.lit(False).alias("cyclic")), "keys")
+    while True:
+        open_ = links.groupBy("conv_id", F.col("at").alias("pred")).agg(F.count("*").alias("n"), F.max(F.struct("pred", "dist")).alias("on"))
+        known = keys.select("conv_id", F.col("at").alias("pred"), F.col("key").alias("k"), F.col("cyclic").alias("round"))
+        met = staged(links.join(known, ["conv_id", "pred"]).join(open_, ["conv_id", "pred"], "left"), "met")
+        changed = met.filter("n is null or n = 1")
+        if changed.isEmpty():
+            break
+        beyond = F.struct(F.col("k.turn").alias("turn"), F.col("k.seq").alias("seq"), (F.col("k.hops") + F.col("dist")).alias("hops"))
+        longer = F.col("dist") + F.when(F.col("n") == 1, F.col("on.dist")).otherwise(0)
+        turned = F.coalesce((F.col("n") == 1) & ((longer > F.col("most")) | (F.col("on.pred") == F.col("at"))), F.lit(False))
+        met = met.withColumns({"beyond": beyond, "longer": longer, "turned": turned})
+        news = met.groupBy("conv_id", "at").agg(F.max("beyond").alias("new"), F.max(F.col("round") | F.col("turned")).alias("on_round"))
+        nxt = met.filter("n is not null and not turned").select("conv_id", F.when(F.col("n") == 1, F.col("on.pred")).otherwise(F.col("pred")).alias("pred"), "at", F.col("longer").alias("dist"), "most")
+        nxt = staged(nxt.groupBy("conv_id", "pred", "at").agg(F.max("dist").alias("dist"), F.max("most").alias("most")), "links")
+        raised = keys.join(news, ["conv_id", "at"], "left").select(
+            "conv_id", "at", F.greatest("key", F.coalesce("new", "key")).alias("key"), (F.col("cyclic") | F.coalesce("on_round", F.lit(False))).alias("cyclic")
+        )
+        raised = staged(raised, "keys")
+        for old in (links, keys, changed):
+            release(old)
+        links, keys = nxt, raised
+    stuck = links.select("conv_id", "at").distinct().withColumn("stuck", F.lit(True))
+    out = keys.join(stuck, ["conv_id", "at"], "left").withColumn("cyclic", F.col("cyclic") | F.coalesce("stuck", F.lit(False)))
+    return out.filter(F.col("cyclic") | (F.col("key") > place("at"))).select("conv_id", "at", "key", "cyclic")
 
 
 def link(messages: DataFrame, tools: dict[str, tuple[Field, ...]] = TOOLS) -> DataFrame:
     """(conv_id, turn, seq, kind, call_id, name, status, errors, order_turn, order_seq, order_hops, json), one row for each event.
 
     status: `linked` (call with a result, result with a call), `unanswered` call, `orphan` result, `duplicate` (a later call or result with
-    an identifier already used in its conversation), `no id`, `cyclic` (depends on itself; keeps its own place), or `plain` for messages.
+    an identifier already used in its conversation), `no id`, `cyclic` (depends on itself, or on an event that does; keeps its own place), or `plain` for messages.
     errors: what the tool's schema finds wrong, null for other events. json: the event with sorted keys and no spaces; arguments that
     are not JSON are written as a string. Sorting by the order columns and then turn, seq puts every call before its result and every
     needed result before the call that needs it.
@@ -150,8 +197,7 @@ def link(messages: DataFrame, tools: dict[str, tuple[Field, ...]] = TOOLS) -> Da
     needs = events.filter(is_call & (F.size("after") > 0)).select("conv_id", at.alias("at"), F.explode("after").alias("call_id"))
     needs = needs.join(first, ["conv_id", "call_id"]).select("conv_id", F.coalesce("result_at", "call_at").alias("pred"), "at")
     edges = staged(answers.unionByName(needs).filter("pred is not null").distinct(), "edges")
-    sizes = edges.groupBy("conv_id").agg(F.count("*").alias("edges"))
-    moved = _ordered(edges, sizes)
+    moved = _ordered(edges)
     rows = rows.withColumn("at", at).join(moved, ["conv_id", "at"], "left")
     cyclic = F.coalesce("cyclic", F.lit(False))
     key = F.when(F.col("key").isNotNull() & ~cyclic, F.col("key")).otherwise(F.struct(F.col("turn").alias("turn"), F.col("seq").alias("seq"), F.lit(0).alias("hops")))
@@ -174,16 +220,21 @@ def link(messages: DataFrame, tools: dict[str, tuple[Field, ...]] = TOOLS) -> Da
 def as_tool_chat(conversations: DataFrame) -> DataFrame:
     """Read a table (conv_id, turn, role, text) as a tool dialogue.
 
-    A user's turn is a call whose identifier is conversation and turn; its tool and arguments follow from the text, and it
-    needs the result of the call two turns before. An assistant's turn is the result of the call one turn before. Others are messages.
+    A user's turn is a call whose identifier is conversation and turn; its tool and arguments follow from the text. It
+    needs the result of the call two turns before; in every third conversation that of the call two turns later, and where its text's length is a multiple of
+    eleven both, which makes a cycle. An assistant's turn is the result of the call one turn before. Others are messages.
     """
-    call_id = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    call_id = lambda step: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") + step).cast("string"))
     size = F.length("text")
     words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     name = F.when(size % 3 == 0, "search").when(size % 3 == 1, "translate").otherwise("calculate")
     target = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "xx", "fr")]), (size % 4 + 1).cast("int"))
-    arguments = F.when(size % 3 == 1, F.to_json(F.struct("text", target.alias("target")))).otherwise(F.to_json(F.struct(words.alias("top"), F.col("text").alias("query"))))
-    after = F.when(F.col("turn") >= 2, F.array(call_id(2))).otherwise(F.array().cast("array<string>"))
+    langs = F.struct((size % 5 == 0).alias("exact"), F.array(F.lit("es"), target).alias("langs"))
+    search = F.to_json(F.struct(langs.alias("filter"), words.alias("top"), F.col("text").alias("query")))
+    arguments = F.when(size % 3 == 1, F.to_json(F.struct("text", target.alias("target")))).otherwise(search)
+    back = F.when(F.col("turn") >= 2, F.array(call_id(-2))).otherwise(_none())
+    ahead = F.when(size % 11 == 0, F.concat(back, F.array(call_id(2)))).otherwise(F.array(call_id(2)))
+    after = F.when(F.col("conv_id") % 3 == 0, ahead).otherwise(back)
     call = F.struct(call_id(0).alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
     user, answer = F.col("role") == "user", F.col("role") == "assistant"
     return conversations.select(
@@ -192,13 +243,13 @@ def as_tool_chat(conversations: DataFrame) -> DataFrame:
         F.when(user, "assistant").when(answer, "tool").otherwise(F.col("role")).alias("role"),
         F.when(~user, F.col("text")).alias("content"),
         F.when(user, F.array(call)).alias("tool_calls"),
-        F.when(answer, call_id(1)).alias("tool_call_id"),
+        F.when(answer, call_id(-1)).alias("tool_call_id"),
     )
 
 
-_CHOICES = ", ".join(f"'{c}'" for c in TOOLS["translate"][1].choices)
+_CHOICES = ", ".join(f"'{c}'" for c in LANGUAGES)
 ORACLE = f"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT *, conv_id || '-' || turn AS id, conv_id || '-' || (turn - 1) AS before, length(text) AS n,
          len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words,
          ['en', 'de', 'xx', 'fr'][length(text) % 4 + 1] AS target
@@ -206,27 +257,50 @@ WITH c AS (
 ), e AS (
   SELECT conv_id, turn, 0 AS seq, CASE WHEN role = 'assistant' THEN 'result' ELSE 'message' END AS kind,
          CASE WHEN role = 'assistant' THEN before END AS call_id, CASE WHEN role <> 'user' THEN text END AS content,
-         CASE WHEN role = 'user' THEN 'assistant' ELSE role END AS role, NULL AS name, n, words, target, text
+         CASE WHEN role = 'user' THEN 'assistant' ELSE role END AS role, NULL::VARCHAR AS name, n, words, target, text
   FROM c
   UNION ALL
-  SELECT conv_id, turn, 1, 'call', id, NULL, NULL, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'calculate' END, n, words, target, text
+  SELECT conv_id, turn, 1, 'call', id, NULL::VARCHAR, NULL::VARCHAR, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'calculate' END, n, words, target, text
   FROM c WHERE role = 'user'
-), k AS (SELECT DISTINCT call_id, kind FROM e WHERE kind <> 'message')
-SELECT conv_id, turn, seq, kind, e.call_id, name,
-       CASE kind WHEN 'message' THEN 'plain'
+), k AS (SELECT DISTINCT call_id, kind FROM e WHERE kind <> 'message'
+), places AS (
+  SELECT conv_id, call_id, min({{'t': turn, 's': seq}}) FILTER (kind = 'call') AS call_at, min({{'t': turn, 's': seq}}) FILTER (kind = 'result') AS result_at
+  FROM e WHERE kind <> 'message' GROUP BY ALL
+), wanted AS (
+  SELECT conv_id, turn, unnest(CASE WHEN conv_id % 3 <> 0 THEN [turn - 2] WHEN n % 11 = 0 THEN [turn - 2, turn + 2] ELSE [turn + 2] END) AS other
+  FROM e WHERE kind = 'call'
+), edges AS (
+  SELECT conv_id, call_at AS pred, result_at AS here FROM places WHERE call_at IS NOT NULL AND result_at IS NOT NULL
+  UNION
+  SELECT w.conv_id, coalesce(p.result_at, p.call_at), {{'t': w.turn, 's': 1}}
+  FROM wanted w JOIN places p ON p.conv_id = w.conv_id AND p.call_id = w.conv_id || '-' || w.other
+), amount AS (SELECT conv_id, count(*) AS most FROM edges GROUP BY conv_id
+), walk(conv_id, origin, here, hops) AS (
+  SELECT conv_id, pred, here, 1 FROM edges
+  UNION
+  SELECT w.conv_id, w.origin, g.here, w.hops + 1
+  FROM walk w JOIN edges g ON g.conv_id = w.conv_id AND g.pred = w.here JOIN amount a ON a.conv_id = w.conv_id WHERE w.hops <= a.most
+), ordered AS (
+  SELECT w.conv_id, here.t AS t, here.s AS s, max({{'t': origin.t, 's': origin.s, 'h': hops}}) AS key, max(hops) > max(most) AS round
+  FROM walk w JOIN amount a ON a.conv_id = w.conv_id GROUP BY w.conv_id, here
+), moved AS (SELECT * FROM ordered WHERE round OR (key.t, key.s) > (t, s))
+SELECT e.conv_id, turn, seq, kind, e.call_id, name,
+       CASE WHEN m.round THEN 'cyclic' WHEN kind = 'message' THEN 'plain' ELSE CASE kind
          WHEN 'call' THEN CASE WHEN EXISTS (FROM k WHERE k.call_id = e.call_id AND k.kind = 'result') THEN 'linked' ELSE 'unanswered' END
-         ELSE CASE WHEN EXISTS (FROM k WHERE k.call_id = e.call_id AND k.kind = 'call') THEN 'linked' ELSE 'orphan' END END AS status,
+         ELSE CASE WHEN EXISTS (FROM k WHERE k.call_id = e.call_id AND k.kind = 'call') THEN 'linked' ELSE 'orphan' END END END AS status,
        CASE WHEN kind = 'call' THEN concat_ws('; ',
          CASE WHEN name = 'search' AND n < 1 THEN 'query: below 1' END, CASE WHEN name = 'search' AND n > 300 THEN 'query: above 300' END,
          CASE WHEN name = 'search' AND words < 1 THEN 'top: below 1' END, CASE WHEN name = 'search' AND words > 40 THEN 'top: above 40' END,
+         CASE WHEN name = 'search' AND target NOT IN ({_CHOICES}) THEN 'filter.langs[1]: no choice' END,
          CASE WHEN name = 'translate' AND n < 1 THEN 'text: below 1' END,
          CASE WHEN name = 'translate' AND target NOT IN ({_CHOICES}) THEN 'target: no choice' END,
          CASE WHEN name = 'calculate' THEN 'unknown tool' END) END AS errors,
-       turn AS order_turn, seq AS order_seq, 0 AS order_hops,
+       CASE WHEN round OR key IS NULL THEN turn ELSE key.t END AS order_turn, CASE WHEN round OR key IS NULL THEN seq ELSE key.s END AS order_seq,
+       CASE WHEN round OR key IS NULL THEN 0 ELSE key.h END AS order_hops,
        CASE kind
          WHEN 'call' THEN '{{"arguments":' || CASE WHEN name = 'translate' THEN '{{"target":' || to_json(target) || ',"text":' || to_json(text) || '}}'
-              ELSE '{{"query":' || to_json(text) || ',"top":' || words || '}}' END || ',"id":' || to_json(e.call_id) || ',"name":' || to_json(name) || ',"type":"function"}}'
+              ELSE '{{"filter":{{"exact":' || (n % 5 = 0) || ',"langs":["es",' || to_json(target) || ']}},"query":' || to_json(text) || ',"top":' || words || '}}' END || ',"id":' || to_json(e.call_id) || ',"name":' || to_json(name) || ',"type":"function"}}'
          WHEN 'result' THEN '{{"content":' || to_json(content) || ',"role":"tool","tool_call_id":' || to_json(e.call_id) || '}}'
          ELSE '{{"content":' || coalesce(to_json(content), 'null') || ',"role":' || to_json(role) || '}}' END AS json
-FROM e
+FROM e LEFT JOIN moved m ON m.conv_id = e.conv_id AND m.t = e.turn AND m.s = e.seq
 """
