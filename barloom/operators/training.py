@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import release, staged
+
 
 def fold_rows(folds: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     """The fold's rows (split train or val) with their labels, by row id; raises where either side is empty."""
@@ -32,11 +35,29 @@ def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def motifs(df: DataFrame, vector: str, k: int = 8, seed: int = 1337, tries: int = 10) -> DataFrame:
-    """df with `cluster`: k-means of a column of number arrays, the cheapest of `tries` starts."""
+    """df with `cluster`: k-means of a column of number arrays, the cheapest of `tries` starts, of equal ones the first.
+
+    Rows whose array is null, empty, of another length than the most frequent one or holds null or non-finite numbers get null; so do all where no row is
+    left. The fits read the vectors alone, written once; a fit is Spark's own, a pass of partial sums a step.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.withColumn("_f", array_to_vector(F.col(vector).cast("array<double>")))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="cluster").fit(rows) for i in range(tries)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_f")
+    numbers = F.col(vector).cast("array<double>")
+    finite = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usual = df.filter(finite & (F.size(numbers) > 0)).groupBy(F.size(numbers).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not usual:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    good = F.coalesce(finite & (F.size(numbers) == usual[0]["n"]), F.lit(False))
+    points = staged(df.filter(good).select(numbers.alias("_v")), "motifs")
+    rows = points.select(array_to_vector("_v").alias("_f")).persist(StorageLevel.DISK_ONLY)
+    best = None
+    for i in range(tries):
+        model = KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="cluster").fit(rows)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    rows.unpersist()
+    release(df.sparkSession, points)
+    origin = F.array_repeat(F.lit(0.0), usual[0]["n"])  # stands in where a row has no vector, so that rows keep their number and order
+    placed = best.transform(df.withColumn("_f", array_to_vector(F.when(good, numbers).otherwise(origin))))
+    return placed.withColumn("cluster", F.when(good, F.col("cluster"))).drop("_f")
