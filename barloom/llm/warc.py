@@ -5,11 +5,11 @@ pass: nothing is shuffled, a lost executor costs its own partitions, and memory
 Identifiers are name-based (a hash of the source identifier and the kind), so reruns and retries
 write equal records.
 
-    responses: record_id, target_uri, date, block [, payload_digest]
+    responses: record_id, target_uri, date, block [, payload_digest, block_digest]
     derived:   kind, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_length, record
 
 `block` is an HTTP response: status line, header lines, an empty line, payload. `record` is a whole WARC/1.1
-record without its two closing line ends; `write_warc` adds those.
+record without its two closing line ends; `warcfiles` adds those when it writes, and reads responses from WARC files.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .warcfiles import read_warc, write_warc  # noqa: F401  (the sources and sinks of this operator)
+
 CRLF = "\r\n"
 #: Elements that end a line of text.
 BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|article|section|aside|main|header|footer|nav|title|blockquote|pre|form"
@@ -125,18 +127,18 @@ def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Two rows for each response: its `metadata` and its `conversion` record, after the columns named in carry.
 
     Both refer to the source (WARC-Refers-To with its target and date) and hold the digest of its payload as given, or as
-    computed where the source has none. The metadata record's fields keep the source's status, header lines,
+    computed where the source has none; the same holds for the block's digest in the metadata. The metadata record's fields keep the source's status, header lines,
     digests and links. A null block counts as empty, a block without an empty line as head only; a null
     identifier gives derivatives named after an empty one, without WARC-Refers-To; null targets and dates leave their
     lines out. Repeated responses give equal records as often as they come in. An empty table gives an empty one;
     other columns of responses are not looked at.
     """
-    given = F.col("payload_digest").cast("string") if "payload_digest" in responses.columns else F.lit(None).cast("string")
+    given = lambda c: F.col(c).cast("string") if c in responses.columns else F.lit(None).cast("string")
     block = F.coalesce(F.col("block"), F.lit(""))
     at = F.instr(block, CRLF + CRLF)
     rows = responses.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(carry)],
-        F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"), given.alias("_given"), block.alias("_block"),
+        F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"), given("payload_digest").alias("_given"), given("block_digest").alias("_given_block"), block.alias("_block"),
         F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(block).alias("_head"),
         F.when(at > 0, F.substring(block, at + 4, F.length(block))).otherwise(F.lit("")).alias("_payload"),
     )
@@ -147,7 +149,7 @@ def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         _line("http-status", F.nullif(F.regexp_extract("_head", r"^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit(""))),
         many("http-header", head),
         _line("source-payload-digest", F.col("_pd")),
-        _line("source-block-digest", digest(F.col("_block"))),
+        _line("source-block-digest", F.coalesce("_given_block", digest(F.col("_block")))),
         _line("source-payload-length", F.octet_length("_payload").cast("string")),
         many("outlink", outlinks(F.col("_payload"))),
     )
@@ -182,11 +184,6 @@ def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def write_warc(derived: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write the records as WARC files, one for each partition; the text writer's line end closes each record."""
-    derived.select("record").write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
-
-
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of a table (page_id, url, html), named after page and address, with page_id kept."""
     name = name_id(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.lit("response"))
