@@ -6,8 +6,8 @@
 2. Quotas: blocks of `block` words go to sources, then a source's blocks to its shards, each to the highest
    quotient v / (2s + 1). A party's number of seats is within a known distance of its fair share, so only
    the few quotients around that are ranked, never one for each block.
-3. Selection: a source's rows are dealt to shards of bounded size by a hash of the id, so one source with a third of
-   all words is many shards. Within a shard rows stand in seeded order and are cut into blocks; a quota of q blocks
+3. Selection: a source's rows are dealt to shards of bounded words and rows by a hash of the id, so one source with a third of
+   all words, or of all rows, empty ones too, is many shards. Within a shard rows stand in seeded order and are cut into blocks; a quota of q blocks
    takes every block q // blocks times, and q % blocks once more: those from a seeded block on, around the end. As
    rows already stand in random order that is a random choice of rows, and at most three of them are cut.
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .scratch import staged
 
-#: Words of a block, of a shard, and the seed of the selection.
-BLOCK, SHARD, SEED = 16, 1 << 20, 2026
+#: Words of a block, words and rows of a shard, and the seed of the selection.
+BLOCK, SHARD, ROWS, SEED = 16, 1 << 20, 1 << 16, 2026
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: A run of characters other than space and U+0009..U+000D, and one of these.
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -72,7 +72,7 @@ def sainte_lague(parties: DataFrame, by: list[str], order: list, votes: str, sea
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """(sid, source, source_size, target) from (source, source_size), one row for each source.
+    """(sid, source, source_size, target) from (source, source_size), one row for each source; other columns follow.
 
     sid numbers the sources by code point, null last; their weights repeat in that order.
     """
@@ -92,7 +92,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
     open_ = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
     named = named.withColumn("level", F.max(open_).over(one))
     fair = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap"))
-    return named.select("sid", "source", "source_size", fair.alias("target"))
+    return named.select("sid", "source", "source_size", fair.alias("target"), *[c for c in sizes.columns if c not in ("source", "source_size")])
 
 
 def mix(
@@ -105,6 +105,7 @@ def mix(
     repeats: int = REPEATS,
     block: int = BLOCK,
     shard: int = SHARD,
+    shard_rows: int = ROWS,
     seed: int = SEED,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -120,8 +121,9 @@ def mix(
     # the text's own hash, not the text, tells rows with one id apart: only numbers are shuffled
     kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"), *kept)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = targets(sizes, weights, share, repeats).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard), F.ceil(F.col("source_rows") / shard_rows)).cast("long")
+    table = targets(sizes, weights, share, repeats).withColumn("shards", shards).drop("source_rows")
     table = table.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")).withColumn("all", F.lit(1))
     table = sainte_lague(table, ["all"], ["sid"], "target", "seats").withColumnRenamed("quota", "source_quota").drop("seats", "all")
     table = staged(table, "sources")
