@@ -38,3 +38,12 @@ def test_touches_are_not_broadcast_and_rows_with_none_stay(spark):
     assert "BroadcastHashJoin" not in plan and "SortAggregate" not in plan
     want = {i: (0, 20) if i % 2 == 0 and 10 <= i // 100 < 20 else (2, i // 100 + 10) for i in range(3000)}
     assert {r.eid: (r.label, r.event_end_us) for r in got.collect()} == want
+
+
+def test_bars_with_far_horizons_meet_no_pairs(spark):
+    """Every bar is touched by all later ones, thousands of them; only the first leaves the search."""
+    bars = spark.range(4000).select(F.lit("s").alias("symbol"), F.col("id").alias("pos"), F.lit(3999).cast("long").alias("t1"), F.lit(1.0).alias("close"), F.lit(1.0).alias("up"), F.lit(0.5).alias("dn"))
+    got = touch.label_bars(bars, bars, 32, close_only=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "BroadcastHashJoin" not in plan
+    assert {(r.pos, r.t_end, r.label, r.reason) for r in got.collect()} == {(i, i + 1, 1, "pt") for i in range(3999)} | {(3999, 3999, 0, "t1")}
