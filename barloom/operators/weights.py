@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.staging import staged
 from .scan import DAY_US, running_sum, running_sums
 
 
@@ -17,12 +18,13 @@ def _prefix(events: DataFrame, inverse: bool, points: bool) -> DataFrame:
     """(symbol, edge, at, sum): `at` intervals lie before the edge, with `sum` of their (inverse) concurrency."""
     delta = F.explode(F.array(F.struct(F.col("us").alias("edge"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("edge"), F.lit(-1).alias("d"))))
     edges = events.filter("end_us >= us" if points else "end_us > us").select("symbol", delta.alias("e")).groupBy("symbol", "e.edge").agg(F.sum("e.d").alias("d"))
+    edges = staged(edges, "edges")  # running sums read their rows twice, and so does who reads the prefix
     day = F.floor(F.col("edge") / DAY_US)
     conc = running_sum(edges, ["symbol"], ["edge"], F.col("d"), day, "conc")
     value = 1 / F.greatest("conc", F.lit(1)) if inverse else F.col("conc").cast("double")
-    conc = conc.select("symbol", "edge", "conc", value.alias("v"))
+    conc = staged(conc.select("symbol", "edge", "conc", value.alias("v")), "concurrency")
     sums = running_sums(conc, ["symbol"], ["edge"], {"sum": F.col("v"), "at": F.lit(1).cast("long")}, day)
-    return sums.select("symbol", "edge", "conc", (F.col("at") - 1).alias("at"), (F.col("sum") - F.col("v")).alias("sum"))
+    return staged(sums.select("symbol", "edge", "conc", (F.col("at") - 1).alias("at"), (F.col("sum") - F.col("v")).alias("sum")), "prefix")
 
 
 def _mean(events: DataFrame, inverse: bool, points: bool = False) -> DataFrame:
@@ -30,7 +32,7 @@ def _mean(events: DataFrame, inverse: bool, points: bool = False) -> DataFrame:
     a = p.select("symbol", F.col("edge").alias("us"), F.col("at").alias("_a"), F.col("sum").alias("_sa"), *(["conc"] if points else []))
     a = a.withColumnRenamed("conc", "_conc")
     b = p.select("symbol", F.col("edge").alias("end_us"), F.col("at").alias("_b"), F.col("sum").alias("_sb"))
-    out = events.join(a, ["symbol", "us"], "left").join(b, ["symbol", "end_us"], "left")
+    out = events.join(a.hint("merge"), ["symbol", "us"], "left").join(b.hint("merge"), ["symbol", "end_us"], "left")  # as many rows as edges: never broadcast
     mean = F.when(F.col("end_us") > F.col("us"), (F.col("_sb") - F.col("_sa")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0)))
     return out.withColumn("_mean", mean).drop("_a", "_b", "_sa", "_sb")
 
@@ -42,6 +44,7 @@ def uniqueness(events: DataFrame, normalise: bool = True, within: tuple[str, ...
     """
     out = _mean(events, True).withColumn("weight", F.coalesce("_mean", F.lit(1.0))).drop("_mean")
     if normalise:
+        out = staged(out, "uniqueness")
         means = out.groupBy(*within).agg(F.avg("weight").alias("_m"))  # without keys one row
         out = out.join(means, list(within)) if within else out.join(F.broadcast(means))
         out = out.withColumn("weight", F.when(F.col("_m") > 0, F.col("weight") / F.col("_m")).otherwise(F.col("weight"))).drop("_m")
@@ -59,15 +62,17 @@ def mean_concurrency_weight(events: DataFrame) -> DataFrame:
     return out.withColumn("weight", 1 / F.greatest(F.coalesce("_mean", at_point, F.lit(1.0)), F.lit(1.0))).drop("_mean", "_conc")
 
 
-def fold_weights(folds: DataFrame, labels: DataFrame, horizon_us: int) -> DataFrame:
+def fold_weights(folds: DataFrame, labels: DataFrame | None, horizon_us: int) -> DataFrame:
     """(fold, eid, label, sample_w): uniqueness within each fold's training rows, normalised in it.
 
-    folds (eid, fold, split), labels (eid, symbol, us, label and what end_us() reads). An event's interval is open among the training rows of its
+    folds (eid, fold, split), labels (eid, symbol, us, label and what end_us() reads), or None where folds carry these columns. An event's interval is open among the training rows of its
     fold only, so the same event weighs differently in other folds.
     """
-    rows = folds.filter("split = 'train'").select("fold", "eid").join(labels, "eid")
-    rows = rows.withColumn("end_us", S.end_us(labels.columns, horizon_us)).withColumn("symbol", F.concat_ws("/", F.col("fold").cast("string"), "symbol"))
-    return uniqueness(rows.select("fold", "eid", "symbol", "us", "end_us", "label"), within=("fold",)).select("fold", "eid", "label", F.col("weight").alias("sample_w"))
+    train = folds.filter("split = 'train'")
+    rows = train.drop("split") if labels is None else train.select("fold", "eid").join(labels, "eid")
+    rows = rows.withColumn("end_us", S.end_us(rows.columns if labels is None else labels.columns, horizon_us)).withColumn("symbol", F.concat_ws("/", F.col("fold").cast("string"), "symbol"))
+    rows = staged(rows.select("fold", "eid", "symbol", "us", "end_us", "label"), "training")
+    return uniqueness(rows, within=("fold",)).select("fold", "eid", "label", F.col("weight").alias("sample_w"))
 
 
 def monthly_mean(df: DataFrame, weight: str = "weight", time: str = "us") -> DataFrame:
