@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..sources.files import exists
 from ..sources.staging import shared_dir
 
+#: Rows of all folds for each piece that a split is cut into.
+PIECE = 4_000_000
 #: A step gives the estimator of an epoch from the model of the one before, or None where the path ends.
 Step = Callable[[object, int], object]
 
@@ -69,7 +71,7 @@ def sample_weights(rows: DataFrame) -> DataFrame:
     """
     counts = rows.filter("split = 'train'").groupBy("fold", "label").agg(F.count("*").alias("_n"))  # a row for each fold and class
     uniq = F.coalesce(F.col("uniqueness").cast("double"), F.lit(1.0)) if "uniqueness" in rows.columns else F.lit(1.0)
-    return rows.join(counts, ["fold", "label"], "left").withColumn("sample_w", uniq / F.coalesce("_n", F.lit(1)) + 1e-12).drop("_n")
+    return rows.join(F.broadcast(counts), ["fold", "label"], "left").withColumn("sample_w", uniq / F.coalesce("_n", F.lit(1)) + 1e-12).drop("_n")
 
 
 def _probs(model_output: str, classes: int) -> Column:
@@ -126,8 +128,10 @@ def train_folds(rows: DataFrame, plan: Plan, out: str | None = None) -> tuple[Da
     base = f"{shared_dir(spark)}/staged/folds-{uuid4().hex}"
     out = out or f"{base}-predictions"
     clean = rows.select("eid", "fold", "split", "label", *(["uniqueness"] if "uniqueness" in rows.columns else []), *plan.extra, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in plan.features])
-    # within a split rows lie in order of their id, so that sums are added alike in every run
-    weighted = sample_weights(clean).repartition("fold", "split").sortWithinPartitions("fold", "split", "eid")
+    # a split is as many pieces, by its rows' ids, as keep each small enough to sort in memory; rows lie in order of their id, so that sums are added alike in every run
+    pieces = clean.count() // PIECE + 1
+    piece = [F.pmod(F.xxhash64("eid"), F.lit(pieces))] if pieces > 1 else []
+    weighted = sample_weights(clean).repartition("fold", "split", *piece).sortWithinPartitions("fold", "split", "eid")
     weighted.write.partitionBy("fold", "split").parquet(base)
     table = spark.read.schema(weighted.schema).parquet(base)
     todo = [r.fold for r in table.select("fold").distinct().orderBy("fold").collect() if not exists(spark, f"{out}/fold={r.fold}/_SUCCESS")]
