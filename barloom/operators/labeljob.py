@@ -9,11 +9,11 @@ leaves either a noted chunk or one that is made anew. The table at the end does
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..sources import files
 from ..sources.staging import staged
 from ..sources.ticks import label_path
@@ -21,6 +21,7 @@ from . import touch
 
 #: <symbol>-<kind>-<month>.<ending>; the columns looked at; and which of several files serves a month, the earlier ones.
 NAME = re.compile(r"^(?P<symbol>.+)-(?P<kind>ticks|1m)-(?P<month>20\d{2}-\d{2})\.(?P<end>parquet|csv)$")
+PART = re.compile(r"/(?P<symbol>[^/]+)-(?:ticks|1m)-(?P<month>20\d{2}-\d{2})\.(?:parquet|csv)(?=/|$)")
 PATH = "symbol string, chunk string, us long, high double, low double"
 ORDER = [("ticks", "parquet"), ("ticks", "csv"), ("1m", "parquet"), ("1m", "csv")]
 
@@ -59,8 +60,11 @@ def path_of(spark: SparkSession, chosen: dict[tuple[str, str], str], mode: str)
             if mode != "auto":
                 raise
             continue
-        name = F.regexp_extract("_file", r"([^/]+)-(?:ticks|1m)-20\d{2}-\d{2}\.(?:parquet|csv)", 1)
-        part = path.select(F.url_decode(name).alias("symbol"), S.month_in(F.regexp_extract("_file", r"(-(?:ticks|1m)-20\d{2}-\d{2}\.)", 1)).alias("chunk"), "us", "high", "low")
+        # which chunk a file is of is found once for the file, not again in each of its rows: a row for each part of the files of a round, in both spellings of a path without a host
+        names = {spelt: list(PART.finditer(f))[-1] for f in raw.inputFiles() for spelt in (f, f.replace(":///", ":/", 1))}
+        parts = [(f, unquote(m["symbol"]), m["month"]) for f, m in names.items()]
+        of = spark.createDataFrame(parts, "_file string, symbol string, chunk string").coalesce(1)
+        part = path.join(F.broadcast(of), "_file").select("symbol", "chunk", "us", "high", "low")
         out = part if out is None else out.unionByName(part)
     return out
 

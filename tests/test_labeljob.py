@@ -110,3 +110,15 @@ def test_modes(spark, made, tmp_path):
     nothing = labeljob.label_job(snap.filter("false"), b, root, str(tmp_path / "d"), H, 1.0, 1.0)
     assert nothing.count() == 0 and sorted(nothing.columns) == sorted(got.columns)
     assert labeljob.tick_files(spark, f"{root}/nowhere") == {} and files.first_line(spark, f"{root}/AAA-ticks-2024-02.csv") == "ts,last"
+
+
+def test_a_file_tells_its_chunk_once(spark, tmp_path):
+    """No row's path is searched for the names in it, and a plus stays one; parts of a file, blanks and other letters are known."""
+    root = str(tmp_path / "a-ticks-2023-01.parquet")  # the folder itself is named like a file
+    want = set()
+    for s, month in (("A+B", "2024-01"), ("Ä C", "2024-02"), ("D%20", "2024-03")):
+        spark.range(5).select((F.col("id") + 1_704_067_200_000).alias("ts"), F.lit(2.0).alias("price")).repartition(2).write.parquet(f"{root}/{s}-ticks-{month}.parquet")
+        want |= {(s, month, (1_704_067_200_000 + i) * 1000) for i in range(5)}
+    path = labeljob.path_of(spark, labeljob.tick_files(spark, root), "ticks")
+    assert "regexp" not in path._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.symbol, r.chunk, r.us) for r in path.collect()} == want and path.count() == 15
