@@ -24,6 +24,7 @@ import functools
 import gc
 import hashlib
 import json
+import pickle
 import struct
 import unicodedata
 from array import array
@@ -79,7 +80,7 @@ def gadgets(merges: list[tuple[int, int, int]], tokens) -> tuple[dict[int, int],
 class Automaton:
     """The compiled merges of one vocabulary as flat tables (token states, arcs, spellings), and the symbol table grown from them.
 
-    Compiled once on the driver; the tables are all that is sent to tasks.
+    Compiled once for a job; the tables are all that is sent to tasks.
     """
 
     def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], end: str):
@@ -198,7 +199,7 @@ def _spans(codes: list[int], put: str) -> str:
 
 @functools.lru_cache(maxsize=1)
 def library_characters() -> tuple[dict[str, str], dict[int, str], str]:
-    """(classes, lower, first): how the tokenizers library differs from the tables here, asked of it once on the driver.
+    """(classes, lower, first): how the tokenizers library differs from the tables here, asked of it when a vocabulary is compiled.
 
     classes: for the letters and numbers of a splitter, a set of the regex module that holds just what they match in the library, whose Unicode version is
     another one; asked are the code points on which the regex module and Python's own tables disagree, as its version lies between theirs. lower: what the
@@ -366,10 +367,22 @@ class Tokenizer:
 
 
 def _compiled(df: DataFrame, vocab_path: str):
-    """The vocabulary compiled on the driver and broadcast: tables of fixed size, about 20 MB for 50,000 merges."""
-    small_batches(df.sparkSession)
+    """The vocabulary compiled in a task and broadcast: tables of fixed size, about 20 MB for 50,000 merges.
+
+    Compiling and asking the library take some 300 MB for a moment, which the driver need not have; it gets the tables, 8 MB as they are sent.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
     with open(vocab_path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(Tokenizer(f.read()))
+        spec = f.read()
+
+    def build(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Tokenizer(spec))], pa.binary())], names=["tables"])
+
+    tables = spark.range(1, numPartitions=1).mapInArrow(tk.tidy(build), "tables binary").first()[0]
+    return spark.sparkContext.broadcast(pickle.loads(tables))
 
 
 def _forgetting(run, shared):
@@ -394,7 +407,7 @@ def _forgetting(run, shared):
 def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) for every row; rows keep their partitions, nothing is shuffled.
 
-    vocab_path: a byte-level BPE file, read and compiled once on the driver; its tables (fixed, about 20 MB) are broadcast. A file that asks for a step not known here is an error. A null or empty text gives no ids and an empty string. Special tokens written
+    vocab_path: a byte-level BPE file, read once on the driver and compiled once in a task; its tables (fixed, about 20 MB) are broadcast. A file that asks for a step not known here is an error. A null or empty text gives no ids and an empty string. Special tokens written
     in a text become their ids, as that file's library does. Very long texts are handled whole, one at a
     time. Repeated rows and null ids come out as often as they came in; other columns are not looked at.
     """

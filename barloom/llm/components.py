@@ -31,6 +31,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether (u, v) is a forest of stars: no vertex points twice, and none that is pointed at points on. One aggregate by vertex, in one pass."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("on"), F.lit(0).alias("at"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("on"), F.lit(1).alias("at")))
+    odd = ends.groupBy("x").agg(F.sum("on").alias("on"), F.max("at").alias("at")).filter("on > 1 or on > 0 and at > 0")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) for every id that has an edge; component is the smallest id reachable.
 
@@ -44,10 +52,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         "edges",
     )
     while True:  # every round lowers some vertex's target
-        # a forest of stars: no vertex that is pointed at points on
-        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        twice = now.groupBy("u").count().filter("count > 1")
-        if chained.isEmpty() and twice.isEmpty():
+        if _stars(now):
             break
         nxt = staged(_star(_star(now, True), False), "edges")
         release(now)
